@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,22 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 _OWN_FOLDERS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once for each application, unless they find it on their path."""
+    context = spark.sparkContext
+    home = Path(__file__).resolve().parents[2]
+    on_path = any(Path(p or ".").resolve() == home for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)])
+    if on_path or context.applicationId in _SHIPPED:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted((home / "tidemark").rglob("*.py")):
+            out.write(file, file.relative_to(home))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,4 +71,5 @@ def fold_of(n_folds: int, name: str = "doc_id"):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
