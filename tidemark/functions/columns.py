@@ -15,6 +15,14 @@ from tidemark.config import Market
 _AWARE = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})$"
 
 
+_KINDS = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "binary": T.BinaryType(), "boolean": T.BooleanType()}
+
+
+def schema_of(text: str) -> T.StructType:
+    """A schema from `name kind` pairs; unlike StructType.fromDDL it needs no session."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (x.split() for x in text.split(","))])
+
+
 def require_columns(df: DataFrame, names: Sequence[str]) -> None:
     missing = sorted(set(names) - set(df.columns))
     if missing:

@@ -13,14 +13,14 @@ from urllib.request import HTTPRedirectHandler, Request, build_opener
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.functions.columns import schema_of
 from tidemark.functions.text import STATEMENT_URL, allowed, event_of, feed_links, statement_column
 from tidemark.operators.capture import SCHEMA_TAG, canonical_records, content_key
 
 #: A landed response: what a fetcher writes for each request.
-RESPONSES = T.StructType.fromDDL("response_id string, run_id string, source_url string, plan_sha256 string, plan_recorded_at string, request_started_at string, received_at string, final_url string, status int, content binary, fetch_error string")
+RESPONSES = schema_of("response_id string, run_id string, source_url string, plan_sha256 string, plan_recorded_at string, request_started_at string, received_at string, final_url string, status int, content binary, fetch_error string")
 MAX_BYTES = 3_000_000
 
 
