@@ -15,6 +15,7 @@ carried as null; no rows give no pieces; other columns of the input are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -31,6 +32,21 @@ END_ID = 2
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: Latin letters of one code point, then up to eight marks that form one pre-token and belong to no contraction.
+_SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?#*$%&|()\[\]-]{0,8})")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level spelling of Latin letters: printable bytes stand for themselves, the others for code points from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = (b for b in range(256) if b not in plain)
+    letters = {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(other)}
+    return {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class WordTokenizer:
     """Token ids of whole texts, as little-endian uint32 bytes, through a bounded cache of words.
 
@@ -42,6 +58,29 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache, self.most = Tokenizer.from_file(path), {}, cache_words
+        self.merges, self.tails = self.tokenizer.model, {}
+
+    def learn(self, word: bytes) -> None:
+        """Cache a word's ids: letters with trailing punctuation by the merges alone, anything else by the whole tokenizer."""
+        own, text = self.cache, word.decode()
+        simple = _SIMPLE.fullmatch(text) if len(text) < 200 else None
+        if simple is None:
+            own[word] = self.ids(text)
+            return
+        stem = simple[1].lower()
+        key = stem.encode()
+        ids = own.get(key)
+        if ids is None:
+            found = self.merges.tokenize(stem if stem.isascii() else stem.translate(_BYTE_LETTERS))
+            ids = own[key] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        tail = simple[2]
+        if tail and tail not in self.tails:
+            self.tails[tail] = self.ids(tail)
+        own[word] = ids + self.tails[tail] if tail else ids
+
+    def ids(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.encode().split() for t in texts]
@@ -51,12 +90,8 @@ class WordTokenizer:
             if len(own) + len(missing) > self.most:
                 own.clear()
                 missing = list(set().union(*split))
-            for at in range(0, len(missing), 4096):
-                some = missing[at : at + 4096]
-                found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-                for word, e in zip(some, found, strict=True):
-                    ids = e.ids
-                    own[word] = struct.pack(f"<{len(ids)}I", *ids)
+            for word in missing:
+                self.learn(word)
         return [b"".join(map(own.__getitem__, words)) for words in split]
 
 
