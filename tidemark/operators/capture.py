@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import aware_time, micros
 from tidemark.functions.text import STATEMENT_URL, event_of, is_allowed, statement_column
 
-SCHEMA_TAG = "xvi.information.v1"
+#: Version tag of stored records; `violations` takes another for logs written by other collectors.
+SCHEMA_TAG = "information.v1"
 
 
 def content_key() -> Column:
@@ -39,7 +40,7 @@ def index_counts(rows: DataFrame) -> DataFrame:
 CLOCKS = ("plan_recorded_at", "request_started_at", "received_at", "features_ready_at", "usable_at")
 
 
-def violations(rows: DataFrame, plans: DataFrame, snapshots: DataFrame) -> DataFrame:
+def violations(rows: DataFrame, plans: DataFrame, snapshots: DataFrame, schema_tag: str = SCHEMA_TAG) -> DataFrame:
     """rows with `errors`, the array of broken rules.
 
     plans: recorded_at, plan_sha256, own_sha256 (hash of the recorded plan), selection_basis. snapshots: raw_path and content, of paths inside the capture root.
@@ -51,7 +52,7 @@ def violations(rows: DataFrame, plans: DataFrame, snapshots: DataFrame) -> DataF
     raw = snapshots.select(F.col("raw_path").alias("_path"), F.sha2("content", 256).alias("_sha"), F.col("content").alias("_content"))
     out = out.join(raw, F.col("raw_path") == F.col("_path"), "left").withColumn("_parsed", statement_column("_content", "extractor" if "extractor" in rows.columns else None))
     rules = {
-        "schema": (F.col("schema") == SCHEMA_TAG) & (F.col("availability_basis") == "collector_observation"), "clock order": ordered, "source": is_allowed(F.col("source_url")),
+        "schema": (F.col("schema") == schema_tag) & (F.col("availability_basis") == "collector_observation"), "clock order": ordered, "source": is_allowed(F.col("source_url")),
         "mode": (F.col("discovery_mode") == "source_schedule") & (F.trim(F.col("verified_text")) != ""), "backdated": F.col("historical_usable_at").isNull(), "text hash": F.sha2("verified_text", 256) == F.col("text_sha256"),
         "plan": F.col("_planned"), "snapshot": (F.col("_sha") == F.col("raw_sha256")) & (F.col("_parsed.text") == F.col("verified_text")), "header": F.col("_parsed.header") == F.col("source_release_claim"),
         "event": F.col("source_url").rlike(STATEMENT_URL) & (event_of(F.col("source_url")) == F.col("information_event_id")),

@@ -46,7 +46,7 @@ def _median(sorted_name: str) -> str:
 
 def robust_z(metric: str, history: str, cfg: DenseConfig) -> Column:
     """(metric - median) / max(1.4826 MAD, floor) of the history array; null under min_baseline_bins values."""
-    mad = _let(f"sort_array(transform(s, x -> abs(x - m)))", "d", _median("d"))
+    mad = _let("sort_array(transform(s, x -> abs(x - m)))", "d", _median("d"))
     z = f"({metric} - m) / greatest(1.4826D * ({mad}), {cfg.scale_floor_pp}D)"
     return F.expr(f"if(size({history}) >= {cfg.min_baseline_bins}, {_let(f'sort_array({history})', 's', _let(_median('s'), 'm', z))}, null)")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.config import Market, NewsConfig, SparseConfig
+from tidemark.config import Market, NewsConfig
 from tidemark.functions.columns import aware_time, iso, micros, relevance, relevant_pairs
 from tidemark.functions.text import canonical_url
 from tidemark.operators.decisions import verified_time
@@ -176,7 +176,3 @@ def link_coverage(docs: DataFrame, links: DataFrame) -> DataFrame:
     one = docs.select(F.explode("market_ids").alias("market_id")).groupBy("market_id").agg(F.count("*").alias("documents"))
     two = links.groupBy("market_id").agg(F.count("*").alias("links"), F.countDistinct("episode_id").alias("linked_episodes"))
     return one.join(two, "market_id", "full").select("market_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "links", "linked_episodes")])
-
-
-def groups_config(cfg: SparseConfig) -> tuple[int, int]:
-    return cfg.news_merge_seconds, cfg.news_max_span_seconds

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import SparseConfig
@@ -40,10 +38,6 @@ def sparse_bars(fills: DataFrame, cfg: SparseConfig) -> DataFrame:
     return bars.withColumn("supported", (F.col("corroborating_transactions") >= cfg.min_transactions) & (F.col("shares") >= cfg.min_shares))
 
 
-def _frame(w, low: int, high: int):
-    return w.rangeBetween(low, high)
-
-
 def references(bars: DataFrame, cfg: SparseConfig) -> DataFrame:
     """bars once for each horizon, with the bar that ends exactly a horizon earlier (or nulls)."""
     each = bars.withColumn("horizon_seconds", F.explode(F.array(*[F.lit(h) for h in cfg.horizons_seconds])))
@@ -68,8 +62,8 @@ def coverage_and_variation(bars: DataFrame, cfg: SparseConfig) -> DataFrame:
     w = chunk_window(["market_id"], "bin_us")
     parts = []
     for h in cfg.horizons_seconds:
-        seen = F.count(F.lit(1)).over(_frame(w, -(h + b) * SECOND + 1, 0)) / F.lit(float(h // b + 1))
-        inside = _frame(w, -h * SECOND + 1, 0)
+        seen = F.count(F.lit(1)).over(w.rangeBetween(-(h + b) * SECOND + 1, 0)) / F.lit(float(h // b + 1))
+        inside = w.rangeBetween(-h * SECOND + 1, 0)
         variation = F.when(F.count("step2").over(inside) == h // b, F.sqrt(F.sum("step2").over(inside)))
         parts.append(F.struct(F.lit(h).alias("horizon_seconds"), seen.alias("coverage"), variation.alias("variation_pp")))
     named = cut.select("market_id", "bin_us", "_chunk", "_own", *[p.alias(f"h{k}") for k, p in enumerate(parts)])
@@ -182,10 +176,6 @@ def market_summary(bars: DataFrame, found: DataFrame, alert_rows: DataFrame, cfg
     return one.join(two, "market_id", "left").join(three, "market_id", "left").select("market_id", "slots", (F.col("slots") - F.col("observed_bins")).alias("empty_bins"), "observed_bins", "supported_bins", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("eligible_windows", "alerts", "unusual_alerts")])
 
 
-def scale_for(horizon: int) -> float:
-    return math.sqrt(max(1.0, horizon / 60))
-
-
 def top_in_window(alert_rows: DataFrame, start_us: int, end_us: int, n: int = 100, tier: str | None = None, longest: int | None = None) -> DataFrame:
     """The first n alerts with start < time <= end, of a tier or with a horizon up to `longest` where given."""
     out = alert_rows.where((F.col("detected_us") > start_us) & (F.col("detected_us") <= end_us))
@@ -203,7 +193,3 @@ def gap_line(bars: DataFrame, width_us: int, column: str) -> DataFrame:
     own = F.struct(F.col("bin_us").alias("us"), F.col(column).cast("double").alias("value"))
     hole = F.struct((F.col("bin_us") + width_us).alias("us"), F.lit(None).cast("double").alias("value"))
     return bars.withColumn("_after", F.lead("bin_us").over(w)).withColumn("p", F.explode(F.when(after - F.col("bin_us") > width_us, F.array(own, hole)).otherwise(F.array(own)))).select("market_id", "p.*")
-
-
-def z_columns() -> list[Column]:
-    return [F.col(f"{n}_z") for n in METRICS]
