@@ -233,6 +233,18 @@ def test_near_dedup_equals_brute_force(spark, docs, corpus):
     assert kept.columns == docs.columns
 
 
+def test_near_dedup_of_a_family_whose_base_is_absent(spark):
+    rng = random.Random(11)
+    base, rows = [f"w{rng.randrange(5000)}" for _ in range(300)], []
+    for n in range(300):
+        words = list(base)
+        for k in rng.sample(range(300), rng.randrange(2, 8)):
+            words[k] = f"edit{rng.randrange(10**6)}"
+        rows.append((n, " ".join(words)))
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_bag_minhash_is_unbiased():
     rng = np.random.default_rng(3)
     errors = []

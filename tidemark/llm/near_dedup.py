@@ -9,9 +9,10 @@ their weighted Jaccard similarity. A document's processes are generated in time
 1. One pass computes signatures in numpy (bands of registers hashed to 64 bits) and a digest of the word sequence; copies of one
    word sequence collapse to their smallest doc_id before anything is compared.
 2. Buckets (equal band) with two or more texts give candidate pairs without emitting all pairs of a large bucket: buckets of up to small_bucket
-   texts pair their members, a bound; larger ones pair every member with a hub, the member that shares most buckets with others.
-   Members that turn out not to resemble the hub are split by each of the next four bands as well (in a ring) and go on in those finer buckets: texts
-   that merely share a passage part at once, while texts of similarity 0.8 share some 8 of 25 bands; any six shared bands have two within four places.
+   texts pair their members, a bound; larger ones first pair every member with a hub, the member that shares most buckets with others. Then every pair
+   of a large bucket that the links so far don't hold in one component is compared exactly, block against block: blocks hold texts of one size class
+   (texts of similarity t differ in size by a factor of at most 1 / t, so only equal and neighbouring classes meet), dealt by a hash, and each
+   pair of blocks is one task's product of 0/1 matrices, which gives a spanning forest of its links. Members of the bucket's largest component meet the others only.
 3. Pairs are verified by exact multiset overlap of the shingles; links of at least the threshold stay.
 4. Classes are the connected components, by repeated contraction to the smallest neighbour; each round is written to the shared folder.
 
@@ -22,6 +23,7 @@ Defined cases: null, empty and blank texts are all alike and form one class; row
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -37,7 +39,9 @@ BANDS = 25
 ROWS = 5
 THRESHOLD = 0.8
 SMALL_BUCKET = 12
-NEXT_BANDS = 4
+#: Texts and shingles of a block at most (one text at least).
+BLOCK = 256
+BLOCK_UNITS = 1 << 22
 CHUNK = 1 << 20
 
 _U = np.uint64
@@ -268,19 +272,82 @@ def components(links: DataFrame) -> DataFrame:
     return out
 
 
-def candidate_rounds(members: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs of small buckets, (bucket, hub, doc) of the others). members: bucket, band (the last that it is made of), doc, n (size of the bucket)."""
+def candidate_rounds(members: DataFrame, small: int) -> DataFrame:
+    """Pairs (a, b) of small buckets, and of each other bucket's hub with its members. members: bucket, doc, n (size of the bucket)."""
     few = members.where(F.col("n") <= small).groupBy("bucket").agg(F.sort_array(F.collect_set("doc")).alias("d"))
     paired = few.select(F.explode(F.expr("flatten(transform(d, (x, i) -> transform(slice(d, i + 2, size(d)), y -> named_struct('a', x, 'b', y))))")).alias("p")).select("p.a", "p.b")
     many = members.where(F.col("n") > small)
     score = many.groupBy("doc").agg(F.sum("n").alias("score"))
     scored = many.join(score, "doc")
     hubs = scored.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("doc")).alias("neg"))).alias("top")).select("bucket", (-F.col("top.neg")).alias("hub"))
-    return paired, many.join(hubs, "bucket").where("doc != hub").select("bucket", "band", "hub", "doc")
+    hubbed = many.join(hubs, "bucket").where("doc != hub").select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b"))
+    return paired.union(hubbed).distinct()
+
+
+def _block_links(frame, threshold: float):
+    """Spanning forest of the links between the two sides of a job (0 and 1; 2 is on both)."""
+    import pandas as pd
+
+    docs, roots, side = (frame[k].to_numpy() for k in ("doc", "root", "side"))
+    n, sizes = len(docs), np.array([len(x) for x in frame["bag"]])
+    owner, unit = np.repeat(np.arange(n), sizes), np.concatenate([np.asarray(x, np.int64) for x in frame["bag"]])
+    _, unit, times = np.unique(unit, return_inverse=True, return_counts=True)
+    common = np.flatnonzero(times > 1)  # a shingle of one text is in no overlap
+    place = np.full(len(times), -1)
+    place[common] = np.arange(len(common))
+    order = np.argsort(place[unit], kind="stable")
+    owner, unit = owner[order], place[unit][order]
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    shared = np.zeros((len(left), len(right)))
+    for at in range(0, len(common), 4096):
+        start, end = np.searchsorted(unit, [at, at + 4096])
+        has = np.zeros((n, min(4096, len(common) - at)), np.float32)
+        has[owner[start:end], unit[start:end] - at] = 1
+        shared += has[left] @ has[right].T
+    alike = shared >= threshold * (sizes[left][:, None] + sizes[right][None, :] - shared) - 1e-9
+    alike &= roots[left][:, None] != roots[right][None, :]
+    linked = np.zeros((n, n), bool)
+    linked[np.ix_(left, right)] = alike
+    linked |= linked.T
+    seen, out = np.zeros(n, bool), []
+    for first in range(n):
+        waiting = [] if seen[first] else [first]
+        seen[first] = True
+        while waiting:
+            x = waiting.pop()
+            new = np.flatnonzero(linked[x] & ~seen)
+            seen[new] = True
+            out += [(min(docs[x], docs[y]), max(docs[x], docs[y])) for y in new]
+            waiting += new.tolist()
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def block_links(large: DataFrame, roots: DataFrame, bag_table: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that, with those behind roots (node, root), join all alike texts of each bucket. large: bucket, doc."""
+    step = math.log(1 / threshold) + 1e-6
+    sizes = bag_table.select(F.col("doc_id").alias("doc"), F.floor(F.log(F.greatest(F.size("bag"), F.lit(1)).cast("double")) / step).cast("int").alias("class"))
+    placed = large.join(roots.withColumnRenamed("node", "doc"), "doc", "left").join(sizes, "doc").select("bucket", "doc", F.coalesce("root", "doc").alias("root"), "class")
+    placed = stored(placed, "placed")
+    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    top = parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("top.root").alias("largest"))
+    cell = ["bucket", "class", "main"]
+    split = placed.join(top, "bucket").select("bucket", "doc", "root", "class", (F.col("root") == F.col("largest")).alias("main"))
+    most = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK)), F.floor(F.lit(float(BLOCK_UNITS)) / F.exp((F.col("class") + 1) * step)).cast("double")))
+    cells = stored(split.groupBy(*cell).agg(F.count("*").alias("n")).select(*cell, F.ceil(F.col("n") / most).cast("int").alias("blocks")), "cells")
+    blocks = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.struct("class", "main", "part").alias("x"))
+    both = blocks.join(blocks.withColumnRenamed("x", "y"), "bucket").where("x <= y and abs(x.class - y.class) <= 1 and not (x.main and y.main)")
+    job = F.xxhash64("bucket", "x", "y").alias("job")
+    ends = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("at"), F.lit(2).alias("side"))))
+    ends = ends.otherwise(F.array(F.struct(F.col("x").alias("at"), F.lit(0).alias("side")), F.struct(F.col("y").alias("at"), F.lit(1).alias("side"))))
+    sides = both.select("bucket", job, F.explode(ends).alias("e")).select("bucket", "job", "e.at.class", "e.at.main", "e.at.part", "e.side")
+    dealt = split.join(cells, cell).select(*cell, F.pmod(F.xxhash64("doc", F.lit("block")), F.col("blocks")).cast("int").alias("part"), "doc", "root")
+    rows = dealt.join(sides, [*cell, "part"]).select("job", "side", "doc", "root")
+    filled = rows.join(bag_table.withColumnRenamed("doc_id", "doc"), "doc")
+    return filled.groupBy("job").applyInPandas(partial(_block_links, threshold=threshold), "a long, b long")
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
-    """rows (bucket, band, doc) of buckets with two or more texts, with n."""
+    """rows (bucket, doc) of buckets with two or more texts, with n."""
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     return stored(rows.join(sizes, "bucket"), "members")
 
@@ -290,29 +357,18 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     sig = stored(signatures(docs, bands, rows), "signatures")
     copies = stored(sig.groupBy("digest").agg(F.min("doc_id").alias("rep")), "copies")
     reps = sig.join(copies.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = stored(reps.select(F.col("doc_id").alias("doc"), "bands"), "representatives")
-    members = shared_buckets(reps.select("doc", F.posexplode("bands").alias("band", "bucket")).select("bucket", "band", "doc"))
-    wanted = members.select("doc").distinct()
-    bag_table = None
+    reps = reps.select(F.col("doc_id").alias("doc"), "bands")
+    members = shared_buckets(reps.select("doc", F.explode("bands").alias("bucket")))
     found = None
-    level = 0
-    while not members.isEmpty():
-        level += 1
-        paired, hubbed = candidate_rounds(members, small_bucket)
-        hubbed = stored(hubbed, "hubs")
-        pairs = paired.union(hubbed.select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b"))).distinct()
-        if bag_table is None:
-            some = docs.join(wanted.select(F.col("doc").alias("_doc")).hint("merge"), F.col("doc_id").cast("long") == F.col("_doc"), "left_semi")
-            bag_table = stored(bags(some).dropDuplicates(["doc_id"]), "bags")
-        links = stored(verified(pairs, bag_table, threshold), "verified")
-        found = links if found is None else found.union(links)
-        keyed = hubbed.select("bucket", "band", "doc", F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b"))
-        rest = keyed.join(links, ["a", "b"], "left_anti").select("bucket", F.col("band").alias("last"), "doc")
-        if level == bands:  # every band has been used: texts that still stand together are as alike as they will get
-            break
-        ring = F.array(*[F.pmod(F.col("last") + k, F.lit(bands)) for k in range(1, NEXT_BANDS + 1)])
-        finer = rest.join(reps, "doc").select("bucket", "doc", "bands", F.explode(ring).alias("band"))
-        members = shared_buckets(finer.select(F.xxhash64("bucket", F.element_at("bands", F.col("band") + 1)).alias("bucket"), "band", "doc"))
+    if not members.isEmpty():
+        wanted = members.select(F.col("doc").alias("_doc")).distinct()
+        some = docs.join(wanted.hint("merge"), F.col("doc_id").cast("long") == F.col("_doc"), "left_semi")
+        bag_table = stored(bags(some).dropDuplicates(["doc_id"]), "bags")
+        found = stored(verified(candidate_rounds(members, small_bucket), bag_table, threshold), "verified")
+        large = members.where(F.col("n") > small_bucket)
+        if not large.isEmpty():
+            roots = stored(components(found), "components")
+            found = found.union(stored(block_links(large.select("bucket", "doc"), roots, bag_table, threshold), "block-links"))
     label = copies.select(F.col("digest").alias("_digest"), "rep")
     if found is not None:
         roots = components(found).select(F.col("node").alias("rep"), "root")
