@@ -245,6 +245,13 @@ def test_near_dedup_of_a_family_whose_base_is_absent(spark):
     assert got == brute_classes(rows)
 
 
+def test_near_dedup_of_pairs_in_a_crowd_of_long_common_boilerplate(spark):
+    common = [f"c{k}" for k in range(261)]  # any two texts: 257 of 343 shingles; the two of a pair: 269 of 331
+    rows = [(n, " ".join(common + [f"p{n // 2}x{k}" for k in range(12)] + [f"o{n}x{k}" for k in range(31)])) for n in range(200)]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {n: n - n % 2 for n in range(200)}
+
+
 def test_bag_minhash_is_unbiased():
     rng = np.random.default_rng(3)
     errors = []
