@@ -227,6 +227,20 @@ def test_lm_training_learns_a_pattern():
     assert lm_score.score_documents(p, v, docs[:1])[0] > before / 4
 
 
+def test_lm_weights_learn_from_every_training_text(corpus, tmp_path, monkeypatch):
+    seen, train = tmp_path / "seen", lm_score._train
+
+    def counted(batches, shared, trainers):
+        for out in train(batches, shared, trainers):
+            with open(seen, "a") as f:
+                f.write(f"{out.column(1)[0].as_py()}\n")
+            yield out
+
+    monkeypatch.setattr(lm_score, "_train", counted)
+    scored = lm_score.score(corpus, head=500, modelled=64, warm_docs=50).collect()
+    assert sum(map(int, seen.read_text().split())) == scored[0].train_tokens == sum(r.n_tokens for r in scored if not r.held_out)
+
+
 def test_token_counts_under_random_edits(corpus):
     counter = token_counts.counter_for("byte_bpe_50k.tiktoken")
     rng = random.Random(4)

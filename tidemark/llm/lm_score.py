@@ -6,8 +6,8 @@ softmax: P(token) = P(class | state) * P(token | class). The `modelled` most fre
 form classes by frequency and everything else forms the tail class, with smoothed counts within the class. So every text, also of unseen words, has a probability, and
 the whole sums to one over the known words and one lump for unseen ones, as in the base model.
 
-Learning: truncated backpropagation through windows of `steps` tokens with AdaGrad; first on the driver over a few documents (warm_docs, a
-bound), then in parallel over every train_share-th training document, so it grows with the input, and parameters are averaged, weighted by tokens, over at most
+Learning: truncated backpropagation through windows of `steps` tokens with AdaGrad; first on the driver over about warm_docs documents drawn by
+hash from all training rows, then in parallel over all training documents (train_share = 1; a larger share learns from every train_share-th), and parameters are averaged, weighted by tokens, over at most
 `trainers` tasks. Class biases come from the counts of all training documents. Scoring carries the state across windows, so a document's score is its complete log-likelihood.
 
 Counts of words outside the head are joined by a sort-merge join: only a document's tail words are shuffled, as (row, word, times).
@@ -342,7 +342,7 @@ def _score(batches, shared):
             uid += n
 
 
-def score(docs: DataFrame, head: int = 200_000, modelled: int = 1024, hidden: int = 16, word_classes: int = 32, static_classes: int = 16, warm_docs: int = 400, train_share: int = 16, trainers: int = 128) -> DataFrame:
+def score(docs: DataFrame, head: int = 200_000, modelled: int = 1024, hidden: int = 16, word_classes: int = 32, static_classes: int = 16, warm_docs: int = 400, train_share: int = 1, trainers: int = 128) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     context = docs.sparkSession.sparkContext
     fold = fold_of(5)
@@ -354,7 +354,9 @@ def score(docs: DataFrame, head: int = 200_000, modelled: int = 1024, hidden: in
     draw = F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(train_share))
     if v.total:
         index = v.index()
-        warm = [r["text"] for r in training.where(draw == 1).select("text").limit(warm_docs).toLocalIterator()]
+        n_docs = int(v.counts[v.words.index(END)])  # each training text has one end
+        drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit("warm")), F.lit(n_docs)) < warm_docs
+        warm = [r["text"] for r in training.where(drawn).select("text").limit(2 * warm_docs).toLocalIterator()]  # more only where rows repeat
         documents = [np.array([index.get(w, v.tail) for w in tokens_of(t)]) for t in warm]
         sums = {k: np.zeros_like(x) for k, x in p.items()}
         for at in range(0, len(documents), 100):
