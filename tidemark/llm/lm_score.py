@@ -7,10 +7,12 @@ form classes by frequency and everything else forms the tail class, with smoothe
 the whole sums to one over the known words and one lump for unseen ones, as in the base model.
 
 Learning: truncated backpropagation through windows of `steps` tokens with AdaGrad; first on the driver over about warm_docs documents drawn by
-hash from all training rows, then in parallel over all training documents (train_share = 1; a larger share learns from every train_share-th), and parameters are averaged, weighted by tokens, over at most
-`trainers` tasks. Class biases come from the counts of all training documents. Scoring carries the state across windows, so a document's score is its complete log-likelihood.
+hash from all training rows, a start for all tasks; then every training document is learned from once, in parallel, and the tasks' parameters are averaged,
+weighted by tokens. Small inputs use fewer tasks, so that each sees about trainer_tokens tokens or more. Class biases come from the counts of all
+training documents. Documents lie end to end in the lanes of a batch, and the state is zero where one begins. Scoring carries the state across windows,
+so a document's score is its complete log-likelihood.
 
-Counts of words outside the head are joined by a sort-merge join: only a document's tail words are shuffled, as (row, word, times).
+Counts of words outside the head are joined by a sort-merge join: only a document's tail words are shuffled, as (row, word).
 
 Defined cases: null or empty text is its end token alone; without training rows every token is unseen (N = V = 0; base log10(0.5 / 0.5) = 0) and score equals base_score; repeated rows are
 scored alike; a null doc_id is in fold 0 and trains; other columns are ignored.
@@ -18,11 +20,15 @@ scored alike; a null doc_id is in fold 0 and trains; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +36,7 @@ from tidemark.llm.shared import fold_of, stored, text_or_empty
 
 END = b""  # no word is empty
 LOG10 = math.log(10.0)
+FIRST_SQUARE = 1e-5
 #: Rarer words belong to the tail class, from which the model learns how often a word is rare or new.
 MIN_HEAD_COUNT = 3
 
@@ -40,30 +47,62 @@ def tokens_of(text: str) -> list[bytes]:
     return words
 
 
-def _count(batches, flush: int = 300_000):
-    from collections import Counter
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts, lower case, without ends, and each text's first place among them (one more than there are texts)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.large_string()))))
+    words, offsets = lists.flatten(), np.asarray(lists.offsets, np.int64)
+    offsets = offsets - offsets[0]
+    real = np.asarray(pc.greater(pc.binary_length(words), 0))  # a text without words gives one empty word
+    if not real.all():
+        words, offsets = words.filter(pa.array(real)), np.r_[0, np.cumsum(real)][offsets]
+    return words.cast(pa.large_binary()), offsets
 
-    schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
-    found: Counter = Counter()
+
+def slices(batches, texts: int = 8192, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """Batches cut to so many rows and about so many bytes of their last column; a longer text is alone."""
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            found.update(tokens_of(text))
-            if len(found) > flush:
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], schema=schema)
-                found = Counter()
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], schema=schema)
+        ends = np.cumsum(np.asarray(pc.binary_length(batch.column(batch.num_columns - 1)), np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, min(at + texts, int(np.searchsorted(ends, before + size))))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+_COUNTED = pa.schema([("word", pa.binary()), ("c", pa.int64())])
+
+
+def _counted(words: list[pa.Array], ends: int) -> pa.RecordBatch:
+    found = pc.value_counts(pa.chunked_array(words, pa.large_binary())).flatten()
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([found[0].cast(pa.binary()), pa.array([END], pa.binary())]), pa.concat_arrays([found[1], pa.array([ends], pa.int64())])], schema=_COUNTED)
+
+
+def _count(batches, flush: int = 4_000_000):
+    held, size, ends = [], 0, 0
+    for batch in slices(batches):
+        words, _ = words_of(batch.column(0))
+        held.append(words)
+        size, ends = size + len(words), ends + batch.num_rows
+        if size > flush:
+            yield _counted(held, ends)
+            held, size, ends = [], 0, 0
+    if ends:
+        yield _counted(held, ends)
 
 
 class Vocabulary:
     """Head words with counts, their classes, and totals. Ids: modelled words first, then other head words, last the tail."""
 
-    def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int, modelled: int, word_classes: int, static_classes: int):
+    def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int, modelled: int, static_classes: int):
+        word_classes = max(1, math.isqrt(max(0, min(modelled, len(words)) - 1)) + 1)  # as many classes as words in each
         self.total, self.distinct = total, distinct
         self.words = words
         self.counts = np.array(counts, np.int64)
         self.modelled = m = min(modelled, len(words))
         self.tail = len(words)
+        self.end = words.index(END) if END in words else self.tail
+        self.listed = None
         self.tail_tokens, self.tail_words = total - int(self.counts.sum()), distinct - len(words)
         self.class_of = np.zeros(len(words) + 1, np.int64)
         self.width = max(1, -(-m // word_classes))
@@ -81,6 +120,7 @@ class Vocabulary:
         # What the network reads: a modelled word, or the class of any other.
         self.n_inputs = m + self.n_classes
         self.input_of = np.where(np.arange(len(words) + 1) < m, np.arange(len(words) + 1), m + self.class_of)
+        self.start = int(self.input_of[self.end])
 
     @property
     def norm(self) -> float:
@@ -90,8 +130,20 @@ class Vocabulary:
     def tail_norm(self) -> float:
         return self.tail_tokens + 0.5 * (self.tail_words + 1)
 
-    def index(self) -> dict[bytes, int]:
-        return {w: k for k, w in enumerate(self.words)}
+    def documents(self, texts: pa.Array) -> tuple[list[np.ndarray], pa.Array, np.ndarray]:
+        """Ids of each text with its end, the words that are not in the head, and each text's first place among those."""
+        words, offsets = words_of(texts)
+        if self.listed is None:
+            self.listed = pa.array(self.words, pa.large_binary())
+        found = pc.index_in(words, value_set=self.listed)
+        ids = np.asarray(pc.fill_null(found, self.tail), np.int64)
+        tail = np.flatnonzero(ids == self.tail)
+        ids = np.insert(ids, offsets[1:], self.end)
+        ends = offsets[1:] + np.arange(1, len(offsets))
+        return np.split(ids, ends[:-1]), words.take(pa.array(tail)), np.searchsorted(tail, offsets)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"listed": None}
 
 
 def fresh(vocabulary: Vocabulary, hidden: int, seed: int = 7) -> dict[str, np.ndarray]:
@@ -107,189 +159,271 @@ def fresh(vocabulary: Vocabulary, hidden: int, seed: int = 7) -> dict[str, np.nd
     }
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + np.float32(0.5)
-
+def run_window(p: dict, inputs: np.ndarray, begins: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, list]:
+    """The state before the window and after each step (steps + 1, lanes, hidden), and what backpropagation needs. inputs and begins: (steps, lanes).
 
-def run_window(p: dict, inputs: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, list]:
-    """States before each step (steps, lanes, hidden) plus the last, and what backpropagation needs. inputs: (steps, lanes)."""
+    A step reads the word before the one that it predicts. Where a document begins, the state before its first step is zero.
+    """
+    steps, lanes = inputs.shape
     h = state.shape[1]
     gates = p["x"][inputs] + p["b"]
-    states, kept = [state], []
-    for g in gates:
-        zr = sigmoid(g[:, : 2 * h] + state @ p["hzr"])
+    states, kept = np.empty((steps + 1, lanes, h), state.dtype), []
+    states[0] = state
+    for t in range(steps):
+        if begins[t].any():
+            state = np.where(begins[t][:, None], 0, state)
+        g = gates[t]
+        zr = state @ p["hzr"]
+        zr += g[:, : 2 * h]
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
         z, r = zr[:, :h], zr[:, h:]
-        rn = state * r
-        n = np.tanh(g[:, 2 * h :] + rn @ p["hn"])
-        kept.append((z, r, n, rn))
-        state = n + z * (state - n)
-        states.append(state)
-    return np.stack(states), kept
+        n = (state * r) @ p["hn"]
+        n += g[:, 2 * h :]
+        np.tanh(n, out=n)
+        kept.append((state, zr, n))
+        state = states[t + 1] = n + z * (state - n)
+    return states, kept
+
+
+def _exp(logits: np.ndarray, small: bool) -> np.ndarray:
+    """exp in place, for softmax; logits that may be large are lowered by their rows' maxima, in place too."""
+    if not small:
+        logits -= logits.max(axis=1, keepdims=True)
+    return np.exp(logits)
+
 
+def _bounded(weights: np.ndarray, bias: np.ndarray, axis: int) -> bool:
+    """Whether logits stay far from overflow for any state in [-1, 1]."""
+    return bool((np.abs(weights).sum(axis=axis) + np.abs(bias)).max(initial=0.0) < 60)
 
-def log_probs(p: dict, v: Vocabulary, states: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log-probability of each id given its state (tail tokens: of the tail class); with grads, also the gradient on the states."""
+
+def log_probs(p: dict, v: Vocabulary, states: np.ndarray, ids: np.ndarray, grads: dict | None = None, block: int = 1024) -> tuple[np.ndarray, np.ndarray | None]:
+    """Natural log-probability of each id given its state (tail tokens: of the tail class); with grads, also the gradient on the states.
+
+    Blocks of tokens keep the class softmax in the processor's cache.
+    """
     classes = v.class_of[ids]
-    logits = states @ p["c"] + p["cb"]
-    logits -= logits.max(axis=1, keepdims=True)
-    e = np.exp(logits)
-    s = e.sum(axis=1)
-    rows = np.arange(len(ids))
-    out = logits[rows, classes] - np.log(s)
-    back = None
-    if grads is not None:
-        d = e / s[:, None]
-        d[rows, classes] -= 1
-        grads["c"] += states.T @ d
-        grads["cb"] += d.sum(axis=0)
-        back = d @ p["c"].T
+    out = np.empty(len(ids))
+    back = None if grads is None else np.empty_like(states)
+    small = _bounded(p["c"], p["cb"], 0)
+    for at in range(0, len(ids), block):
+        own, mine = states[at : at + block], classes[at : at + block]
+        logits = own @ p["c"]
+        logits += p["cb"]
+        e = _exp(logits, small)
+        s = e @ np.ones(e.shape[1], e.dtype)
+        rows = np.arange(len(own))
+        out[at : at + block] = logits[rows, mine] - np.log(s)
+        if grads is not None:
+            e /= s[:, None]
+            e[rows, mine] -= 1
+            grads["c"] += own.T @ e
+            grads["cb"] += np.ones(len(e), e.dtype) @ e
+            np.matmul(e, p["c"].T, out=back[at : at + block])
     modelled = ids < v.modelled
     static = ~modelled & (ids != v.tail)
     out[static] += v.within[ids[static]]
-    order = np.argsort(classes, kind="stable")
-    order = order[modelled[order]]
+    order = np.flatnonzero(modelled)
+    order = order[np.argsort(ids[order], kind="stable")]  # words of one class are neighbours
     if len(order):
-        own = classes[order]
-        edges = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1, len(order)]
+        small = _bounded(p["w"], p["wb"], 1)
+        own, sorted_states, local = classes[order], states[order], ids[order]
+        extra = np.empty(len(order))
+        returned = None if grads is None else np.empty_like(sorted_states)
+        edges = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1, len(order)].tolist()
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            at = order[a:b]
             first = int(own[a]) * v.width
             last = min(first + v.width, v.modelled)
-            logits = states[at] @ p["w"][first:last].T + p["wb"][first:last]
-            logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            s = e.sum(axis=1)
-            local = ids[at] - first
-            out[at] += logits[np.arange(len(at)), local] - np.log(s)
+            w, part, at = p["w"][first:last], sorted_states[a:b], local[a:b] - first
+            logits = part @ w.T
+            logits += p["wb"][first:last]
+            e = _exp(logits, small)
+            s = e @ np.ones(e.shape[1], e.dtype)
+            rows = np.arange(b - a)
+            extra[a:b] = logits[rows, at] - np.log(s)
             if grads is not None:
-                d = e / s[:, None]
-                d[np.arange(len(at)), local] -= 1
-                grads["w"][first:last] += d.T @ states[at]
-                grads["wb"][first:last] += d.sum(axis=0)
-                back[at] += d @ p["w"][first:last]
+                e /= s[:, None]
+                e[rows, at] -= 1
+                grads["w"][first:last] += e.T @ part
+                grads["wb"][first:last] += np.ones(len(e), e.dtype) @ e
+                np.matmul(e, w, out=returned[a:b])
+        out[order] += extra
+        if grads is not None:
+            back[order] += returned
     return out, back
 
 
-def lanes_of(documents: list[np.ndarray], lanes: int):
-    """Groups of documents of similar length, longest first in each: (numbers, lengths, ids as (steps, lanes), -1 beyond the end)."""
-    order = sorted(range(len(documents)), key=lambda k: -len(documents[k]))
-    for at in range(0, len(order), lanes):
-        group = order[at : at + lanes]
-        yield group, [len(documents[k]) for k in group]
+@dataclass(frozen=True)
+class Streams:
+    """Whole documents laid end to end in lanes, fullest lane first: arrays (steps, lanes), -1 beyond a lane's end."""
 
+    ids: np.ndarray
+    number: np.ndarray
+    begins: np.ndarray
+    loads: np.ndarray
 
-def score_documents(p: dict, v: Vocabulary, documents: list[np.ndarray], lanes: int = 256, steps: int = 64) -> np.ndarray:
+    def windows(self, steps: int) -> Iterator[tuple[slice, int]]:
+        """(steps, live lanes) of each window."""
+        for at in range(0, len(self.ids), steps):
+            yield slice(at, min(at + steps, len(self.ids))), int(np.searchsorted(-self.loads, -at))
+
+
+def streams_of(documents: list[np.ndarray], lanes: int) -> Streams:
+    """Longest documents first, each to the lane with the fewest tokens."""
+    order = sorted(range(len(documents)), key=lambda k: -len(documents[k]))
+    held = [(0, k) for k in range(max(1, min(lanes, len(documents))))]
+    queues: list[list[int]] = [[] for _ in held]
+    for k in order:
+        load, lane = held[0]
+        queues[lane].append(k)
+        heapq.heapreplace(held, (load + len(documents[k]), lane))
+    held.sort(reverse=True)
+    loads = np.array([load for load, _ in held])
+    shape = (int(loads[0]), len(held))
+    ids, number, begins = np.full(shape, -1, np.int32), np.full(shape, -1, np.int32), np.zeros(shape, bool)
+    for column, (_, lane) in enumerate(held):
+        at = 0
+        for k in queues[lane]:
+            end = at + len(documents[k])
+            ids[at:end, column], number[at:end, column], begins[at, column] = documents[k], k, True
+            at = end
+    return Streams(ids, number, begins, loads)
+
+
+def score_documents(p: dict, v: Vocabulary, documents: list[np.ndarray], lanes: int = 256, steps: int = 32) -> np.ndarray:
     """Natural log-likelihood of each document (ids), tail tokens counted by their class only."""
+    if not documents:
+        return np.zeros(0)
+    streams = streams_of(documents, lanes)
+    state = np.zeros((len(streams.loads), p["hn"].shape[0]), np.float32)
+    previous = np.full(len(state), v.start)  # every text starts as after an end token
     total = np.zeros(len(documents))
-    hidden = p["hn"].shape[0]
-    for group, sizes in lanes_of(documents, lanes):
-        state = np.zeros((len(group), hidden), np.float32)
-        previous = np.full(len(group), v.start)  # every text starts as after an end token
-        for at in range(0, sizes[0], steps):
-            live = sum(s > at for s in sizes)  # the group is sorted: live lanes come first
-            width = min(steps, sizes[0] - at)
-            ids = np.full((width, live), -1)
-            for k in range(live):
-                part = documents[group[k]][at : at + width]
-                ids[: len(part), k] = part
-            inputs = np.concatenate([previous[None, :live], v.input_of[ids[:-1]]])
-            states, _ = run_window(p, inputs, state[:live])
-            real = ids >= 0
-            got, _ = log_probs(p, v, states[:-1][real], ids[real])
-            lane = np.broadcast_to(np.arange(live), ids.shape)[real]
-            total[np.array(group)[:live]] += np.bincount(lane, got, live)
-            state, previous = states[-1], v.input_of[ids[-1]]
+    for window, live in streams.windows(steps):
+        ids, begins = streams.ids[window, :live], streams.begins[window, :live]
+        inputs = np.concatenate([previous[None, :live], v.input_of[ids[:-1]]])
+        states, _ = run_window(p, np.where(begins, v.start, inputs), begins, state[:live])
+        real = ids >= 0
+        got, _ = log_probs(p, v, states[1:][real], ids[real])
+        total += np.bincount(streams.number[window, :live][real], got, len(documents))
+        state, previous = states[-1], v.input_of[ids[-1]]
     return total
 
 
-def train_documents(p: dict, sums: dict, v: Vocabulary, documents: list[np.ndarray], lanes: int = 64, steps: int = 32, rate: float = 0.1) -> None:
-    """One pass of truncated backpropagation with AdaGrad, in place. sums: accumulated squares."""
+def gradients(p: dict, v: Vocabulary, inputs: np.ndarray, begins: np.ndarray, ids: np.ndarray, state: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+    """Gradients of a window's negative log-likelihood, those on the inputs' rows (steps, lanes, 3 hidden), and the last state."""
+    states, kept = run_window(p, inputs, begins, state)
+    steps, live, h = len(inputs), state.shape[0], state.shape[1]
+    real = ids >= 0
+    grads = {k: np.zeros_like(x) for k, x in p.items() if k != "x"}
+    _, back = log_probs(p, v, states[1:][real], ids[real], grads)
+    above = np.zeros((steps, live, h), states.dtype)
+    above[real] = back
+    carried = np.zeros((live, h), states.dtype)
+    into = np.empty((steps, live, 3 * h), states.dtype)
+    hn, hzr = np.ascontiguousarray(p["hn"].T), np.ascontiguousarray(p["hzr"].T)
+    for t in range(steps - 1, -1, -1):
+        (before, zr, n), g = kept[t], into[t]
+        carried += above[t]
+        z, r = zr[:, :h], zr[:, h:]
+        slope = zr * (1 - zr)
+        dn = carried * (1 - z)
+        dn *= 1 - n * n
+        drn = dn @ hn
+        g[:, :h] = carried * (before - n)
+        g[:, h : 2 * h] = drn * before
+        g[:, : 2 * h] *= slope
+        g[:, 2 * h :] = dn
+        carried = carried * z + drn * r + g[:, : 2 * h] @ hzr
+        if begins[t].any():
+            carried = np.where(begins[t][:, None], 0, carried)
+    read, flat = np.concatenate([before for before, _, _ in kept]), into.reshape(-1, 3 * h)
+    reset = np.concatenate([zr[:, h:] for _, zr, _ in kept])
+    grads["hn"] += (read * reset).T @ flat[:, 2 * h :]
+    grads["hzr"] += read.T @ flat[:, : 2 * h]
+    grads["b"] += flat.sum(axis=0)
+    return grads, into, states[-1]
+
+
+def fresh_sums(p: dict) -> dict[str, np.ndarray]:
+    """AdaGrad's squares before the first step; their start keeps first steps small."""
+    return {k: np.full_like(x, FIRST_SQUARE) for k, x in p.items()}
+
+
+def train_documents(p: dict, sums: dict, v: Vocabulary, documents: list[np.ndarray], lanes: int = 256, steps: int = 32, rate: float = 0.2) -> int:
+    """One pass of truncated backpropagation with AdaGrad over all tokens, in place; how many tokens that were. sums: accumulated squares."""
+    if not documents:
+        return 0
     h = p["hn"].shape[0]
-    for group, sizes in lanes_of(documents, lanes):
-        state = np.zeros((len(group), h), np.float32)
-        previous = np.full(len(group), v.start)
-        for at in range(0, sizes[0], steps):
-            live = sum(s > at for s in sizes)
-            width = min(steps, sizes[0] - at)
-            ids = np.full((width, live), -1)
-            for k in range(live):
-                part = documents[group[k]][at : at + width]
-                ids[: len(part), k] = part
-            inputs = np.concatenate([previous[None, :live], v.input_of[ids[:-1]]])
-            states, kept = run_window(p, inputs, state[:live])
-            real = ids >= 0
-            grads = {k: np.zeros_like(x) for k, x in p.items() if k != "x"}
-            _, back = log_probs(p, v, states[:-1][real], ids[real], grads)
-            above = np.zeros((width, live, h), np.float32)
-            above[real] = back
-            carried = np.zeros((live, h), np.float32)
-            into = np.zeros((width, live, 3 * h), np.float32)
-            for t in range(width - 1, -1, -1):
-                z, r, n, rn = kept[t]
-                before = states[t]
-                dn = carried * (1 - z) * (1 - n * n)
-                drn = dn @ p["hn"].T
-                dzr = np.concatenate([carried * (before - n) * z * (1 - z), drn * before * r * (1 - r)], axis=1)
-                grads["hn"] += rn.T @ dn
-                grads["hzr"] += before.T @ dzr
-                into[t, :, : 2 * h], into[t, :, 2 * h :] = dzr, dn
-                carried = carried * z + drn * r + dzr @ p["hzr"].T + above[t]
-            grads["b"] += into.sum(axis=(0, 1))
-            scale = min(1.0, 5.0 / (1e-6 + math.sqrt(sum(float((g * g).sum()) for g in grads.values()) / max(1, real.sum()))))
-            norm = np.float32(scale / max(1, live))
-            for k, g in grads.items():
-                g *= norm
-                sums[k] += g * g
-                p[k] -= rate * g / (np.sqrt(sums[k]) + 1e-6)
-            rows, at_row = np.unique(inputs, return_inverse=True)
-            g = np.zeros((len(rows), 3 * h), np.float32)
-            np.add.at(g, at_row.reshape(-1), into.reshape(-1, 3 * h))
+    streams, seen = streams_of(documents, lanes), 0
+    state = np.zeros((len(streams.loads), h), np.float32)
+    previous = np.full(len(state), v.start)
+    for window, live in streams.windows(steps):
+        ids, begins = streams.ids[window, :live], streams.begins[window, :live]
+        inputs = np.where(begins, v.start, np.concatenate([previous[None, :live], v.input_of[ids[:-1]]]))
+        grads, into, last = gradients(p, v, inputs, begins, ids, state[:live])
+        n = int((ids >= 0).sum())
+        seen += n
+        scale = min(1.0, 5.0 / (1e-6 + math.sqrt(sum(float((g * g).sum()) for g in grads.values()) / max(1, n))))
+        norm = np.float32(scale / len(streams.loads))  # windows of few live lanes count less
+        for k, g in grads.items():
             g *= norm
-            sums["x"][rows] += g * g
-            p["x"][rows] -= rate * g / (np.sqrt(sums["x"][rows]) + 1e-6)
-            state, previous = states[-1], v.input_of[ids[-1]]
+            sums[k] += g * g
+            p[k] -= rate * g / (np.sqrt(sums[k]) + 1e-6)
+        order = np.argsort(inputs, axis=None, kind="stable")
+        rows, first = np.unique(inputs.reshape(-1)[order], return_index=True)
+        g = np.add.reduceat(into.reshape(-1, 3 * h)[order], first, axis=0) * norm
+        sums["x"][rows] += g * g
+        p["x"][rows] -= rate * g / (np.sqrt(sums["x"][rows]) + 1e-6)
+        state, previous = last, v.input_of[ids[-1]]
+    return seen
 
 
-def packed(p: dict) -> bytes:
-    return np.concatenate([p[k].reshape(-1) for k in sorted(p)]).astype("<f4").tobytes()
+def packed(p: dict) -> np.ndarray:
+    return np.concatenate([p[k].reshape(-1) for k in sorted(p)]).astype("<f4")
 
 
-def unpacked(data: bytes, like: dict) -> dict[str, np.ndarray]:
-    flat, out, at = np.frombuffer(data, "<f4"), {}, 0
+def unpacked(flat: np.ndarray, like: dict) -> dict[str, np.ndarray]:
+    out, at = {}, 0
     for k in sorted(like):
         size = like[k].size
-        out[k] = flat[at : at + size].reshape(like[k].shape).copy()
+        out[k] = flat[at : at + size].reshape(like[k].shape).astype(np.float32)
         at += size
     return out
 
 
-def _train(batches, shared, trainers: int):
+_PARTS = "slice int, many int, tokens long, parameters binary"
+_PART_SCHEMA = pa.schema([("slice", pa.int32()), ("many", pa.int32()), ("tokens", pa.int64()), ("parameters", pa.binary())])
+
+
+def _train(batches, shared, n_slices: int):
+    """One model of all texts of a task, in slices; `many` groups tasks."""
     from pyspark import TaskContext
 
-    v, start = shared.value
-    index = v.index()
-    p = {k: x.copy() for k, x in start.items()}
-    sums = {k: np.zeros_like(x) for k, x in p.items()}
+    v, start, squares = shared.value
+    p, sums = ({k: x.copy() for k, x in y.items()} for y in (start, squares))
     seen = 0
-    for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for at in range(0, len(texts), 512):
-            documents = [np.array([index.get(w, v.tail) for w in tokens_of(t)]) for t in texts[at : at + 512]]
-            train_documents(p, sums, v, documents)
-            seen += sum(map(len, documents))
+    for batch in slices(batches):
+        seen += train_documents(p, sums, v, v.documents(batch.column(0))[0])
     if seen:
-        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId() % 16], "tokens": [seen], "parameters": [packed(p)]}, schema=pa.schema([("part", pa.int32()), ("tokens", pa.int64()), ("parameters", pa.binary())]))
+        parts = [x.tobytes() for x in np.array_split(packed(p), n_slices)]
+        yield pa.RecordBatch.from_pydict({"slice": list(range(n_slices)), "many": [TaskContext.get().partitionId() // 64] * n_slices, "tokens": [seen] * n_slices, "parameters": parts}, schema=_PART_SCHEMA)
 
 
-def _average(key, frame):
+def _average(key, frame, last: bool):
+    """Mean of the parameters of one slice, weighted by tokens."""
     import pandas as pd
 
-    weights = frame["tokens"].to_numpy(float)
-    mean = sum(w * np.frombuffer(x, "<f4").astype(float) for w, x in zip(weights, frame["parameters"], strict=True)) / weights.sum()
-    return pd.DataFrame({"part": [key[0]], "tokens": [int(weights.sum())], "parameters": [mean.astype("<f4").tobytes()]})
+    total = 0.0
+    for n, data in zip(frame["tokens"], frame["parameters"], strict=True):
+        total = total + float(n) * np.frombuffer(data, "<f4").astype(float)
+    tokens = int(frame["tokens"].sum())
+    return pd.DataFrame({"slice": [key[0]], "many": [0 if last else key[1]], "tokens": [tokens], "parameters": [(total / tokens).astype("<f4").tobytes()]})
 
 
-def vocabulary_of(counts: DataFrame, head: int, modelled: int, word_classes: int, static_classes: int) -> Vocabulary:
+def vocabulary_of(counts: DataFrame, head: int, modelled: int, static_classes: int) -> Vocabulary:
     """counts: word, c."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     # Counts fall into at most 16 steps a doubling; the steps that fit into the head are taken whole.
@@ -303,80 +437,72 @@ def vocabulary_of(counts: DataFrame, head: int, modelled: int, word_classes: int
         least, held = at, held + n
     taken = counts.where((short & (step >= least)) | (F.col("word") == F.lit(END))).toPandas()  # at most head + 1 words of 64 bytes
     pairs = sorted(zip(taken["c"].tolist(), map(bytes, taken["word"]), strict=True), key=lambda x: (-x[0], x[1]))
-    v = Vocabulary([w for _, w in pairs], [c for c, _ in pairs], int(total["n"]), int(total["v"]), modelled, word_classes, static_classes)
-    at = next((k for k, (_, w) in enumerate(pairs) if w == END), v.tail)
-    v.start = int(v.input_of[at])
-    return v
+    return Vocabulary([w for _, w in pairs], [c for c, _ in pairs], int(total["n"]), int(total["v"]), modelled, static_classes)
 
 
-_SCORED = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("base", pa.float64()), ("log_p", pa.float64()), ("tail", pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())])))])
-SCORED_DDL = "uid long, doc_id long, held_out boolean, n_tokens long, n_head long, base double, log_p double, tail array<struct<word: binary, times: int>>"
+_SCORED = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("base", pa.float64()), ("log_p", pa.float64()), ("tail", pa.list_(pa.binary()))])
+SCORED_DDL = "uid long, doc_id long, held_out boolean, n_tokens long, n_head long, base double, log_p double, tail array<binary>"
 
 
 def _score(batches, shared):
-    from collections import Counter
-
     from pyspark import TaskContext
 
     v, p = shared.value
-    index = v.index()
     base = np.r_[v.base, 0.0]
     uid = TaskContext.get().partitionId() << 40
-    for batch in batches:
-        ids, folds, texts = (batch.column(k).to_pylist() for k in range(3))
-        for at in range(0, len(ids), 1024):
-            documents, tails, heads, bases = [], [], [], []
-            for text in texts[at : at + 1024]:
-                words = tokens_of(text)
-                own = np.array([index.get(w, v.tail) for w in words])
-                missing = np.flatnonzero(own == v.tail)
-                tails.append([{"word": w, "times": n} for w, n in Counter([words[k] for k in missing]).items()])
-                documents.append(own)
-                heads.append(len(own) - len(missing))
-                bases.append(float(base[own].sum()))
-            log_p = score_documents(p, v, documents)
-            n = len(documents)
-            yield pa.RecordBatch.from_pydict({
-                "uid": list(range(uid, uid + n)), "doc_id": ids[at : at + n], "held_out": folds[at : at + n], "n_tokens": [len(d) for d in documents], "n_head": heads, "base": bases, "log_p": log_p.tolist(), "tail": tails,
-            }, schema=_SCORED)
-            uid += n
-
-
-def score(docs: DataFrame, head: int = 200_000, modelled: int = 1024, hidden: int = 16, word_classes: int = 32, static_classes: int = 16, warm_docs: int = 400, train_share: int = 1, trainers: int = 128) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    for batch in slices(batches):
+        documents, tail, places = v.documents(batch.column(2))
+        n = batch.num_rows
+        sizes = np.array([len(d) for d in documents])
+        bases = np.add.reduceat(base[np.concatenate(documents)], np.r_[0, np.cumsum(sizes)[:-1]])  # a text has a token at least
+        heads = sizes - np.diff(places) - (0 if v.end < v.tail else 1)
+        tails = pa.ListArray.from_arrays(pa.array(places, pa.int32()), tail.cast(pa.binary()))
+        columns = [pa.array(np.arange(uid, uid + n)), batch.column(0), batch.column(1), pa.array(sizes), pa.array(heads), pa.array(bases), pa.array(score_documents(p, v, documents)), tails]
+        yield pa.RecordBatch.from_arrays(columns, schema=_SCORED)
+        uid += n
+
+
+def learned(training: DataFrame, v: Vocabulary, start: dict, sums: dict, trainer_tokens: int, n_slices: int = 16) -> tuple[dict, int]:
+    """(parameters, tokens seen) after one pass over all training texts: the mean of the tasks' models, weighted by tokens."""
+    shared = training.sparkSession.sparkContext.broadcast((v, start, sums))
+    trainers = max(1, v.total // trainer_tokens)  # fewer tasks where a task's share of the texts would be too small to learn from
+    models = training.select("text").coalesce(trainers).mapInArrow(partial(_train, shared=shared, n_slices=n_slices), _PARTS)
+    means = models.groupBy("slice", "many").applyInPandas(partial(_average, last=False), _PARTS)
+    means = means.groupBy("slice").applyInPandas(partial(_average, last=True), _PARTS).collect()  # one model in n_slices rows
+    if not means:
+        return start, 0
+    means.sort(key=lambda r: r["slice"])
+    return unpacked(np.concatenate([np.frombuffer(r["parameters"], "<f4") for r in means]), start), means[0]["tokens"]
+
+
+def score(docs: DataFrame, head: int = 200_000, modelled: int = 4096, hidden: int = 16, static_classes: int = 16, warm_docs: int = 400, trainer_tokens: int = 2_000_000) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, learned_tokens (seen by backpropagation)."""
     context = docs.sparkSession.sparkContext
     fold = fold_of(5)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == 1).alias("held_out"), text_or_empty().alias("text"))
     training = rows.where("not held_out")
     counts = stored(training.select("text").mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "lm-counts")
-    v = vocabulary_of(counts, head, modelled, word_classes, static_classes)
-    p = fresh(v, hidden)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(train_share))
+    v = vocabulary_of(counts, head, modelled, static_classes)
+    p, seen = fresh(v, hidden), 0
+    sums = fresh_sums(p)
     if v.total:
-        index = v.index()
-        n_docs = int(v.counts[v.words.index(END)])  # each training text has one end
+        n_docs = int(v.counts[v.end])  # each training text has one end
         drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit("warm")), F.lit(n_docs)) < warm_docs
         warm = [r["text"] for r in training.where(drawn).select("text").limit(2 * warm_docs).toLocalIterator()]  # more only where rows repeat
-        documents = [np.array([index.get(w, v.tail) for w in tokens_of(t)]) for t in warm]
-        sums = {k: np.zeros_like(x) for k, x in p.items()}
-        for at in range(0, len(documents), 100):
-            train_documents(p, sums, v, documents[at : at + 100])
-        shared = context.broadcast((v, p))
-        learned = training.where(draw == 0).select("text")
-        learned = learned.coalesce(trainers).mapInArrow(partial(_train, shared=shared, trainers=trainers), "part int, tokens long, parameters binary")
-        means = learned.groupBy("part").applyInPandas(_average, "part int, tokens long, parameters binary").collect()  # at most 16 rows of one model
-        if means:
-            weight = sum(r["tokens"] for r in means)
-            mean = sum(r["tokens"] * np.frombuffer(r["parameters"], "<f4").astype(float) for r in means) / weight
-            p = unpacked(mean.astype("<f4").tobytes(), p)
+        train_documents(p, sums, v, v.documents(pa.array(warm, pa.string()))[0], lanes=32)
+        p, seen = learned(training, v, p, sums, trainer_tokens)
     scored = stored(rows.mapInArrow(partial(_score, shared=context.broadcast((v, p))), SCORED_DDL), "lm-scored")
-    tail = scored.select("uid", F.explode("tail").alias("t")).select("uid", "t.word", "t.times")
-    known = tail.join(counts, "word", "left")
+    known = scored.select("uid", F.explode("tail").alias("word")).join(counts, "word", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
-    per_row = known.groupBy("uid").agg(F.sum(F.col("times") * F.log10(c + 0.5)).alias("tail_log"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("tail_known"), F.sum("times").alias("n_tail"))
+    per_row = known.groupBy("uid").agg(F.sum(F.log10(c + 0.5)).alias("tail_log"), F.count_if(c > 0).alias("tail_known"), F.count("*").alias("n_tail"))
     joined = scored.drop("tail").join(per_row, "uid", "left").fillna({"tail_log": 0.0, "tail_known": 0, "n_tail": 0})
+    # Without training rows the end is in the tail, too, unseen.
+    ends = F.lit(0 if v.end < v.tail else 1)
+    n_tail = F.col("n_tail") + ends
+    tail_log = F.col("tail_log") + ends * F.lit(math.log10(0.5))
+    base = F.col("base") + tail_log - n_tail * F.lit(math.log10(v.norm))
+    modelled_score = F.col("log_p") / F.lit(LOG10) + tail_log - n_tail * F.lit(math.log10(v.tail_norm))
     return joined.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.col("tail_known")).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("tail_log") - F.col("n_tail") * F.lit(math.log10(v.norm))).alias("base_score"),
-        (F.col("log_p") / F.lit(LOG10) + F.col("tail_log") - F.col("n_tail") * F.lit(math.log10(v.tail_norm))).alias("score"),
+        base.alias("base_score"), (modelled_score if v.total else base).alias("score"), F.lit(seen).cast("long").alias("learned_tokens"),
     )
