@@ -10,7 +10,8 @@
    Digests with a chain of several texts (none, unless the hash is weakened) are resolved by comparing whole texts.
 
 Defined cases: null text is the empty text; of equal texts the longest original, then the smallest doc_id stays (a null doc_id comes last);
-rows that repeat both doc_id and text get the same verdict; an empty table gives no rows; other columns are ignored by `dedup` and kept by `keep`.
+rows that repeat both doc_id and text get the same verdict in `dedup`, and one of them stays in `keep`; an empty table gives no rows;
+other columns are ignored by `dedup` and kept by `keep`, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,25 +33,30 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")
 
 
-def digests(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
-    """doc_id, original length, normalised text, its SHA-256 and the index hash. hash_bits under 64 weakens both, for tests of chains."""
-    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("t"))
-    t = t.select("doc_id", F.char_length("t").alias("n"), normalised(F.col("t")).alias("norm"))
+def digests(docs: DataFrame, hash_bits: int = 64, whole: bool = False) -> DataFrame:
+    """doc_id, original length, normalised text, its SHA-256 and the index hash; with whole, also the row itself.
+
+    hash_bits under 64 weakens both, for tests of chains.
+    """
+    row = [F.struct("*").alias("row")] if whole else []
+    carried = ["row"] if whole else []
+    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("t"), *row)
+    t = t.select("doc_id", F.char_length("t").alias("n"), normalised(F.col("t")).alias("norm"), *carried)
     sha = F.sha2("norm", 256)
     hashed = F.xxhash64("norm")
     if hash_bits < 64:
         hashed = F.shiftleft(F.pmod(hashed, F.lit(1 << hash_bits)), 64 - hash_bits)
     key = sha if hash_bits == 64 else F.hex(hashed)
-    return t.select("doc_id", "n", "norm", sha.alias("sha"), hashed.alias("h"), key.alias("key"))
+    return t.select("doc_id", "n", "norm", sha.alias("sha"), hashed.alias("h"), key.alias("key"), *carried)
 
 
 def entries(rows: DataFrame) -> DataFrame:
-    """One row per different text: h, key, sha, group_size, keep_id."""
+    """One row per different text: h, key, sha, group_size, and keep_id and keep_n of the row that stays."""
     tie = F.coalesce(F.expr(f"cast('{_TOP}' as decimal(38,0)) - cast(doc_id as decimal(38,0))"), F.expr("cast(0 as decimal(38,0))"))
     rank = F.expr(f"cast(n as decimal(38,0)) * cast('{_STEP}' as decimal(38,0))") + tie
     grouped = rows.withColumn("rank", rank.cast("decimal(38,0)")).groupBy("h", "key", "norm").agg(F.count("*").alias("group_size"), F.max("rank").alias("rank"))
     last = F.expr(f"rank % cast('{_STEP}' as decimal(38,0))")
-    return grouped.select("h", "key", F.sha2("norm", 256).alias("sha"), "group_size", F.when(last != 0, (F.expr(f"cast('{_TOP}' as decimal(38,0))") - last).cast("long")).alias("keep_id"))
+    return grouped.select("h", "key", F.sha2("norm", 256).alias("sha"), "group_size", F.when(last != 0, (F.expr(f"cast('{_TOP}' as decimal(38,0))") - last).cast("long")).alias("keep_id"), F.expr(f"cast(rank div cast('{_STEP}' as decimal(38,0)) as int)").alias("keep_n"))
 
 
 def directory(prefixes: dict[int, int], max_depth: int = MAX_DEPTH, capacity: int = CAPACITY) -> list[int]:
@@ -99,12 +105,22 @@ def dedup(docs: DataFrame, max_depth: int = MAX_DEPTH, capacity: int = CAPACITY,
     )
 
 
-def verdicts(rows: DataFrame, index: DataFrame, pages: DataFrame, max_depth: int) -> DataFrame:
-    """rows with keep_id and group_size of their text; rows has doc_id, norm, sha, h and key."""
+def _own_row(doc_id: str, n: str) -> Column:
+    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.col(n).cast("string"))
+
+
+def verdicts(rows: DataFrame, index: DataFrame, pages: DataFrame, max_depth: int, staying: bool = False) -> DataFrame:
+    """rows (of digests) with keep_id and group_size of their text, looked up by bucket, key and, in chains, bytes.
+
+    With staying, only rows with the doc_id and length of the row that stays; both are part of the join, which spreads a hot text.
+    """
     chained = index.groupBy("key").agg(F.count("*").alias("links")).where("links > 1").select("key")
-    looked = rows.withColumn("slot", slot(max_depth)).join(F.broadcast(pages), "slot").drop("slot", "n")
-    found = index.select(F.col("bucket").alias("_bucket"), F.col("key").alias("_key"), F.col("sha").alias("_sha"), "group_size", "keep_id")
+    looked = rows.withColumn("slot", slot(max_depth)).join(F.broadcast(pages), "slot").drop("slot")
+    looked = looked.withColumn("own", _own_row("doc_id", "n")).drop("n")
+    found = index.select(F.col("bucket").alias("_bucket"), F.col("key").alias("_key"), F.col("sha").alias("_sha"), "group_size", "keep_id", _own_row("keep_id", "keep_n").alias("_own"))
     on = [looked["bucket"] == found["_bucket"], looked["key"] == found["_key"]]
+    if staying:
+        on.append(looked["own"] == found["_own"])
     if chained.isEmpty():
         return looked.drop("norm").join(found, on, "inner")
     # Chains: the digest alone doesn't tell the texts apart; the whole texts are compared with the chain's.
@@ -113,14 +129,11 @@ def verdicts(rows: DataFrame, index: DataFrame, pages: DataFrame, max_depth: int
     return linked.join(found, [*on, F.coalesce(F.col("_link"), looked["sha"]) == found["_sha"]], "inner").drop("norm")
 
 
-def keep(docs: DataFrame, max_depth: int = MAX_DEPTH, capacity: int = CAPACITY) -> DataFrame:
-    """The documents that stay, with their columns."""
-    index, pages = build_index(docs, max_depth, capacity)
-    del pages
-    kept = index.select(F.col("sha").alias("_sha"), F.col("keep_id").alias("_keep_id"))
-    keyed = docs.withColumn("_own_sha", F.sha2(normalised(text_or_empty()), 256))
-    same = (keyed["_own_sha"] == kept["_sha"]) & keyed["doc_id"].cast("long").eqNullSafe(kept["_keep_id"])
-    return keyed.join(kept, same, "left_semi").drop("_own_sha")
+def keep(docs: DataFrame, max_depth: int = MAX_DEPTH, capacity: int = CAPACITY, hash_bits: int = 64) -> DataFrame:
+    """The documents that stay, with their columns; of rows that repeat the staying doc_id, text and length, one."""
+    index, pages = build_index(docs, max_depth, capacity, hash_bits)
+    found = verdicts(digests(docs, hash_bits, whole=True), index, pages, max_depth, staying=True)
+    return found.dropDuplicates(["bucket", "key", "own", "sha"]).select("row.*")
 
 
 SQL = r"""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import fold_of
+from tidemark.llm.shared import fold_of, free_name
 
 ORDERS = (1, 2, 3)
 N_BUCKETS = 1 << 16
@@ -60,32 +60,35 @@ def grams(points: np.ndarray, n_buckets: int) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(code points, number of the text of each) for up to CHUNK code points; a longer text comes in overlapping parts."""
-    held: list[np.ndarray] = []
-    owner: list[np.ndarray] = []
-    size = 0
+def chunks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(code points, number of the text of each, whether n-grams may start there) for up to about CHUNK code points.
+
+    A longer text comes in parts that overlap by the longest n-gram but one; an n-gram is counted in the part in which it starts.
+    """
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size, overlap = 0, ORDERS[-1] - 1
+
+    def joined():
+        return tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
     for n, text in enumerate(texts):
         points = code_points(text or "")
-        for at in range(0, max(1, len(points) - ORDERS[-1] + 1), CHUNK):
-            part = points[at : at + CHUNK + ORDERS[-1] - 1]
-            held.append(part)
-            owner.append(np.full(len(part), n, np.int32))
+        for at in range(0, max(1, len(points)), CHUNK):
+            part = points[at : at + CHUNK + overlap]
+            held.append((part, np.full(len(part), n, np.int32), np.arange(len(part)) < CHUNK))
             size += len(part)
             if size >= CHUNK:
-                yield np.concatenate(held), np.concatenate(owner)
-                held, owner, size = [], [], 0
+                yield joined()
+                held, size = [], 0
     if held:
-        yield np.concatenate(held), np.concatenate(owner)
+        yield joined()
 
 
 def per_text(texts: list[str | None], n_buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, text number) of all n-grams within texts. At the joints of a long text's parts lower orders count twice, for at most two positions."""
-    for points, owner in chunks(texts):
+    """(bucket, text number) of all n-grams within texts, each once."""
+    for points, owner, starts in chunks(texts):
         for order, bucket in grams(points, n_buckets):
-            inside = owner[: len(bucket)] == owner[order - 1 :] if order > 1 else np.ones(len(bucket), bool)
-            if order == 1:
-                inside = points != 0
+            inside = starts[: len(bucket)] & (owner[: len(bucket)] == owner[order - 1 :] if order > 1 else points != 0)
             yield bucket[inside], owner[: len(bucket)][inside]
 
 
@@ -163,3 +166,20 @@ def identify(docs: DataFrame, rows_per_lang: int = 4000, n_buckets: int = N_BUCK
     model = docs.sparkSession.sparkContext.broadcast(train(docs.where(fold != 1).select("doc_id", "lang", "text"), rows_per_lang, n_buckets))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == 1).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(partial(_predict, model=model), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def _clear(batches, model, min_score: float):
+    for batch in batches:
+        texts, keep = batch.column(0), []
+        for at in range(0, batch.num_rows, 512):
+            lang, score = model.value.predict(texts.slice(at, 512).to_pylist())
+            keep += [x != UNDETERMINED and s >= min_score for x, s in zip(lang, score, strict=True)]
+        yield pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:]).filter(pa.array(keep, pa.bool_()))
+
+
+def keep(docs: DataFrame, min_score: float = 0.5, rows_per_lang: int = 4000, n_buckets: int = N_BUCKETS) -> DataFrame:
+    """The rows whose language is clear (not `und`, and a posterior of at least min_score), with their columns; rows are judged one by one, without a join."""
+    labelled = docs.where(fold_of(3) != 1).select("doc_id", "lang", "text")
+    model = docs.sparkSession.sparkContext.broadcast(train(labelled, rows_per_lang, n_buckets))
+    whole = docs.select(F.col("text").cast("string").alias(free_name(docs, "_text")), "*")
+    return whole.mapInArrow(partial(_clear, model=model, min_score=min_score), docs.schema)

@@ -6,18 +6,21 @@ processes are independent and seeded by shingle and level; a point counts where
 in the document. Each point picks a register, each register keeps its earliest time, so two documents share a register with the probability of
 their weighted Jaccard similarity. A document's processes are generated in time order, in growing blocks, and stop beyond its latest register.
 
-1. One pass computes signatures in numpy (bands of registers hashed to 64 bits) and a digest of the word sequence; copies of one
-   word sequence collapse to their smallest doc_id before anything is compared.
+1. One pass computes signatures in numpy (bands of registers hashed to 64 bits) and a digest of the word sequence; texts of one
+   word sequence collapse before anything is compared. From here on the digest stands for the text.
 2. Buckets (equal band) with two or more texts give candidate pairs without emitting all pairs of a large bucket: buckets of up to small_bucket
    texts pair their members, a bound; larger ones first pair every member with a hub, the member that shares most buckets with others. Then every pair
    of a large bucket that the links so far don't hold in one component is compared exactly, block against block: blocks hold texts of one size class
    (texts of similarity t differ in size by a factor of at most 1 / t, so only equal and neighbouring classes meet), dealt by a hash, and each
    pair of blocks is one task's product of 0/1 matrices, which gives a spanning forest of its links. Members of the bucket's largest component meet the others only.
+   Whatever is joined by bucket is salted by the bucket's size.
 3. Pairs are verified by exact multiset overlap of the shingles; links of at least the threshold stay.
-4. Classes are the connected components, by repeated contraction to the smallest neighbour; each round is written to the shared folder.
+4. Classes are the connected components, by alternating large and small stars, a logarithmic number of rounds; each is written to the shared folder.
 
-Defined cases: null, empty and blank texts are all alike and form one class; rows that repeat a doc_id share its class when their texts are the same
-(doc_id is the identity of a document); a null doc_id takes no part and gives no row; an empty table gives no rows; other columns are ignored.
+Defined cases: null, empty and blank texts are all alike and form one class; rows that repeat a doc_id count each with its own text, in the class of that text;
+rows with a null doc_id take part, and a class of such rows only has a null class_id; class_id is the smallest doc_id of the class, so
+two classes share one only where rows repeat a doc_id; an empty table gives no
+rows; other columns are ignored by `classes` and kept by `keep`, which keeps one row of each class: of the smallest doc_id, also among rows that repeat it.
 """
 
 from __future__ import annotations
@@ -32,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import stored, text_or_empty
+from tidemark.llm.shared import free_name, row_key, stored, text_hash, text_or_empty
 
 WORDS = 5
 BANDS = 25
 ROWS = 5
 THRESHOLD = 0.8
 SMALL_BUCKET = 12
+#: Rows of a large bucket that share a salt.
+SALT = 256
 #: Texts and shingles of a block at most (one text at least).
 BLOCK = 256
 BLOCK_UNITS = 1 << 22
@@ -192,35 +197,40 @@ def bag_minhash(sh: np.ndarray, of: np.ndarray, weight: np.ndarray, n_texts: int
     return best.reshape(n_texts, registers)
 
 
-_SIGNATURES = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SIGNATURES = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+
+
+def digest_of(words: np.ndarray) -> bytes:
+    return hashlib.blake2b(words.tobytes(), digest_size=16).digest()
 
 
 def _signatures(batches, bands: int, rows: int):
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        texts = batch.column(2).to_pylist()
         for first, words, sizes in batches_of_words(texts):
             sh, of, weight = weighted(*shingles(words, sizes))
             best = bag_minhash(sh, of, weight, len(sizes), bands * rows).view(np.uint64).reshape(len(sizes), bands, rows)
             with np.errstate(over="ignore"):
                 hashed = mix(np.sum(mix(best + np.arange(1, rows + 1, dtype=np.uint64) * _BASE), axis=2, dtype=np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * _K1)
             ends = np.cumsum(sizes)
-            digest = [hashlib.blake2b(words[e - s : e].tobytes(), digest_size=16).digest() for s, e in zip(sizes, ends, strict=True)]
+            digest = [digest_of(words[e - s : e]) for s, e in zip(sizes, ends, strict=True)]
+            own = batch.slice(first, len(sizes))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[first : first + len(sizes)], pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(np.arange(0, len(sizes) * bands + 1, bands, dtype=np.int32), hashed.reshape(-1).view(np.int64))],
+                [own.column(0), own.column(1), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(np.arange(0, len(sizes) * bands + 1, bands, dtype=np.int32), hashed.reshape(-1).view(np.int64))],
                 schema=_SIGNATURES,
             )
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, digest of the word sequence, one 64-bit hash for each band."""
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return texts.mapInArrow(partial(_signatures, bands=bands, rows=rows), "doc_id long, digest binary, bands array<long>")
+    """doc_id, a hash of the text as it is, digest of the word sequence, one 64-bit hash for each band."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), text_or_empty().alias("text"))
+    return texts.mapInArrow(partial(_signatures, bands=bands, rows=rows), "doc_id long, text_hash long, digest binary, bands array<long>")
 
 
 def _bags(batches):
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for first, words, sizes in batches_of_words(texts):
+        texts = batch.column(0).to_pylist()
+        for _, words, sizes in batches_of_words(texts):
             sh, of = shingles(words, sizes)
             run = np.arange(len(sh))
             if len(sh):
@@ -229,19 +239,19 @@ def _bags(batches):
             with np.errstate(over="ignore"):
                 unit = mix(sh + run.astype(np.uint64) * _K2).view(np.int64)
             offsets = np.searchsorted(of, np.arange(len(sizes) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + len(sizes)], pa.int64()), pa.ListArray.from_arrays(offsets, unit)], names=["doc_id", "bag"])
+            digest = [digest_of(words[e - s : e]) for s, e in zip(sizes, np.cumsum(sizes), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.ListArray.from_arrays(offsets, unit)], names=["doc", "bag"])
 
 
 def bags(docs: DataFrame) -> DataFrame:
-    """doc_id and its multiset as distinct 64-bit units: the k-th occurrence of a shingle is a unit of its own."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return texts.mapInArrow(_bags, "doc_id long, bag array<long>")
+    """Digest of each text as doc, and its multiset as distinct 64-bit units: the k-th occurrence of a shingle is a unit of its own."""
+    return docs.select(text_or_empty().alias("text")).mapInArrow(_bags, "doc binary, bag array<long>")
 
 
 def verified(pairs: DataFrame, bag_table: DataFrame, threshold: float) -> DataFrame:
     """pairs (a, b) with weighted Jaccard similarity of at least threshold."""
-    left = bag_table.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a"))
-    right = bag_table.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b"))
+    left = bag_table.select(F.col("doc").alias("a"), F.col("bag").alias("bag_a"))
+    right = bag_table.select(F.col("doc").alias("b"), F.col("bag").alias("bag_b"))
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("bag_a", "bag_b"))
     return both.where(shared >= threshold * (F.size("bag_a") + F.size("bag_b") - shared) - 1e-9).select("a", "b")
@@ -250,37 +260,52 @@ def verified(pairs: DataFrame, bag_table: DataFrame, threshold: float) -> DataFr
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each connected component; nodes without links don't appear.
 
-    Each round maps every node to its smallest neighbour or itself and renames the links, which at least halves the nodes
-    of a component that still have links; both tables are written to the shared folder.
+    Large star: every node hands its larger neighbours to the smallest node around it. Small star: it hands the smaller ones. In turn they shorten
+    any path by about half, so chains of any order need a logarithmic number of rounds; a round that changes nothing has left stars.
     """
-    maps = []
-    edges = links.select("a", "b").where("a != b").distinct()
-    while True:
-        both = stored(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-        if both.isEmpty():
+    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
+    before = fingerprint(edges)
+    while before[0]:
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = stored(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        after = fingerprint(edges)
+        if after == before:
             break
-        up = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "roots")
-        maps.append(up)
-        one = both.where("a < b").join(up.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
-        two = one.join(up.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
-        edges = two.where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-    if not maps:
-        return links.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
-    out = maps[0]
-    for up in maps[1:]:
-        out = out.join(up.select(F.col("node").alias("root"), F.col("root").alias("higher")), "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
-    return out
+        before = after
+    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def fingerprint(edges: DataFrame) -> tuple:
+    """Number of edges and two order-free hashes of them."""
+    h = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31)))).first())
+
+
+def salted(df: DataFrame, by: str = "doc") -> DataFrame:
+    """A salt for each row of a bucket of n texts: about SALT rows share one."""
+    return df.withColumn("salt", F.pmod(F.xxhash64(by, F.lit("salt")), F.ceil(F.col("n") / SALT)).cast("int"))
+
+
+def for_all_salts(df: DataFrame) -> DataFrame:
+    """Rows of a table by bucket, once for each salt of the bucket's n texts."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / SALT).cast("int") - 1)))
 
 
 def candidate_rounds(members: DataFrame, small: int) -> DataFrame:
     """Pairs (a, b) of small buckets, and of each other bucket's hub with its members. members: bucket, doc, n (size of the bucket)."""
     few = members.where(F.col("n") <= small).groupBy("bucket").agg(F.sort_array(F.collect_set("doc")).alias("d"))
     paired = few.select(F.explode(F.expr("flatten(transform(d, (x, i) -> transform(slice(d, i + 2, size(d)), y -> named_struct('a', x, 'b', y))))")).alias("p")).select("p.a", "p.b")
-    many = members.where(F.col("n") > small)
+    many = salted(members.where(F.col("n") > small))
     score = many.groupBy("doc").agg(F.sum("n").alias("score"))
     scored = many.join(score, "doc")
-    hubs = scored.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("doc")).alias("neg"))).alias("top")).select("bucket", (-F.col("top.neg")).alias("hub"))
-    hubbed = many.join(hubs, "bucket").where("doc != hub").select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b"))
+    best = scored.groupBy("bucket", "salt").agg(F.max(F.struct("score", "doc")).alias("top"), F.max("n").alias("n"))
+    hubs = best.groupBy("bucket").agg(F.max("top").alias("top"), F.max("n").alias("n")).select("bucket", "n", F.col("top.doc").alias("hub"))
+    hubbed = many.drop("n").join(for_all_salts(hubs), ["bucket", "salt"]).where("doc != hub").select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b"))
     return paired.union(hubbed).distinct()
 
 
@@ -319,31 +344,31 @@ def _block_links(frame, threshold: float):
             seen[new] = True
             out += [(min(docs[x], docs[y]), max(docs[x], docs[y])) for y in new]
             waiting += new.tolist()
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    return pd.DataFrame(out, columns=["a", "b"])
 
 
 def block_links(large: DataFrame, roots: DataFrame, bag_table: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) that, with those behind roots (node, root), join all alike texts of each bucket. large: bucket, doc."""
+    """Links (a, b) that, with those behind roots (node, root), join all alike texts of each bucket. large: bucket, doc, n."""
     step = math.log(1 / threshold) + 1e-6
-    sizes = bag_table.select(F.col("doc_id").alias("doc"), F.floor(F.log(F.greatest(F.size("bag"), F.lit(1)).cast("double")) / step).cast("int").alias("class"))
-    placed = large.join(roots.withColumnRenamed("node", "doc"), "doc", "left").join(sizes, "doc").select("bucket", "doc", F.coalesce("root", "doc").alias("root"), "class")
-    placed = stored(placed, "placed")
-    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    top = parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("top.root").alias("largest"))
+    sizes = bag_table.select("doc", F.floor(F.log(F.greatest(F.size("bag"), F.lit(1)).cast("double")) / step).cast("int").alias("class"))
+    placed = large.join(roots.withColumnRenamed("node", "doc"), "doc", "left").join(sizes, "doc").select("bucket", "doc", "n", F.coalesce("root", "doc").alias("root"), "class")
+    placed = stored(salted(placed), "placed")
+    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("held"), F.max("n").alias("n"))
+    top = parts.groupBy("bucket").agg(F.max(F.struct("held", "root")).alias("top"), F.count("*").alias("roots"), F.max("n").alias("n")).where("roots > 1").select("bucket", "n", F.col("top.root").alias("largest"))
     cell = ["bucket", "class", "main"]
-    split = placed.join(top, "bucket").select("bucket", "doc", "root", "class", (F.col("root") == F.col("largest")).alias("main"))
+    split = placed.drop("n").join(for_all_salts(top), ["bucket", "salt"]).select("bucket", "doc", "root", "class", (F.col("root") == F.col("largest")).alias("main"), "n", "salt")
     most = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK)), F.floor(F.lit(float(BLOCK_UNITS)) / F.exp((F.col("class") + 1) * step)).cast("double")))
-    cells = stored(split.groupBy(*cell).agg(F.count("*").alias("n")).select(*cell, F.ceil(F.col("n") / most).cast("int").alias("blocks")), "cells")
+    cells = stored(split.groupBy(*cell).agg(F.count("*").alias("held"), F.max("n").alias("n")).select(*cell, "n", F.ceil(F.col("held") / most).cast("int").alias("blocks")), "cells")
     blocks = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.struct("class", "main", "part").alias("x"))
     both = blocks.join(blocks.withColumnRenamed("x", "y"), "bucket").where("x <= y and abs(x.class - y.class) <= 1 and not (x.main and y.main)")
     job = F.xxhash64("bucket", "x", "y").alias("job")
     ends = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("at"), F.lit(2).alias("side"))))
     ends = ends.otherwise(F.array(F.struct(F.col("x").alias("at"), F.lit(0).alias("side")), F.struct(F.col("y").alias("at"), F.lit(1).alias("side"))))
     sides = both.select("bucket", job, F.explode(ends).alias("e")).select("bucket", "job", "e.at.class", "e.at.main", "e.at.part", "e.side")
-    dealt = split.join(cells, cell).select(*cell, F.pmod(F.xxhash64("doc", F.lit("block")), F.col("blocks")).cast("int").alias("part"), "doc", "root")
+    dealt = split.drop("n").join(for_all_salts(cells), [*cell, "salt"]).select(*cell, F.pmod(F.xxhash64("doc", F.lit("block")), F.col("blocks")).cast("int").alias("part"), "doc", "root")
     rows = dealt.join(sides, [*cell, "part"]).select("job", "side", "doc", "root")
-    filled = rows.join(bag_table.withColumnRenamed("doc_id", "doc"), "doc")
-    return filled.groupBy("job").applyInPandas(partial(_block_links, threshold=threshold), "a long, b long")
+    filled = rows.join(bag_table, "doc")
+    return filled.groupBy("job").applyInPandas(partial(_block_links, threshold=threshold), "a binary, b binary")
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
@@ -352,35 +377,52 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return stored(rows.join(sizes, "bucket"), "members")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest doc_id of the class), is_representative."""
+def bags_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Bags of the texts in wanted (doc, rep): read from the rows of those ids, and from all rows without an id, since an id doesn't tell those apart."""
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    named = some.join(wanted.select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct().hint("merge"), "doc_id", "left_semi")
+    found = bags(named.union(some.where("doc_id is null")) if wanted.where("rep is null").take(1) else named)
+    return stored(found.dropDuplicates(["doc"]), "bags")
+
+
+def labelled(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
+    """One row per document: doc_id, text_hash, class_id and the row that stays for its class as a struct of doc_id and text_hash."""
     sig = stored(signatures(docs, bands, rows), "signatures")
-    copies = stored(sig.groupBy("digest").agg(F.min("doc_id").alias("rep")), "copies")
-    reps = sig.join(copies.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = reps.select(F.col("doc_id").alias("doc"), "bands")
-    members = shared_buckets(reps.select("doc", F.explode("bands").alias("bucket")))
+    # Null ids come last: the first field tells whether there is none.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    copies = stored(sig.groupBy("digest").agg(first.alias("first"), F.any_value("bands").alias("bands")).withColumnRenamed("digest", "doc"), "copies")
+    members = shared_buckets(copies.select("doc", F.explode("bands").alias("bucket")))
     found = None
     if not members.isEmpty():
-        wanted = members.select(F.col("doc").alias("_doc")).distinct()
-        some = docs.join(wanted.hint("merge"), F.col("doc_id").cast("long") == F.col("_doc"), "left_semi")
-        bag_table = stored(bags(some).dropDuplicates(["doc_id"]), "bags")
+        wanted = copies.select("doc", F.col("first.doc_id").alias("rep")).join(members.select("doc").distinct(), "doc", "left_semi")
+        bag_table = bags_of(docs, wanted)
         found = stored(verified(candidate_rounds(members, small_bucket), bag_table, threshold), "verified")
         large = members.where(F.col("n") > small_bucket)
         if not large.isEmpty():
             roots = stored(components(found), "components")
-            found = found.union(stored(block_links(large.select("bucket", "doc"), roots, bag_table, threshold), "block-links"))
-    label = copies.select(F.col("digest").alias("_digest"), "rep")
+            found = found.union(stored(block_links(large, roots, bag_table, threshold), "block-links"))
+    label = copies.select("doc", "first")
     if found is not None:
-        roots = components(found).select(F.col("node").alias("rep"), "root")
-        label = label.join(roots, "rep", "left")
-    else:
-        label = label.withColumn("root", F.lit(None).cast("long"))
-    label = label.select("_digest", F.coalesce("root", "rep").alias("class_id"))
-    out = sig.select("doc_id", "digest").join(label, F.col("digest") == F.col("_digest"))
-    return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("is_representative"))
+        linked = label.join(components(found).withColumnRenamed("node", "doc"), "doc")
+        linked = linked.join(linked.groupBy("root").agg(F.min("first").alias("class_first")), "root").select("doc", "class_first")
+        label = label.join(linked, "doc", "left").select("doc", F.coalesce("class_first", "first").alias("first"))
+    label = label.select(F.col("doc").alias("digest"), F.struct("first.doc_id", "first.text_hash").alias("stays"))
+    return sig.select("doc_id", "text_hash", "digest").join(label, "digest").select("doc_id", "text_hash", F.col("stays.doc_id").alias("class_id"), "stays")
+
+
+def _stays():
+    return F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("text_hash") == F.col("stays.text_hash"))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
+    """One row per document: doc_id, class_id (smallest doc_id of the class), is_representative (its text and doc_id are those that stay)."""
+    return labelled(docs, threshold, bands, rows, small_bucket).select("doc_id", "class_id", _stays().alias("is_representative"))
 
 
 def keep(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class, with its columns; documents with a null doc_id stay."""
-    gone = classes(docs, threshold).where("not is_representative").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """One row of each class, with its columns."""
+    gone = labelled(docs, threshold).where(~_stays()).select(row_key("doc_id", F.col("text_hash")).alias("_gone")).distinct()
+    key = free_name(docs, "_key")
+    keyed = docs.withColumn(key, row_key("doc_id", text_hash()))
+    # Rows that repeat the doc_id and the text that stay are in one partition now.
+    return keyed.join(gone.hint("merge"), keyed[key] == gone["_gone"], "left_anti").dropDuplicates([key]).drop(key)

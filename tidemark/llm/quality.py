@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import stored, text_or_empty
+from tidemark.llm.shared import free_name, row_key, stored, text_hash, text_or_empty
 
 MIN_WORDS = 50
 #: Strict and lenient limits: symbols for each word, share of lines that repeat an earlier one.
@@ -54,19 +54,20 @@ def repeat_words(words: str) -> str:
 
 
 def measured(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, host and the counts of each document."""
-    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), text_or_empty().alias("t"))
+    """doc_id, host, a hash of the text and the counts of each document."""
+    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), text_or_empty().alias("t"), text_hash().alias("text_hash"))
     words = f"if(btrim(t, {_BLANK}) = '', cast(array() as array<string>), split(btrim(t, {_BLANK}), {_SPACES}))"
     lines = _let("l", f"filter(split(t, '\\n'), x -> btrim(x, {_BLANK}) != '')", "named_struct('n', cast(size(l) as long), 'd', cast(size(l) - size(array_distinct(l)) as long))")
     both = _let("w0", words, f"named_struct('n', cast(size(w0) as long), 'r', {repeat_words('w0')})")
     return t.select(
         "doc_id",
         "host",
+        "text_hash",
         F.expr(both).alias("w"),
         F.expr(lines).alias("l"),
         F.expr(f"cast(char_length(regexp_replace(t, {_SPACES}, '')) as long)").alias("word_chars"),
         F.expr("cast(char_length(t) - char_length(regexp_replace(t, '[#*$%&|<>]+', '')) as long)").alias("n_symbols"),
-    ).select("doc_id", "host", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", F.col("l.d").alias("n_dup_lines"), F.col("w.r").alias("n_repeat_words"), F.col("l.n").alias("n_lines"))
+    ).select("doc_id", "host", "text_hash", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", F.col("l.d").alias("n_dup_lines"), F.col("w.r").alias("n_repeat_words"), F.col("l.n").alias("n_lines"))
 
 
 def base_failed() -> Column:
@@ -114,6 +115,10 @@ def beta_prior(n: float, f: float, ff: float) -> tuple[float, float]:
 
 def assess(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """One row per document: its counts, base_failed, kept and the host's shrunk rates."""
+    return _judged(docs, host, max_host_rate).drop("text_hash")
+
+
+def _judged(docs: DataFrame, host: str, max_host_rate: float) -> DataFrame:
     counts = stored(measured(docs, host), "quality-counts")
     rates = host_rates(counts).select(F.col("host").alias("_host"), "n_docs", *[f"{name}_rate" for name in RULES])
     rows = counts.join(rates, counts["host"].eqNullSafe(rates["_host"]), "left")
@@ -121,14 +126,20 @@ def assess(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_HOS
     rejected = fails[0] | fails[1] | fails[2]
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"),
-        (~rejected).alias("kept"), "host", F.col("n_docs").alias("host_docs"), *[F.round(f"{name}_rate", 9).alias(f"host_{name}_rate") for name in RULES],
+        (~rejected).alias("kept"), "host", F.col("n_docs").alias("host_docs"), *[F.round(f"{name}_rate", 9).alias(f"host_{name}_rate") for name in RULES], "text_hash",
     )
 
 
-def keep(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The documents that pass, with their columns. Verdicts are joined by doc_id, null-safe."""
-    kept = assess(docs, host).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
+def keep(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """The documents that pass, with their columns. A verdict holds for the rows with its doc_id, host and text."""
+
+    def key(host_column: str, text: Column) -> Column:
+        return row_key("doc_id", F.concat_ws(":", text, F.xxhash64(F.col(host_column).cast("string"))))
+
+    kept = _judged(docs, host, max_host_rate).where("kept").select(key("host", F.col("text_hash")).alias("_kept"))
+    name = free_name(docs, "_key")
+    keyed = docs.withColumn(name, key(host, text_hash()))
+    return keyed.join(kept, keyed[name] == kept["_kept"], "left_semi").drop(name)
 
 
 SQL = r"""

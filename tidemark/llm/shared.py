@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Code points that separate words and lines everywhere here: [\x20\x09-\x0D].
@@ -65,6 +65,24 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def text_hash(name: str = "text") -> Column:
+    """Tells the texts of rows with one doc_id apart."""
+    return F.xxhash64(text_or_empty(name))
+
+
+def row_key(doc_id: str, text: Column) -> Column:
+    """A row by its id, which may be null, and its text_hash; rows that repeat both have one key."""
+    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("null")), text)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold_of(n_folds: int, name: str = "doc_id"):
     """crc32 of the id as text, modulo n_folds; a null id falls in fold 0."""
     return F.coalesce(F.crc32(F.col(name).cast("string")) % n_folds, F.lit(0))
