@@ -1,9 +1,13 @@
-"""Corpus pipeline: quality rules, language ID, exact dedup, near-duplicate removal, packing."""
+"""Corpus pipeline: quality rules, language ID, exact dedup, near-duplicate removal, packing.
+
+Defined cases: a null or empty text fails the quality rules; rows with a null doc_id go through all stages by their text, and their pieces carry a null
+doc_id; of rows that repeat doc_id and text one stays from exact dedup on, while rows that repeat a doc_id with other texts are judged one by one;
+further columns of documents, whatever their names, are carried to the last stage and ignored there; an empty table gives no pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, langid, near_dedup, packing, quality
 from tidemark.llm.shared import stored, table
@@ -16,8 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those whose language stays unclear (posterior under one half)."""
-    clear = langid.identify(docs).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= 0.5)).select(F.col("doc_id").alias("_clear")).distinct()
-    return docs.join(clear, docs["doc_id"].cast("long").eqNullSafe(clear["_clear"]), "left_semi")
+    return langid.keep(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
