@@ -4,9 +4,11 @@ import base64
 import collections
 import gzip
 import hashlib
+import io
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -127,6 +129,48 @@ def test_html_held_out_generated_pages():
     assert hit / said > 0.95 and hit / real > 0.97
 
 
+#: Layouts that the generator doesn't make: main blocks and the whole page.
+BLOG = ["A walk along the river", "We set out at seven in the morning, when fog still lay over the water, and nobody else was about.", "After the second bridge the path turns to gravel. Bring good shoes, since it had rained for a week.", "What to bring", "Water, bread and a map of the valley.", "We were home before dark, tired but very pleased with the day."]
+NEWS = ["Council votes to keep the old library open", "The city council decided on Tuesday, by nine votes to four, that the old library will stay open for two more years.", "\u201cWe heard the readers,\u201d said the mayor after the meeting.", "Repairs to the roof will start in spring and cost about two million."]
+DOCS = ["Installing the package", "Download the archive and unpack it into a folder of your choice.", "Open a terminal in that folder.", "Run the installer and follow what it says on the screen.", "If the installer stops, look into the log file first; most faults are named there."]
+LAYOUTS = [
+    (BLOG, "<html><head><title>x</title><script>var a='<p>no</p>';</script></head><body class='home blog'><div id='page' class='hfeed site'><div class='site-header'><a href='/'>My trips</a><ul class='main-menu'><li><a href='/a'>About</a></li><li><a href='/b'>Archive</a></li></ul></div>"
+     "<div class='content-area'><div class='entry-content'><h1>{}</h1><p>{}</p><p>{}</p><h2>{}</h2><ul><li>{}</li></ul><p>{}</p></div></div><div class='sidebar'><h3>Recent</h3><ul><li><a href='/1'>One</a></li><li><a href='/2'>Two</a></li></ul></div>"
+     "<div id='comments'><p>Lovely post, thanks for the map!</p><p>I went there too.</p></div><div class='site-footer'><p>Copyright by me. All rights reserved.</p></div></div></body></html>"),
+    (NEWS, "<html><body><div class='cookie-banner'>We use cookies. <button>Fine</button></div><nav><a href='/'>Home</a> <a href='/city'>City</a> <a href='/sport'>Sport</a></nav><main><article><h1>{}</h1><figure><img src='x.jpg'></figure><p>{}</p>"
+     "<div class='advert'>Buy shoes now, half price!</div><p>{}</p><p>{}</p></article><aside class='related'><h3>Read on</h3><a href='/z'>Bridge closed</a></aside></main><footer><p>Imprint and privacy</p></footer></body></html>"),
+    (DOCS, "<body><table width='100%'><tr><td><div class='toc nav'><a href='#1'>Start</a><br><a href='#2'>Use</a></div></td><td><div id='content'><h1>{}</h1><p>{}</p><ol><li>{}</li><li>{}</li></ol><p>{}</p></div></td></tr></table><form action='/q'><input name='q'><button>Search</button></form></body>"),
+    (NEWS, "<body><section class='css-9xk2'><h1>{}</h1><div class='css-77a'><p>{}</p><blockquote>{}</blockquote><p>{}</p></div></section><div class='newsletterSignup'><p>Get our letter every week.</p></div><div hidden><p>Please log in to read more.</p></div></body>"),
+    (BLOG, "<body><header class='masthead'><h2>Rivers</h2></header><div class='post'><h1>{}</h1>{}<br><br>{}<h3>{}</h3><p>{}<p>{}<div class='share-buttons'><a href='/s'>Share</a></div></div><div class='reply-list'><div class='reply'>First!</div></div></body>"),
+]
+
+
+def test_html_layouts_that_the_generator_does_not_make():
+    hit = said = real = 0
+    for main, layout in LAYOUTS:
+        (got,) = html_extract.extract_many([layout.format(*main)], html_extract.trained())
+        want = " ".join(main).split()
+        common = sum((collections.Counter(got.split()) & collections.Counter(want)).values())
+        hit, said, real = hit + common, said + len(got.split()), real + len(want)
+    assert hit / said >= 0.95 and hit / real >= 0.95, (hit, said, real)
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a "', "<!--", "<", "<a \"'>", "<b></i>", "<p class=ad "])
+def test_html_takes_time_in_proportion_to_the_page(unit):
+    page = unit * (1_000_000 // len(unit))
+    start = time.perf_counter()
+    html_extract.Page(page)
+    assert time.perf_counter() - start < 2
+
+
+def test_html_tags_with_odd_quotes_end_at_the_next_bracket():
+    def text(html):
+        return "|".join(html_extract.Page(html).texts.values())
+
+    assert text("<p title='a > b'>x</p>") == "x" and text("<p title='a>x</p>y") == "x|y"
+    assert text("a < b <p>c") == "a < b|c" and text("no <a tag") == "no <a tag" and text("</3 x") == "</3 x"
+
+
 def test_hierarchical_decoding_is_the_best_consistent_labelling():
     rng = np.random.default_rng(2)
     for _ in range(40):
@@ -174,6 +218,17 @@ def test_warc_chunks_rebuild_payloads(pages):
             assert gzip.decompress(f.read()).startswith(b"WARC/1.1\r\n")
 
 
+def test_warc_record_ids_are_unique_and_digests_are_compared(pages):
+    folder, manifest = warc.write(pages)
+    rows = stored(warc.read_chunks(folder, manifest, with_data=False), "chunks").where("is_last").collect()
+    assert len({r.record_id for r in rows}) == len(rows) == len(PAGES)
+    out = io.BytesIO()
+    warc.write_record(out, warc.record_id("x", 0), 1, "u", "payload", None)
+    plain = gzip.decompress(out.getvalue()).replace(b"payload\r\n\r\n", b"PAYLOAD\r\n\r\n")
+    with pytest.raises(ValueError, match="differs from its digest"):
+        list(warc.read_archive(io.BytesIO(gzip.compress(plain))))
+
+
 def test_lm_base_counts(docs, corpus):
     for df in (docs, corpus):
         rows = [(r.doc_id, lm_score.tokens_of(r.text or "")) for r in df.collect()]

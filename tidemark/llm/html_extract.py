@@ -1,14 +1,16 @@
 """Main text of web pages: gradient-boosted trees over DOM-node features, decoded top-down.
 
-A page becomes a tree of block elements, attributed inline elements and text blocks. Each node gets features: density of text and
-links in its subtree, tokens of its class, id and role, its depth, its siblings, and what its ancestors are. Boosted regression
+A page becomes a tree of block elements, inline elements whose attributes speak against main text, and text blocks. Each node gets features: density of text and
+links in its subtree, tokens of its class, id and role, its depth, its siblings, and what its ancestors are. Tokens are hashed, and each bucket's weight (the
+log-odds that an element with such a token holds main text) is learned from the training pages; a token never seen weighs nothing. Boosted regression
 trees (logistic loss, histogram splits, numpy) give the log-odds that a node holds main text. The trees are trained here, on the driver, once for each
 process, from generated pages with known main text (a fixed number, whatever the input). Hierarchical decoding takes the labelling of the
 whole tree with the greatest likelihood under the rule that a node can hold main text only if its parent does, so no text survives inside a rejected
 ancestor and no ancestor of kept text is rejected.
 
-Defined cases: null or empty html gives the empty text; a page without markup is one text block; unclosed comments, scripts and tags run to the end of
-their scope; repeated rows are extracted alike; nulls in page_id and url are carried; other columns are ignored. A page is handled alone, so memory is in
+Defined cases: null or empty html gives the empty text; a page without markup is one text block; unclosed comments and scripts run to the end of
+their scope; a tag without any later `>` is text; a tag whose quotes don't close ends at the next `>`, as does every tag of a page on which looking for closing
+quotes has cost more than a few times its length, so parsing takes time in proportion to the page; repeated rows are extracted alike; nulls in page_id and url are carried; other columns are ignored. A page is handled alone, so memory is in
 proportion to the longest page.
 """
 
@@ -18,6 +20,7 @@ import html as html_module
 import random
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache, partial
 
@@ -38,38 +41,55 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 CLOSE_P = BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary", "figcaption", "dd", "dt", "li"} | {"li", "dd", "dt"}
 
-# Attribute tokens that speak against and for main text.
-AGAINST = frozenset(
-    "nav navbar navigation menu header masthead topbar footer foot bottom sidebar side aside rail ad ads advert advertisement adv banner sponsor sponsored promo promotion "
-    "cookie cookies consent notice notices gdpr alert popup modal overlay newsletter subscribe signup login form search share sharing social comment comments respond reply replies disqus "
-    "discussion related recommended trending breadcrumb breadcrumbs pagination pager widget widgets toolbar tags tag copyright legal disclaimer skip hidden".split()
-)
-FOR = frozenset("article content main body post entry story text blog news page prose markdown copy hentry articlebody".split())
 ROLES = ("nav", "header", "footer", "aside", "form", "article", "main", "section", "div", "p", "li", "table", "heading", "body", "inline", "text")
-_TAG = re.compile(r"<(?:!--(?:.*?)(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _TOKEN = re.compile(r"[a-z]+")
-N_FEATURES = len(ROLES) + 17
+N_FEATURES = len(ROLES) + 19
+N_BUCKETS = 1 << 14
+HIDDEN = "#hidden"
+#: Below this weight an inline element is a node of its own.
+AGAINST = -1.0
+#: How often looking for closing quotes may run over a page before every tag ends at its first `>`.
+PASSES = 8
+
+
+def attribute_tokens(attributes: str) -> frozenset[int]:
+    """Buckets of the tokens of class, id, role and the like."""
+    return _tokens_cached(attributes) if len(attributes) < 200 else _tokens(attributes)
+
 
+def bucket_of(token: str) -> int:
+    return zlib.crc32(token.encode()) % N_BUCKETS
 
-@lru_cache(maxsize=4096)
-def attribute_signs(attributes: str) -> tuple[int, int]:
-    """How many attribute tokens speak against and for main text."""
+
+def _tokens(attributes: str) -> frozenset[int]:
     tokens = set()
     for values in _ATTR.findall(attributes):
         value = re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(values))
         tokens.update(_TOKEN.findall(value.lower()))
-    return len(tokens & AGAINST) + bool(_HIDDEN.search(attributes)), len(tokens & FOR)
+    if _HIDDEN.search(attributes):
+        tokens.add(HIDDEN)
+    return frozenset(map(bucket_of, tokens))
+
+
+_tokens_cached = lru_cache(maxsize=4096)(_tokens)
+_NONE: frozenset[int] = frozenset()
 
 
 class Page:
     """Nodes in page order as parallel lists. Text nodes have tag `#`; their text is in `texts`."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, weights: np.ndarray | None = None):
+        """weights: of token buckets; without them tokens are gathered only."""
+        self.weights = weights
         self.tag: list[str] = ["#root"]
         self.parent: list[int] = [-1]
-        self.signs: list[tuple[int, int]] = [(0, 0)]
+        self.tokens: list[frozenset[int]] = [_NONE]
+        self.signs: list[tuple[float, float]] = [(0.0, 0.0)]  # sums of the weights of its tokens: of those below zero, of those above
         self.depth, self.place, self.children = [0], [0], [0]
         self.texts: dict[int, str] = {}
         self.link_chars: dict[int, int] = {}
@@ -77,12 +97,13 @@ class Page:
         self._run: list[str] = []
         self._linked = 0
         self._run_node = 0
-        self._anchors = 0
+        self._names: Counter[str] = Counter()  # of open elements
         self._read(html)
 
-    def _node(self, tag: str, parent: int, signs: tuple[int, int]) -> int:
+    def _node(self, tag: str, parent: int, tokens: frozenset[int], signs: tuple[float, float]) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
+        self.tokens.append(tokens)
         self.signs.append(signs)
         self.depth.append(self.depth[parent] + 1)
         self.place.append(self.children[parent])
@@ -95,31 +116,38 @@ class Page:
             return
         text = " ".join("".join(self._run).split())
         if text:
-            k = self._node("#", self._run_node, (0, 0))
+            k = self._node("#", self._run_node, _NONE, (0.0, 0.0))
             self.texts[k] = text
             self.link_chars[k] = min(self._linked, len(text))
         self._run.clear()
         self._linked = 0
 
+    def _signs(self, tokens: frozenset[int]) -> tuple[float, float]:
+        if self.weights is None or not tokens:
+            return 0.0, 0.0
+        w = [float(self.weights[t]) for t in tokens]
+        return sum(x for x in w if x < 0), sum(x for x in w if x > 0)
+
     def _open(self, name: str, attributes: str) -> None:
-        signs = attribute_signs(attributes) if attributes else (0, 0)
+        tokens = attribute_tokens(attributes) if attributes else _NONE
+        signs = self._signs(tokens)
         node = self._stack[-1][1]
-        if name in BLOCKS or name in SILENT or (signs[0] and name not in VOID):
+        if name in BLOCKS or name in SILENT or (sum(signs) < AGAINST and name not in VOID):
             self._flush()
-            node = self._node(name, node, signs)
+            node = self._node(name, node, tokens, signs)
         if name not in VOID:
             self._stack.append((name, node))
-            self._anchors += name == "a"
+            self._names[name] += 1
 
     def _close_to(self, depth: int) -> None:
         if self._stack[-1][1] != self._stack[depth - 1][1]:
             self._flush()
-        if self._anchors:
-            self._anchors -= sum(name == "a" for name, _ in self._stack[depth:])
+        for name, _ in self._stack[depth:]:
+            self._names[name] -= 1
         del self._stack[depth:]
 
     def _implied(self, name: str) -> None:
-        if name in CLOSES:
+        if name in CLOSES and any(self._names[x] for x in CLOSES[name]):
             for depth in range(len(self._stack) - 1, 0, -1):
                 own = self._stack[depth][0]
                 if own in CLOSES[name]:
@@ -128,7 +156,7 @@ class Page:
                         break
                 elif own in SCOPES[name]:
                     break
-        if name in CLOSE_P:
+        if name in CLOSE_P and self._names["p"]:
             for depth in range(len(self._stack) - 1, 0, -1):
                 own = self._stack[depth][0]
                 if own == "p":
@@ -138,6 +166,8 @@ class Page:
                     break
 
     def _end(self, name: str) -> None:
+        if not self._names[name]:
+            return
         for depth in range(len(self._stack) - 1, 0, -1):
             own = self._stack[depth][0]
             if own == name:
@@ -153,41 +183,87 @@ class Page:
         self._run_node = node
         text = html_module.unescape(raw) if "&" in raw else raw
         self._run.append(text)
-        if self._anchors:
+        if self._names["a"]:
             self._linked += len(text.strip())
 
+    def _tag_end(self, html: str, at: int) -> int:
+        """Where the tag that starts at `at` ends (past its `>`), or -1 if there is no later `>`."""
+        first = html.find(">", at)
+        if first < 0:
+            return -1
+        place = at
+        while self._budget > 0:
+            stop = _STOP.search(html, place)
+            if stop is None:
+                break
+            if stop[0] == ">":
+                return stop.end()
+            close = html.find(stop[0], stop.end())
+            if close < 0:
+                break
+            place = close + 1
+        else:
+            return first + 1
+        self._budget -= len(html) - at
+        return first + 1
+
     def _read(self, html: str) -> None:
-        at, size = 0, len(html)
+        at = text_from = 0
+        size = len(html)
+        self._budget = PASSES * size
         while at < size:
-            m = _TAG.search(html, at)
-            start = m.start() if m else size
-            if start > at:
-                self._text(html[at:start])
-            if not m:
+            opened = _OPEN.search(html, at)
+            if opened is None:
                 break
-            at = m.end()
-            name = m[2]
-            if not name:
-                continue
-            name = name.lower()
-            if m[1]:
-                self._end(name)
+            start = opened.start()
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4) + 3
+            elif html.startswith("<![CDATA[", start):
+                end = html.find("]]>", start) + 3
+            elif html[start + 1 : start + 2] in ("!", "?"):
+                end = html.find(">", start) + 1
+            else:
+                named = _NAME.match(html, start + 1)
+                if named is None:
+                    at = start + 1
+                    continue
+                end = self._tag_end(html, named.end())
+                if end < 0:
+                    break  # no tag follows: the rest is text
+                if start > text_from:
+                    self._text(html[text_from:start])
+                at = text_from = self._element(html, named[0].lower(), html[named.end() : end - 1], end)
                 continue
-            if name == "br":
-                self._text(" ")
-                continue
-            self._implied(name)
-            closed = m[3].endswith("/") and name in ("svg", "path")
-            self._open(name, m[3])
-            if name in RAW:
-                end = re.compile(rf"</{name}[\s/>]", re.I).search(html, at)
-                stop = end.start() if end else size
-                at = (html.find(">", stop) + 1 or size) if end else size
-                self._close_to(len(self._stack) - 1)
-            elif closed:
-                self._close_to(len(self._stack) - 1)
+            if start > text_from:
+                self._text(html[text_from:start])
+            at = text_from = end if end > start + 2 else size
+        if text_from < size:
+            self._text(html[text_from:])
         self._flush()
 
+    def _element(self, html: str, name: str, attributes: str, at: int) -> int:
+        """Handles a tag that ends at `at`; where reading goes on."""
+        if name[0] == "/":
+            self._end(name[1:])
+            return at
+        if name == "br":
+            self._text(" ")
+            return at
+        self._implied(name)
+        self._open(name, attributes)
+        if name in RAW:
+            end = _raw_end(name).search(html, at)
+            at = (html.find(">", end.start()) + 1 or len(html)) if end else len(html)
+            self._close_to(len(self._stack) - 1)
+        elif attributes.endswith("/") and name in ("svg", "path"):
+            self._close_to(len(self._stack) - 1)
+        return at
+
+
+@lru_cache(maxsize=16)
+def _raw_end(name: str) -> re.Pattern[str]:
+    return re.compile(rf"</{name}[\s/>]", re.I)
+
 
 def _role(tag: str) -> int:
     if tag == "#":
@@ -256,8 +332,8 @@ def features(pages: list[Page]) -> np.ndarray:
     for d in range(depth.max(), 0, -1):
         own = by_depth[edges[d] : edges[d + 1]]
         np.add.at(sums, parent[own], sums[own])
-    above = np.zeros((n, 2))
-    gives = np.stack([signs[:, 0] + against, signs[:, 1] + pro], axis=1)
+    above = np.zeros((n, 4))
+    gives = np.stack([signs[:, 0], signs[:, 1], against, pro], axis=1)
     for d in range(1, depth.max() + 1):
         own = by_depth[edges[d] : edges[d + 1]]
         above[own] = above[parent[own]] + gives[parent[own]]
@@ -266,7 +342,7 @@ def features(pages: list[Page]) -> np.ndarray:
     x = np.zeros((n, N_FEATURES), np.float32)
     x[np.arange(n), role] = 1
     x[:, len(ROLES) :] = np.stack([
-        signs[:, 0], signs[:, 1], above[:, 0], above[:, 1], depth, chars / np.maximum(nodes, 1), linked / np.maximum(chars, 1), chars / np.maximum(chars[base], 1), chars / np.maximum(chars[parent], 1),
+        signs[:, 0], signs[:, 1], *above.T, depth, chars / np.maximum(nodes, 1), linked / np.maximum(chars, 1), chars / np.maximum(chars[base], 1), chars / np.maximum(chars[parent], 1),
         np.minimum(chars, 5000), marks / np.maximum(words, 1), children, place / np.maximum(children[parent], 1), same[inverse], np.minimum(paragraphs, 20), np.minimum(controls, 20), np.minimum(words, 1000),
     ], axis=1)
     return x
@@ -345,9 +421,15 @@ def decode(parent: list[int], odds: np.ndarray) -> list[bool]:
     return keep
 
 
-def extract_many(pages: list[str | None], trees: Trees) -> list[str]:
-    parsed = [Page(h or "") for h in pages]
-    odds = trees.log_odds(features(parsed))
+@dataclass(frozen=True)
+class Model:
+    weights: np.ndarray
+    trees: Trees
+
+
+def extract_many(pages: list[str | None], model: Model) -> list[str]:
+    parsed = [Page(h or "", model.weights) for h in pages]
+    odds = model.trees.log_odds(features(parsed))
     out, at = [], 0
     for page in parsed:
         keep = decode(page.parent, odds[at : at + len(page.tag)])
@@ -356,6 +438,22 @@ def extract_many(pages: list[str | None], trees: Trees) -> list[str]:
     return out
 
 
+# Class and id tokens that training pages use for each kind of block.
+LABELS = {
+    "nav": "nav navbar navigation menu mainnav breadcrumb breadcrumbs pagination pager toolbar skip tabs dropdown sitemap".split(),
+    "header": "header masthead topbar top head branding logo hero".split(),
+    "footer": "footer foot bottom copyright legal disclaimer colophon imprint".split(),
+    "side": "sidebar side aside rail related recommended trending widget widgets popular more".split(),
+    "ad": "ad ads advert advertisement adv sponsor sponsored promo promotion banner adsense".split(),
+    "notice": "cookie cookies consent notice notices gdpr alert popup modal overlay newsletter subscribe subscription paywall".split(),
+    "form": "form search signup login register contact".split(),
+    "comments": "comment comments respond response responses reply replies disqus discussion thread".split(),
+    "share": "share sharing social follow tags tag meta byline".split(),
+    "main": "article content main body post entry story text blog page prose markdown copy hentry articlebody".split(),
+    "plain": "container wrapper wrap row col md lg inner outer block box item section clearfix box grid flex css large small".split(),
+}
+
+
 def generated_page(rng: random.Random) -> tuple[str, set[str]]:
     """A page and its main blocks."""
     main: set[str] = set()
@@ -371,32 +469,44 @@ def generated_page(rng: random.Random) -> tuple[str, set[str]]:
             left -= k
         return " ".join(parts)
 
-    def wrap(names: list[str], labels: list[str], inner: str, plain: float = 0.1) -> str:
+    def label(kind: str) -> str:
+        """A value for class or id with one token of a kind, maybe beside tokens that say nothing."""
+        token = rng.choice(LABELS[kind])
+        plain = rng.choice(LABELS["plain"])
+        return rng.choice([token, token, token, f"site-{token}", f"{plain} {token}", f"{token}_{plain}", plain + token.capitalize(), f"{token}-{rng.randint(1, 9)}"])
+
+    def wrap(names: list[str], kind: str, inner: str, plain: float = 0.1) -> str:
         name = rng.choice(names)
-        label = "" if name not in ("div", "section", "ul", "p", "span", "table") and rng.random() < 0.5 or rng.random() < plain else f' {rng.choice(["class", "class", "id"])}="{rng.choice(labels)}{rng.choice(["", "", "-wrap", " box", "-1"])}"'
-        return f"<{name}{label}>{inner}</{name}>"
+        bare = name not in ("div", "section", "ul", "p", "span", "table") and rng.random() < 0.5 or rng.random() < plain
+        said_by = "" if bare else f' {rng.choice(["class", "class", "id"])}="{label(kind)}"'
+        if bare and rng.random() < 0.3:
+            said_by = f' class="{rng.choice(LABELS["plain"])}"'
+        if kind != "main" and rng.random() < 0.04:
+            said_by = rng.choice([" hidden", ' style="display:none"', ' aria-hidden="true"'])
+        return f"<{name}{said_by}>{inner}</{name}>"
 
     def links(low: int = 2, high: int = 9) -> str:
         return "<ul>" + "".join(f'<li><a href="/x">{sentence(1, 3)}</a></li>' for _ in range(rng.randint(low, high))) + "</ul>"
 
     def junk(kind: str) -> str:
         if kind == "nav":
-            return wrap(["nav", "nav", "div"], ["nav", "menu", "navbar", "main-navigation", "breadcrumbs"], links(), 0.3)
+            return wrap(["nav", "nav", "div"], "nav", links(), 0.3)
         if kind == "header":
-            return wrap(["header", "div"], ["header", "masthead", "topbar", "site-header"], f"<h2>{sentence(1, 4)}</h2>" * rng.randint(0, 1) + f"<p>{sentence(1, 8)}</p>")
+            return wrap(["header", "div"], "header", f"<h2>{sentence(1, 4)}</h2>" * rng.randint(0, 1) + f"<p>{sentence(1, 8)}</p>")
         if kind == "footer":
-            return wrap(["footer", "footer", "div"], ["footer", "copyright", "site-footer", "legal"], f"&copy; {prose(3, 30)}" if rng.random() < 0.7 else f"<p>{prose(3, 30)}</p>" + links(1, 4))
+            return wrap(["footer", "footer", "div"], "footer", f"&copy; {prose(3, 30)}" if rng.random() < 0.7 else f"<p>{prose(3, 30)}</p>" + links(1, 4))
         if kind == "side":
-            return wrap(["aside", "aside", "div"], ["sidebar", "related", "widget", "trending", "side"], f"<h3>{sentence(1, 3)}</h3>" + rng.choice([links(), f"<p>{prose(5, 40)}</p>"]))
+            return wrap(["aside", "aside", "div"], "side", f"<h3>{sentence(1, 3)}</h3>" + rng.choice([links(), f"<p>{prose(5, 40)}</p>"]))
         if kind == "ad":
-            return wrap(["div", "div", "aside", "section", "p"], ["ad", "ads", "advert", "sponsored", "promo", "banner"], rng.choice([prose(2, 40), f"<p>{prose(2, 40)}</p>", f'<a href="/buy">{prose(2, 12)}</a>']), 0.0)
+            return wrap(["div", "div", "aside", "section", "p"], "ad", rng.choice([prose(2, 40), f"<p>{prose(2, 40)}</p>", f'<a href="/buy">{prose(2, 12)}</a>']), 0.0)
         if kind == "notice":
-            return wrap(["div", "div", "section", "p"], ["cookie", "cookie-notice", "consent", "notice", "alert", "popup", "newsletter", "subscribe"], rng.choice([prose(3, 30), f"<p>{prose(3, 30)}</p>"]) + "<button>ok</button>" * rng.randint(0, 1), 0.0)
+            return wrap(["div", "div", "section", "p"], "notice", rng.choice([prose(3, 30), f"<p>{prose(3, 30)}</p>"]) + "<button>ok</button>" * rng.randint(0, 1), 0.0)
         if kind == "form":
-            return f'<form action="/s"><label>{sentence(1, 3)}</label><input name="q"><p>{prose(2, 20)}</p><button>{sentence(1, 2)}</button></form>'
+            inner = f'<label>{sentence(1, 3)}</label><input name="q"><p>{prose(2, 20)}</p><button>{sentence(1, 2)}</button>'
+            return f'<form action="/s">{inner}</form>' if rng.random() < 0.7 else wrap(["div", "section"], "form", inner, 0.0)
         if kind == "comments":
-            return wrap(["section", "div", "ol", "ul"], ["comments", "comment-list", "discussion", "replies", "responses comment"], "".join(wrap(["div", "article", "li", "p"], ["comment", "reply"], f"<p>{prose(3, 50)}</p>" if rng.random() < 0.6 else prose(3, 50)) for _ in range(rng.randint(1, 5))), 0.0)
-        return wrap(["div", "p"], ["share", "social", "tags", "pagination"], links(1, 5) if rng.random() < 0.5 else sentence(1, 6), 0.0)
+            return wrap(["section", "div", "ol", "ul"], "comments", "".join(wrap(["div", "article", "li", "p"], "comments", f"<p>{prose(3, 50)}</p>" if rng.random() < 0.6 else prose(3, 50)) for _ in range(rng.randint(1, 5))), 0.0)
+        return wrap(["div", "p"], "share", links(1, 5) if rng.random() < 0.5 else sentence(1, 6), 0.0)
 
     def said(text: str) -> str:
         main.add(text)
@@ -406,12 +516,18 @@ def generated_page(rng: random.Random) -> tuple[str, set[str]]:
     for _ in range(rng.choice([1, 1, 2, 3, 4, 6, 9, 14])):
         text = said(prose(*rng.choice([(1, 3), (3, 30), (20, 120)])))
         kind = rng.random()
-        if kind < 0.62:
+        heading = rng.choice(["h2", "h2", "h3", "h3", "h4"])
+        if kind < 0.5:
             blocks.append(f"<p>{text}</p>")
+        elif kind < 0.56:
+            blocks.append(f"<{heading}>{said(sentence(1, 7))}</{heading}><p>{text}</p>")
+        elif kind < 0.62:  # text right in the element that holds all, where it can't run into the text before
+            closed = not blocks or blocks[-1].endswith(("</p>", "</ul>", "</h1>", "</blockquote>", "</table>"))
+            blocks.append(f"{text}<{heading}>{said(sentence(1, 7))}</{heading}><p>{said(prose(3, 20))}</p>" if closed else f"<p>{text}</p>")
         elif kind < 0.7:
             blocks.append(f"<p><b>{text}<br>")
         elif kind < 0.76:
-            blocks.append(f"<h2>{said(sentence(1, 7))}</h2><p>{text}")
+            blocks.append(f"<{heading}>{said(sentence(1, 7))}</{heading}><p>{text}")
         elif kind < 0.84:
             blocks.append("<ul>" + f"<li>{text}</li>" + "".join(f"<li>{said(sentence(1, 12))}</li>" for _ in range(rng.randint(1, 5))) + "</ul>")
         elif kind < 0.89:
@@ -427,7 +543,12 @@ def generated_page(rng: random.Random) -> tuple[str, set[str]]:
     inner = "".join(blocks)
     if rng.random() < 0.25:
         inner += junk("comments")
-    body = rng.choice([f"<article>{inner}</article>"] * 5 + [f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", f'<div class="{rng.choice(["content", "post", "entry-content", "article-body", "story"])}">{inner}</div>', f'<div id="main"><div class="post">{inner}</div></div>', f"<div>{inner}</div>", f"<section>{inner}</section>"])
+    body = rng.choice([f"<article>{inner}</article>"] * 5 + [f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", wrap(["div"], "main", inner, 0.0), wrap(["div"], "main", wrap(["div", "section"], "main", inner), 0.0), wrap(["article"], "main", inner), f"<div>{inner}</div>", f"<section>{inner}</section>"])
+    if len(blocks) > 1 and rng.random() < 0.2:  # the title stands beside the element that holds the rest
+        outer, below = rng.choice(["section", "div", "article", "main"]), inner[len(blocks[0]) :]
+        body = f"<{outer}>{blocks[0]}{wrap(['div', 'section'], rng.choice(['main', 'plain']), below, 0.3)}</{outer}>"
+    if rng.random() < 0.3:
+        body = f'<div class="{rng.choice(LABELS["plain"])}">{body}</div>'
     before = [junk(k) for k in ("nav", "header", "ad", "notice", "side", "share", "form") if rng.random() < 0.4]
     after = [junk(k) for k in ("footer", "comments", "ad", "notice", "side", "share", "form", "nav") if rng.random() < 0.4]
     rng.shuffle(before)
@@ -435,37 +556,57 @@ def generated_page(rng: random.Random) -> tuple[str, set[str]]:
     return f'<!DOCTYPE html><html>{head}<body>{"".join(before)}{body}{"".join(after)}</body></html>', main
 
 
+def held(page: Page, main: set[str]) -> list[float]:
+    """For each node whether it holds main text."""
+    holds = [0.0] * len(page.tag)
+    for k, text in page.texts.items():
+        holds[k] = float(text in main)
+    for k in range(len(page.tag) - 1, 0, -1):
+        holds[page.parent[k]] = max(holds[page.parent[k]], holds[k])
+    return holds
+
+
+def token_weights(pages: list[tuple[str, set[str]]]) -> np.ndarray:
+    """Smoothed log-odds of each token bucket over the elements that carry it and lie in no rejected element."""
+    seen = np.zeros((2, N_BUCKETS))
+    for html, main in pages:
+        page = Page(html)
+        holds = held(page, main)
+        for k, tokens in enumerate(page.tokens):
+            if tokens and (page.parent[k] < 0 or holds[page.parent[k]]):
+                seen[int(holds[k]), list(tokens)] += 1
+    rate = seen.sum(axis=1) / max(1.0, seen.sum())
+    prior = 2.0 * rate[:, None]
+    return np.where(seen.sum(axis=0) > 0, np.log((seen[1] + prior[1]) / (seen[0] + prior[0])) - np.log(rate[1] / rate[0]), 0.0)
+
+
 @lru_cache(maxsize=4)
-def trained(n_pages: int = 700, seed: int = 11) -> Trees:
-    """Trees from n_pages generated pages."""
+def trained(n_pages: int = 700, seed: int = 11) -> Model:
+    """Token weights and trees, each from n_pages generated pages of its own."""
     rng = random.Random(seed)
+    weights = token_weights([generated_page(rng) for _ in range(n_pages)])
     pages, labels = [], []
     for _ in range(n_pages):
         html, main = generated_page(rng)
-        page = Page(html)
-        holds = [0.0] * len(page.tag)
-        for k, text in page.texts.items():
-            holds[k] = float(text in main)
-        for k in range(len(page.tag) - 1, 0, -1):
-            holds[page.parent[k]] = max(holds[page.parent[k]], holds[k])
+        page = Page(html, weights)
         pages.append(page)
-        labels += holds
-    return boost(features(pages), np.array(labels))
+        labels += held(page, main)
+    return Model(weights, boost(features(pages), np.array(labels)))
 
 
 _RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
-def _extract(batches, trees):
+def _extract(batches, model):
     for batch in batches:
         ids, urls = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for at in range(0, len(ids), 64):
-            texts = extract_many(batch.column(2).slice(at, 64).to_pylist(), trees.value)
+            texts = extract_many(batch.column(2).slice(at, 64).to_pylist(), model.value)
             yield pa.RecordBatch.from_pydict({"page_id": ids[at : at + 64], "url": urls[at : at + 64], "text": texts, "n_chars": [len(t) for t in texts]}, schema=_RESULT)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    trees = pages.sparkSession.sparkContext.broadcast(trained())
+    model = pages.sparkSession.sparkContext.broadcast(trained())
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(partial(_extract, trees=trees), "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(partial(_extract, model=model), "page_id long, url string, text string, n_chars long")

@@ -3,9 +3,8 @@
 Each scan task streams its documents once. A document longer than the window is cut into full windows
 and a tail; a tail of s tokens goes to the fill level h (0 is a new window) for which the sum over levels
 of squared counts of partially filled windows grows least, ties to the fullest level. The counts are kept in
-one level array. When a task ends (or more than max_open windows are partially filled) what is still open is settled:
-the emptiest windows are cut up to fill the fullest, and the last remainder is emitted as windows of
-power-of-two lengths, which need no padding. No shuffle takes place; memory is bounded by
+one level array. While more than max_open windows are partially filled, and for what is still open when a task ends, the fullest window is closed with
+tokens cut from the emptiest; a task's last remainder is emitted as windows of power-of-two lengths. So no window has padding. No shuffle takes place; memory is bounded by
 max_open windows and one Arrow batch of texts.
 
 Defined cases: null or empty text is one end token; repeated rows are packed once each; a null doc_id is
@@ -47,10 +46,15 @@ def _byte_letters() -> dict[int, str]:
 _BYTE_LETTERS = _byte_letters()
 
 
+#: Words on which a tokenizer is tried when it is loaded.
+PROBES = ("the", "Internationalisation", "straße", "ÉCLAIR,", "naïve...", "don't", "O'Neill's", "x1y2", "2024", "co-op", "(see)", "end.\"", "#tag", "a|b", "$$$", "日本語", "😀", "Ω", "ŉ", "zzzzzzzzqqqq", "it's?!")
+
+
 class WordTokenizer:
     """Token ids of whole texts, as little-endian uint32 bytes, through a bounded cache of words.
 
-    Sound for tokenizers that drop white space and never join across it, which is checked in the tests.
+    Words are cached only for tokenizers that drop white space and never join across it, and letters are merged directly only where
+    the whole tokenizer does the same; PROBES decide both when a tokenizer is loaded. Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str, cache_words: int = 500_000):
@@ -59,11 +63,20 @@ class WordTokenizer:
 
         self.tokenizer, self.cache, self.most = Tokenizer.from_file(path), {}, cache_words
         self.merges, self.tails = self.tokenizer.model, {}
+        self.by_word = self.ids(" \t\n".join(["", *PROBES, ""])) == b"".join(map(self.ids, PROBES)) == self.ids(" ".join(PROBES))
+        self.by_merges = True
+        try:
+            self.encode([" ".join(PROBES)])
+            self.by_merges = all(self.cache[p.encode()] == self.ids(p) for p in PROBES)
+        except Exception:  # a model of another kind, whose merges can't be asked for
+            self.by_merges = False
+        self.cache.clear()
+        self.tails.clear()
 
     def learn(self, word: bytes) -> None:
         """Cache a word's ids: letters with trailing punctuation by the merges alone, anything else by the whole tokenizer."""
         own, text = self.cache, word.decode()
-        simple = _SIMPLE.fullmatch(text) if len(text) < 200 else None
+        simple = _SIMPLE.fullmatch(text) if self.by_merges and len(text) < 200 else None
         if simple is None:
             own[word] = self.ids(text)
             return
@@ -83,6 +96,8 @@ class WordTokenizer:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [self.ids(t) for t in texts]
         split = [t.encode().split() for t in texts]
         missing = list(set().union(*split) - self.cache.keys())
         own = self.cache
@@ -152,34 +167,45 @@ class SumOfSquares:
         self.counts[level + size] += 1
         self.n_open += 1
         if self.n_open > self.max_open:
-            self.settle()
+            self.close_fullest()
+
+    def _open(self, level: int) -> list:
+        self.counts[level] -= 1
+        self.n_open -= 1
+        return self.levels[level].pop()
+
+    def close_fullest(self) -> None:
+        """Fill the fullest open window with tokens cut from the emptiest; needs two open windows."""
+        used = np.flatnonzero(self.counts)
+        least, most = int(used[0]), int(used[-1])
+        bin_, giver = self._open(most), self._open(least)
+        room = min(self.window - most, least)
+        kept, level = least - room, most + room
+        while room:
+            head, rest = cut(giver.pop(), room)
+            bin_.append(head)
+            room -= len(head[2]) // 4
+            if rest:
+                giver.append(rest)
+        if level == self.window:
+            self.full.append(bin_)
+        for window, held in ((giver, kept), (bin_, level if level < self.window else 0)):
+            if held:
+                self.levels[held].append(window)
+                self.counts[held] += 1
+                self.n_open += 1
 
     def settle(self) -> None:
         """Close every open window without padding."""
-        bins = [b for level in reversed(self.levels) for b in level]  # fullest first
-        self.levels = [[] for _ in range(self.window + 1)]
-        self.counts[:] = 0
-        self.n_open = 0
-        room = [self.window - sum(len(p[2]) for p in b) // 4 for b in bins]
-        first, last = 0, len(bins) - 1
-        while first < last:
-            if not bins[last]:
-                last -= 1
-                continue
-            piece = bins[last].pop()
-            head, rest = cut(piece, room[first])
-            bins[first].append(head)
-            room[first] -= len(head[2]) // 4
-            if rest:
-                bins[last].append(rest)
-            if not room[first]:
-                self.full.append(bins[first])
-                first += 1
-        left = bins[first] if first == last and bins else []
+        while self.n_open > 1:
+            self.close_fullest()
+        if not self.n_open:
+            return
+        left = self._open(int(np.flatnonzero(self.counts)[0]))
         left.reverse()
         while left:
             size = sum(len(p[2]) for p in left) // 4
-            size = min(self.window, 1 << (size.bit_length() - 1))
+            size = 1 << (size.bit_length() - 1)
             out = []
             while size:
                 head, rest = cut(left.pop(), size)

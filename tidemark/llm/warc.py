@@ -39,8 +39,9 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def record_id(page_id) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page {page_id}')}>"
+def record_id(archive: str, number: int) -> str:
+    """Unique for each record, also of repeated or missing page ids, and the same when a task runs again."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{archive} {number}')}>"
 
 
 def base32(digest: bytes) -> str:
@@ -52,8 +53,11 @@ def slices(text: str) -> Iterator[bytes]:
         yield text[at : at + SLICE].encode("utf-8", "surrogatepass")
 
 
-def write_record(out, page_id, url: str | None, html: str, response_of) -> int:
-    """Append one gzip member; response_of: page_id of the response that this one repeats, or None. Returns payload bytes."""
+def write_record(out, own_id: str, page_id, url: str | None, html: str, response_of) -> int:
+    """Append one gzip member; response_of: page_id of the response that this one repeats, or None. Returns payload bytes.
+
+    A revisit names its response by the payload digest, as its profile has it, and by the page id; record ids depend on where a record lies.
+    """
     digest, length = hashlib.sha1(), 0
     for part in slices(html):
         digest.update(part)
@@ -63,7 +67,7 @@ def write_record(out, page_id, url: str | None, html: str, response_of) -> int:
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {own_id}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {' '.join((url or 'urn:x-none').split())}",
         "Content-Type: application/http;msgtype=response",
@@ -72,7 +76,7 @@ def write_record(out, page_id, url: str | None, html: str, response_of) -> int:
         f"Content-Length: {len(http) + (0 if revisit else length)}",
     ]
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(response_of)}", f"X-Refers-To-Page-ID: {response_of}"]
+        head += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-ID: {response_of}"]
     squeeze = zlib.compressobj(4, zlib.DEFLATED, 31)
     out.write(squeeze.compress(("\r\n".join(head) + "\r\n\r\n").encode("utf-8", "surrogatepass") + http))
     if not revisit:
@@ -96,7 +100,7 @@ def _write(batches, folder: str):
             if out is None:
                 out = store.open_output_stream(temporary, compression=None)
             page_id, url, html, refers = (c[k].as_py() for c in columns)
-            write_record(out, page_id, url, html, refers)
+            write_record(out, record_id(name, records), page_id, url, html, refers)
             records += 1
     if out is not None:
         out.close()
@@ -181,6 +185,8 @@ def read_archive(source, chunk_bytes: int = CHUNK_BYTES) -> Iterator[dict]:
             data = b"".join(parts)
             left -= len(data)
             running.update(data)
+            if not left and row["record_type"] == "response" and base32(running.digest()) != row["stated_digest"]:
+                raise ValueError(f"payload of record {row['record_id']} differs from its digest")
             yield row | {"chunk_no": chunk_no, "data": data, "n_bytes": len(data), "digest_so_far": base32(running.digest()), "is_last": not left}
             chunk_no += 1
             if not left:
