@@ -8,6 +8,7 @@ import io
 import math
 import random
 import re
+import struct
 import time
 import zlib
 
@@ -66,21 +67,57 @@ def test_sentencepiece_equals_the_library(docs, corpus):
     assert sentencepiece_fst.digests(corpus.limit(0)).count() == 0
 
 
-def test_unigram_weights_take_the_lightest_path():
+def model_of(scores):
     def field(n, value):
         return bytes([n << 3 | 2, len(value)]) + value
 
-    import struct
-
     def piece(text, score, kind=1):
         return field(1, field(1, text.encode()) + bytes([2 << 3 | 5]) + struct.pack("<f", score) + bytes([3 << 3, kind]))
 
-    model = piece("<unk>", 0, 2) + piece("▁", -3) + piece("a", -3) + piece("b", -3) + piece("ab", -4) + piece("▁a", -2) + piece("ba", -9) + field(2, bytes([3 << 3, 1]))
-    fst = sentencepiece_fst.Transducer(model)
+    return piece("<unk>", 0, 2) + b"".join(piece(p, s) for p, s in scores.items()) + field(2, bytes([3 << 3, 1]))
+
+
+def test_unigram_weights_take_the_lightest_path():
+    fst = sentencepiece_fst.Transducer(model_of({"▁": -3, "a": -3, "b": -3, "ab": -4, "▁a": -2, "ba": -9}))
     assert fst.shortest("▁ab") == ["▁a", "b"] and fst.shortest("▁aba") == ["▁a", "b", "a"] and fst.shortest("abc") == ["ab", "c"]
     assert fst.normalise("  a   b ") == "▁a▁b"
 
 
+def test_normaliser_equals_the_library():
+    import sentencepiece
+
+    rng = random.Random(6)
+    alphabet = "ab  \t\u3000\u00a0ｱﾊﾟ①ﬁÅe\u0301\u200bΩ½日\n"
+    texts = ["", " ", " ｱﾊﾟｰﾄ  ①  x ", "ﬁne"] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(400)]
+    for rule in ("nmt_nfkc", "nfkc_cf", "identity"):
+        for prefix, squeeze in ((True, True), (True, False), (False, True)):
+            library = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=prefix, remove_extra_whitespaces=squeeze, escape_whitespaces=True)
+            parts = dict(sentencepiece_fst.fields(library.serialized_model_proto()))
+            mapped = sentencepiece_fst.character_map(dict(sentencepiece_fst.fields(parts[3])).get(2, b""))
+            assert bool(mapped) == (rule != "identity")
+            own = sentencepiece_fst.Normaliser(mapped, prefix, squeeze)
+            for text in texts:
+                assert own(text) == own.transduce(text) == library.normalize(text), (rule, prefix, squeeze, text)
+
+
+def test_unigram_path_is_the_lightest_of_all_paths():
+    rng = random.Random(3)
+    for _ in range(30):
+        scores = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))): -rng.uniform(1, 9) for _ in range(12)}
+        fst = sentencepiece_fst.Transducer(model_of(scores))
+        text = "".join(rng.choice("abcd") for _ in range(9))
+
+        def lightest(at, text=text, scores=scores, fst=fst):
+            if at == len(text):
+                return 0.0
+            one = [lightest(at + 1) + fst.fallback_weight] if text[at] not in scores else []
+            return min(one + [lightest(at + len(p)) - fst.score[p] for p in scores if text.startswith(p, at)])
+
+        got = fst.shortest(text)
+        assert "".join(got) == text
+        assert math.isclose(sum(fst.fallback_weight if p not in scores else -fst.score[p] for p in got), lightest(0), rel_tol=1e-9)
+
+
 PAGES = [
     (1, "http://a/x", "<html><body><nav><a href=/>Home</a></nav><article><h1>T &amp; U</h1><p>First  para\n graph&nbsp;here, <b>bold</b>.<p>Second &lt;one&gt;.<div class=ad>Buy now</div></article><footer>&copy; me</footer></body></html>"),
     (2, None, None),
@@ -132,14 +169,14 @@ def test_html_held_out_generated_pages():
 #: Layouts that the generator doesn't make: main blocks and the whole page.
 BLOG = ["A walk along the river", "We set out at seven in the morning, when fog still lay over the water, and nobody else was about.", "After the second bridge the path turns to gravel. Bring good shoes, since it had rained for a week.", "What to bring", "Water, bread and a map of the valley.", "We were home before dark, tired but very pleased with the day."]
 NEWS = ["Council votes to keep the old library open", "The city council decided on Tuesday, by nine votes to four, that the old library will stay open for two more years.", "\u201cWe heard the readers,\u201d said the mayor after the meeting.", "Repairs to the roof will start in spring and cost about two million."]
-DOCS = ["Installing the package", "Download the archive and unpack it into a folder of your choice.", "Open a terminal in that folder.", "Run the installer and follow what it says on the screen.", "If the installer stops, look into the log file first; most faults are named there."]
+MANUAL = ["Installing the package", "Download the archive and unpack it into a folder of your choice.", "Open a terminal in that folder.", "Run the installer and follow what it says on the screen.", "If the installer stops, look into the log file first; most faults are named there."]
 LAYOUTS = [
     (BLOG, "<html><head><title>x</title><script>var a='<p>no</p>';</script></head><body class='home blog'><div id='page' class='hfeed site'><div class='site-header'><a href='/'>My trips</a><ul class='main-menu'><li><a href='/a'>About</a></li><li><a href='/b'>Archive</a></li></ul></div>"
      "<div class='content-area'><div class='entry-content'><h1>{}</h1><p>{}</p><p>{}</p><h2>{}</h2><ul><li>{}</li></ul><p>{}</p></div></div><div class='sidebar'><h3>Recent</h3><ul><li><a href='/1'>One</a></li><li><a href='/2'>Two</a></li></ul></div>"
      "<div id='comments'><p>Lovely post, thanks for the map!</p><p>I went there too.</p></div><div class='site-footer'><p>Copyright by me. All rights reserved.</p></div></div></body></html>"),
     (NEWS, "<html><body><div class='cookie-banner'>We use cookies. <button>Fine</button></div><nav><a href='/'>Home</a> <a href='/city'>City</a> <a href='/sport'>Sport</a></nav><main><article><h1>{}</h1><figure><img src='x.jpg'></figure><p>{}</p>"
      "<div class='advert'>Buy shoes now, half price!</div><p>{}</p><p>{}</p></article><aside class='related'><h3>Read on</h3><a href='/z'>Bridge closed</a></aside></main><footer><p>Imprint and privacy</p></footer></body></html>"),
-    (DOCS, "<body><table width='100%'><tr><td><div class='toc nav'><a href='#1'>Start</a><br><a href='#2'>Use</a></div></td><td><div id='content'><h1>{}</h1><p>{}</p><ol><li>{}</li><li>{}</li></ol><p>{}</p></div></td></tr></table><form action='/q'><input name='q'><button>Search</button></form></body>"),
+    (MANUAL, "<body><table width='100%'><tr><td><div class='toc nav'><a href='#1'>Start</a><br><a href='#2'>Use</a></div></td><td><div id='content'><h1>{}</h1><p>{}</p><ol><li>{}</li><li>{}</li></ol><p>{}</p></div></td></tr></table><form action='/q'><input name='q'><button>Search</button></form></body>"),
     (NEWS, "<body><section class='css-9xk2'><h1>{}</h1><div class='css-77a'><p>{}</p><blockquote>{}</blockquote><p>{}</p></div></section><div class='newsletterSignup'><p>Get our letter every week.</p></div><div hidden><p>Please log in to read more.</p></div></body>"),
     (BLOG, "<body><header class='masthead'><h2>Rivers</h2></header><div class='post'><h1>{}</h1>{}<br><br>{}<h3>{}</h3><p>{}<p>{}<div class='share-buttons'><a href='/s'>Share</a></div></div><div class='reply-list'><div class='reply'>First!</div></div></body>"),
 ]

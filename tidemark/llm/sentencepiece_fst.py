@@ -1,16 +1,20 @@
 """SentencePiece encoding and decoding as weighted finite-state transduction.
 
-A model file is compiled into a normaliser (white space escaping, dummy prefix), a transducer from text to pieces (a trie with an arc
-for every piece, weighted by minus its score) and a byte-fallback arc for every character that no piece covers. Composing it with an
-input gives a lattice; the result is its shortest path in the tropical semiring (weights add along a path, the least path wins).
-
-For unigram models, arc weights are minus the pieces' scores. For BPE models piece scores are merge ranks, under which the lightest path isn't
-the encoding; there the transducer's states also hold the last piece, and an arc from piece u to v has weight 0 if merging the
+A model file is compiled into two transducers. The normaliser rewrites characters by the model's normalisation map (a trie; longest match first) and passes
+the result through a machine of three states (start, word, space) that writes the dummy prefix and escapes or squeezes white space. The piece transducer is
+a trie with an arc for each character and, where a piece ends, an output with a weight; a character that is no piece has a byte-fallback arc. Composing both with
+an input gives a lattice over its positions; the result is its shortest path in the tropical semiring (weights add along a path, the least path wins), found
+position by position.
+
+For unigram models the weights are minus the pieces' scores. For BPE models piece scores are merge ranks, under which the lightest path isn't
+the encoding; there a state of the composition also holds the last piece, and an arc from piece u to v has weight 0 if merging the
 text of u and v yields just u and v, else infinity. A sequence of pieces is the BPE encoding of its text exactly if every two neighbours are
-compatible in that sense, so the one finite path is the encoding. Both are compared with the sentencepiece library in the tests.
+compatible in that sense; so each position is reached at weight 0 by one path, with all others at infinity, and the lightest path is the encoding.
+Both are compared with the sentencepiece library in the tests.
 
 When no piece holds white space after another character (checked at compile time), no path crosses a word start, and texts are composed word by word with
-a bounded cache; other models compose whole texts. Decoding runs the inverse: pieces to bytes, unescaping, dummy prefix dropped.
+a bounded cache; other models compose whole texts. Where the map is empty, the normaliser's effect on a whole text is two string replacements; the tests hold them
+against the transducer. Decoding runs the inverse: pieces to bytes, unescaping, dummy prefix dropped.
 
 Defined cases: null text is encoded as the empty text (no pieces); repeated rows are encoded alike; a null doc_id is carried;
 other columns are ignored; a U+2581 in the text decodes to a space, as in the library, and shows as round_trip false.
@@ -26,6 +30,7 @@ import zlib
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +67,98 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+class Trie:
+    """Strings as paths of characters from state 0; `output` holds what the string that ends in a state gives."""
+
+    def __init__(self) -> None:
+        self.arcs: list[dict[str, int]] = [{}]
+        self.output: list[str | None] = [None]
+
+    def add(self, key: str, output: str) -> None:
+        state = 0
+        for c in key:
+            after = self.arcs[state].get(c)
+            if after is None:
+                after = self.arcs[state][c] = len(self.arcs)
+                self.arcs.append({})
+                self.output.append(None)
+            state = after
+        self.output[state] = output
+
+    def longest(self, text: str, at: int) -> tuple[int, str] | None:
+        """(end, output) of the longest string that starts at `at`."""
+        state, found = 0, None
+        for end in range(at, len(text)):
+            after = self.arcs[state].get(text[end])
+            if after is None:
+                break
+            state = after
+            if (output := self.output[state]) is not None:
+                found = (end + 1, output)
+        return found
+
+
+def character_map(data: bytes) -> dict[str, str]:
+    """What a model's normalisation map replaces by what: a double-array trie over UTF-8 bytes, then the replacements, each ended by a zero byte."""
+    if not data:
+        return {}
+    size = struct.unpack_from("<I", data)[0]
+    units = np.frombuffer(data, "<u4", size // 4, 4)
+    texts, found = data[4 + size :], {}
+    label, labels = units & np.uint32(0x800000FF), np.arange(1, 256, dtype=np.int64)
+
+    def offset(unit: int) -> int:
+        return (unit >> 10) << ((unit & 512) >> 6)
+
+    waiting = [(offset(int(units[0])), b"")]
+    while waiting:
+        base, key = waiting.pop()
+        places = base ^ labels
+        inside = places < len(units)
+        for c in labels[inside][label[places[inside]] == labels[inside]].tolist():
+            unit = int(units[base ^ c])
+            below = (base ^ c) ^ offset(unit)
+            if unit >> 8 & 1:
+                start = int(units[below]) & 0x7FFFFFFF
+                found[(key + bytes([c])).decode()] = texts[start : texts.index(b"\0", start)].decode()
+            waiting.append((below, key + bytes([c])))
+    return found
+
+
+class Normaliser:
+    """Text to the text that pieces are matched with."""
+
+    def __init__(self, mapped: dict[str, str], prefix: bool, squeeze: bool):
+        self.prefix, self.squeeze = prefix, squeeze
+        self.rewrite = Trie()
+        for key, output in mapped.items():
+            self.rewrite.add(key, output)
+        # Arcs of the white-space machine: (state, whether the character is a space) to (what comes before it, next state).
+        mark = SPACE if prefix else ""
+        if squeeze:
+            self.arcs = {("start", True): ("", "start"), ("start", False): (mark, "word"), ("word", True): ("", "space"), ("word", False): ("", "word"), ("space", True): ("", "space"), ("space", False): (SPACE, "word")}
+        else:
+            self.arcs = {("start", True): (mark + SPACE, "word"), ("start", False): (mark, "word"), ("word", True): (SPACE, "word"), ("word", False): ("", "word")}
+
+    def transduce(self, text: str) -> str:
+        state, at, out = "start", 0, []
+        while at < len(text):
+            at, read = self.rewrite.longest(text, at) or (at + 1, text[at])
+            for c in read:
+                before, state = self.arcs[state, c == " "]
+                out.append(before if c == " " else before + c)
+        return "".join(out)
+
+    def __call__(self, text: str) -> str:
+        if self.rewrite.arcs[0]:
+            return self.transduce(text)
+        if self.squeeze:
+            text = re.sub(" +", " ", text.strip(" "))
+        if text and self.prefix:
+            text = " " + text
+        return text.replace(" ", SPACE)
+
+
 class Transducer:
     def __init__(self, model: bytes, cache_words: int = 400_000):
         pieces, trainer, normaliser = [], {}, {}
@@ -73,26 +170,18 @@ class Transducer:
                 trainer = dict(fields(value))
             elif number == 3:
                 normaliser = dict(fields(value))
-        if normaliser.get(2):
-            raise ValueError("only models with the identity normalisation are compiled")
         self.kind = trainer.get(3, UNIGRAM)
         self.prefix = bool(normaliser.get(3, 1))
-        self.squeeze = bool(normaliser.get(4, 1))
+        self.normalise = Normaliser(character_map(normaliser.get(2, b"")), self.prefix, bool(normaliser.get(4, 1)))
         self.id_of = {p: i for i, (p, _, kind) in enumerate(pieces) if kind in (NORMAL, USER)}
         self.score = {p: s for p, s, kind in pieces if kind in (NORMAL, USER)}
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         self.unknown = next(i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN)
         self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.encode() for p, _, kind in pieces]
-        self.is_byte = [kind == BYTE for _, _, kind in pieces]
-        self.longest = max(map(len, self.id_of), default=1)
-        self.ends: dict[str, list[int]] = {}  # the trie, from its leaves: lengths of pieces that end in a character
+        self.pieces = Trie()
         for p in self.id_of:
-            self.ends.setdefault(p[-1], []).append(len(p))
-        self.ends = {c: sorted({1, *n}, reverse=True) for c, n in self.ends.items()}
-        starts: dict[str, set[int]] = {}  # the trie, from its root: lengths of pieces that start with two characters
-        for p in self.id_of:
-            starts.setdefault(p[:2], {1}).add(len(p))
-        self.starts = {c: sorted(n, reverse=True) for c, n in starts.items()}
+            self.pieces.add(p, p)
+        self.weight = [0.0 if p is None else -self.score[p] for p in self.pieces.output]
         self.pairs = {p[k : k + 2] for p in self.id_of for k in range(len(p) - 1)}  # no path crosses a pair of characters that is in no piece
         self.fallback_weight = 10 - min(self.score.values(), default=0.0)
         covered = set("".join(self.id_of))
@@ -105,13 +194,6 @@ class Transducer:
         self.split: dict[str, tuple[str, str] | None] = {}
         self.rank = {p: -s for p, s in self.score.items() if len(p) > 1}  # order of merging
 
-    def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        if text and self.prefix:
-            text = " " + text
-        return text.replace(" ", SPACE)
-
     def merged(self, text: str) -> tuple[list[str], tuple[str, str]]:
         """Pieces by repeated merging, best score first, then leftmost, and the last two that were merged."""
         parts, score, halves = list(text), self.score, ("", "")
@@ -167,56 +249,37 @@ class Transducer:
         return found
 
     def shortest(self, text: str) -> list[str]:
-        """Pieces on the lightest path through the lattice of a normalised text."""
-        n = len(text)
-        last = [""] * (n + 1)
-        id_of, score, ends = self.id_of, self.score, self.ends
-        if self.kind == BPE:
-            return self.finite(text)
-        cost = [0.0] + [math.inf] * n
-        for end in range(1, n + 1):
-            for size in ends.get(text[end - 1], (1,)):
-                piece = text[max(0, end - size) : end]
-                if size <= end and (size == 1 or piece in id_of):
-                    weight = cost[end - size] - score.get(piece, -self.fallback_weight)
-                    if weight < cost[end]:
-                        cost[end], last[end] = weight, piece
+        """Pieces on the lightest path through the composition of a normalised text with the piece transducer."""
+        n, arcs, output, weight, joins = len(text), self.pieces.arcs, self.pieces.output, self.weight, self.joins
+        ranked = self.kind == BPE
+        cost, last = [0.0] + [math.inf] * n, [""] * (n + 1)
+        for start in range(n):
+            so_far, before, state, end = cost[start], last[start], 0, start
+            while end < n:
+                after = arcs[state].get(text[end])
+                if after is None:
+                    break
+                state, end = after, end + 1
+                piece = output[state]
+                if piece is None or not cost[end]:  # nothing is lighter than 0
+                    continue
+                if ranked:
+                    join = joins.get((before, piece))
+                    if self.compatible(before, piece) if join is None else join:
+                        cost[end], last[end] = 0.0, piece
+                elif so_far + weight[state] < cost[end]:
+                    cost[end], last[end] = so_far + weight[state], piece
+            lone = text[start]
+            if lone not in self.id_of:  # byte fallback, or the unknown piece
+                found = (0.0 if self.compatible(before, lone) else math.inf) if ranked else so_far + self.fallback_weight
+                if found < cost[start + 1]:
+                    cost[start + 1], last[start + 1] = found, lone
         out, at = [], n
         while at:
             out.append(last[at])
             at -= len(last[at])
         return out[::-1]
 
-    def finite(self, text: str) -> list[str]:
-        """The one path of finite weight: depth first, longest arcs first.
-
-        A prefix has one encoding only, so a position that led nowhere never leads anywhere and is not tried again.
-        """
-        n, id_of, joins, starts = len(text), self.id_of, self.joins, self.starts
-        out: list[str] = []
-        tried: list[int] = []  # how many arcs were tried from each position on the path
-        at, arc, dead = 0, 0, set()
-        while at < n:
-            before = out[-1] if out else ""
-            sizes = starts.get(text[at : at + 2], (1,))
-            for k in range(arc, len(sizes)):
-                end = at + sizes[k]
-                if end > n or end in dead:
-                    continue
-                piece = text[at:end]
-                if end - at == 1 or piece in id_of:
-                    join = joins.get((before, piece))
-                    if self.compatible(before, piece) if join is None else join:
-                        out.append(piece)
-                        tried.append(k + 1)
-                        at, arc = end, 0
-                        break
-            else:
-                dead.add(at)
-                at -= len(out.pop())
-                arc = tried.pop()
-        return out
-
     def _composed(self, segment: str) -> tuple[bytes, int]:
         """Ids of a segment, cut where no path crosses, so that its parts are found in the cache more often."""
         pairs, parts, start = self.pairs, [], 0
