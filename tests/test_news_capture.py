@@ -203,3 +203,42 @@ def test_strict_json_lines(spark, tmp_path):
         readers.load_fills(spark, f"{tmp_path}/none.csv", ["m"])
     with pytest.raises(Exception, match="finite"):
         writers.json_lines(spark.range(1).select(F.lit(float("nan")).alias("v"))).collect()
+
+
+def test_feed_rules():
+    feed = """<?xml version="1.0"?><!-- c --><rss version="2.0"><channel><title>f</title>
+      <item><title> A </title><link>https://a.com/1?utm_source=x</link><pubDate>Wed, 01 Jan 2025 08:00:00</pubDate><source url="https://s.com">S</source></item>
+      <item><title></title><link>https://a.com/2</link></item><item><title>B</title><link>ftp://a.com/3</link></item></channel></rss>"""
+    assert text.rss_items(feed) == [{"title": "A", "url": "https://a.com/1", "published_date": None, "source": "S", "publisher_homepage": "https://s.com"}]
+    title, host = text.STATEMENT_TITLE, "https://" + text.FED_HOST
+    item = "<item><title>{}</title><link>{}</link></item>"
+    links = [host + f"/newsevents/pressreleases/monetary2025{n}a.htm" for n in ("0129", "0319", "0129")] + [host + "/other.htm"]
+    page = "<rss><channel>" + "".join(item.format(title, x) for x in links) + item.format("Minutes", "https://elsewhere.org/x") + "</channel></rss>"
+    assert text.feed_links(page.encode()) == sorted(set(links[:3])) and text.feed_links(b"<rss><channel/></rss>") == []
+    with pytest.raises(ValueError):
+        text.feed_links(page.replace("Minutes", title).encode())
+
+
+def test_paragraphs_of_malformed_markup_take_linear_time():
+    import time
+
+    for unit in ("<a ", '<a "', "<!--", "<p"):
+        start = time.perf_counter()
+        text.paragraph_list(unit * (1_000_000 // len(unit)))
+        assert time.perf_counter() - start < 2
+    assert text.paragraph_list("<p>a <b and more") == ["a <b and more"] and text.paragraph_list("<p>a<p>b <!-- c") == ["a", "b"]
+
+
+def test_snapshots_find_what_a_capture_stored(spark, tmp_path):
+    from tidemark.sources.readers import snapshots
+
+    rows = [("raw/1.bin", "s", bytearray(b"x")), ("raw/1.bin", "s", bytearray(b"x")), ("raw/2.bin", "t", bytearray(b"y"))]
+    spark.createDataFrame(rows, "raw_path string, raw_sha256 string, content binary").write.parquet(str(tmp_path / "raw"))
+    assert sorted((r.raw_path, bytes(r.content)) for r in snapshots(spark, str(tmp_path)).collect()) == [("raw/1.bin", b"x"), ("raw/2.bin", b"y")]
+
+
+def test_relevant_pairs_of_whole_relevance(spark):
+    from tidemark.functions.columns import relevant_pairs
+
+    rows = spark.createDataFrame([("a", "Inter UEFA"), ("b", "Inter")], "id string, t string")
+    assert [r.id for r in relevant_pairs(rows, F.col("t"), [MARKET], whole=True).collect()] == ["a"]

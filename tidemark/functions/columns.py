@@ -98,11 +98,13 @@ def relevance(text: Column, market: Market) -> Column:
     return sum(hits[1:], hits[0]) / len(hits)
 
 
-def relevant_pairs(docs: DataFrame, text: Column, markets: Sequence[Market], name: str = "relevance") -> DataFrame:
-    """docs once for each market, with market_id and its relevance; no join."""
+def relevant_pairs(docs: DataFrame, text: Column, markets: Sequence[Market], name: str = "relevance", whole: bool = False) -> DataFrame:
+    """docs once for each market, with market_id and its relevance; no join. whole: only for markets to which a document is fully relevant."""
     if not markets:
         return docs.withColumn("market_id", F.lit(None).cast("string")).withColumn(name, F.lit(0.0)).limit(0)
     each = F.array(*[F.struct(F.lit(m.market_id).alias("m"), relevance(text, m).alias("r")) for m in markets])
+    if whole:
+        each = F.filter(each, lambda p: p["r"] == 1.0)  # before rows are made, which carry the texts
     return docs.withColumn("_pair", F.explode(each)).withColumn("market_id", F.col("_pair.m")).withColumn(name, F.col("_pair.r")).drop("_pair")
 
 

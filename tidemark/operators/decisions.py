@@ -83,12 +83,12 @@ def news_items(docs: DataFrame, markets: Sequence[Market], strict: bool) -> Data
     """(market_id, available_us, document_id, url, text) of fully relevant documents with a usable time."""
     if strict:
         some = docs.where(F.arrays_overlap("discovery_modes", F.array(*[F.lit(m) for m in INDEPENDENT])))
-        pairs = relevant_pairs(some, F.col("verified_text"), markets)
+        pairs = relevant_pairs(some, F.col("verified_text"), markets, whole=True)
         time, text = verified_time(docs), F.col("verified_text")
     else:
-        pairs = relevant_pairs(docs, F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit(""))), markets)
+        pairs = relevant_pairs(docs, F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit(""))), markets, whole=True)
         time, text = aware_time(F.col("published_at_claimed")), F.col("title")
-    items = pairs.where("relevance = 1").withColumn("available_us", micros(time)).where("available_us is not null")
+    items = pairs.withColumn("available_us", micros(time)).where("available_us is not null")
     return items.select("market_id", "available_us", "document_id", canonical_url("url").alias("url"), text.alias("text"))
 
 

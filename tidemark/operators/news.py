@@ -30,9 +30,9 @@ def interval_join(spans: DataFrame, points: DataFrame, low: str, high: str, at:
 def match_candidates(episodes: DataFrame, docs: DataFrame, markets: Sequence[Market], cfg: NewsConfig, reviews: DataFrame | None = None) -> DataFrame:
     """Episode-document links: fully relevant, time within [start - lookback, end + post] or unknown; best rank for each URL."""
     verified = verified_time(docs)
-    items = relevant_pairs(docs.withColumn("verified_us", micros(verified)), headline(docs), markets).where("relevance = 1")
+    items = relevant_pairs(docs.withColumn("verified_us", micros(verified)), headline(docs), markets, whole=True)
     items = items.withColumn("used_us", F.coalesce("verified_us", micros(aware_time(F.col("published_at_claimed")))))
-    items = items.select("market_id", "document_id", "url", "title", "published_at_claimed", "verified_us", "used_us", "relevance")
+    items = items.select("market_id", "document_id", "url", "published_at_claimed", "verified_us", "used_us", "relevance")
     spans = episodes.select("episode_id", "market_id", "start_us", "end_us", (F.col("start_us") - cfg.lookback_hours * HOUR).alias("_low"), (F.col("end_us") + cfg.post_hours * HOUR).alias("_high"))
     timed = interval_join(spans, items.where("used_us is not null"), "_low", "_high", "used_us")
     untimed = spans.join(items.where("used_us is null"), "market_id")
@@ -43,6 +43,9 @@ def match_candidates(episodes: DataFrame, docs: DataFrame, markets: Sequence[Mar
     ranked = both.withColumn("temporal_role", role).withColumn("timestamp_verified", checked).withColumn("rank_score", F.col("relevance") + weight + F.when(checked, 0.5).otherwise(0.0))
     w = Window.partitionBy("episode_id", canonical_url("url")).orderBy(F.desc("rank_score"), "document_id")
     links = ranked.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    # Titles join the links that are left; the joins and the ranking above carry none.
+    titles = docs.select(F.col("document_id").alias("_d"), F.col("url").alias("_u"), "title").dropDuplicates(["_d", "_u"])
+    links = links.join(titles, (F.col("document_id") == F.col("_d")) & F.col("url").eqNullSafe(F.col("_u")))
     links = links.select("episode_id", "market_id", "document_id", "url", "title", "published_at_claimed", F.when(checked, iso(F.timestamp_micros("verified_us"))).alias("verified_available_at"), "temporal_role", "timestamp_verified", "rank_score")
     return review(links, reviews) if reviews is not None else links.withColumns({"review_label": F.lit("unreviewed"), "review_note": F.lit("")})
 

@@ -188,8 +188,12 @@ def top_in_window(alert_rows: DataFrame, start_us: int, end_us: int, n: int = 10
 
 def gap_line(bars: DataFrame, width_us: int, column: str) -> DataFrame:
     """(market_id, us, value) with a null point behind each bar that another bin should have followed. A line drawn of it breaks at gaps."""
-    w = Window.partitionBy("market_id").orderBy("bin_us")
-    after = F.col("_after")
+    # Whether a bar follows within a width is asked in chunks of a mirrored time line, whose halo holds the bars behind a chunk's end.
+    cut = with_halo(bars.withColumn("_neg", -F.col("bin_us")), "_neg", 4096 * width_us, width_us)
+    followed = F.count(F.lit(1)).over(chunk_window(["market_id"], "_neg").rangeBetween(-width_us, -1)) > 0
+    ends = bars.groupBy("market_id").agg(F.max("bin_us").alias("_end"))
+    rows = own_rows(cut.withColumn("_followed", followed)).join(ends, "market_id")
     own = F.struct(F.col("bin_us").alias("us"), F.col(column).cast("double").alias("value"))
     hole = F.struct((F.col("bin_us") + width_us).alias("us"), F.lit(None).cast("double").alias("value"))
-    return bars.withColumn("_after", F.lead("bin_us").over(w)).withColumn("p", F.explode(F.when(after - F.col("bin_us") > width_us, F.array(own, hole)).otherwise(F.array(own)))).select("market_id", "p.*")
+    broken = ~F.col("_followed") & (F.col("bin_us") < F.col("_end"))
+    return rows.withColumn("p", F.explode(F.when(broken, F.array(own, hole)).otherwise(F.array(own)))).select("market_id", "p.*")

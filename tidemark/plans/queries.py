@@ -368,6 +368,9 @@ def q_interval_context(spark, sf_dir):
 _MARKET_QUERIES = ", ".join(f"('{m.market_id}', {n}, '{q}')" for m in MARKETS for n, q in enumerate(m.search_queries))
 
 
+_PLACES = f"with {fx.EPISODES_SQL} select episode_id, row_number() over (partition by market_id order by score desc, episode_id) as place from ee"
+
+
 @query(f"""with {fx.DENSE_SQL}, qs(market_id, q, query) as (values {_MARKET_QUERIES}), sp as (select market_id, min(bin_us) - min(bin_us) % 86400000000 - 86400000000 as a, max(bin_us) - max(bin_us) % 86400000000 + 86400000000 as z from bars group by 1),
 st as (select market_id, z, unnest(range(a, z, 604800000000)) as start_us from sp), e as (select *, least(start_us + 604800000000, z) as end_us from st)
 select market_id, query, start_us, end_us, strftime(make_timestamp(start_us), '%Y-%m-%d') as start_date, strftime(make_timestamp(end_us), '%Y-%m-%d') as end_date from e join qs using (market_id) where q = 0""")
@@ -381,13 +384,80 @@ def q_spike_jobs(spark, sf_dir):
     return news.spike_jobs(_episodes(spark, sf_dir), MARKETS, NEWS).select("market_id", "episode_id", "query", "start_us", "end_us", "start_date", "end_date")
 
 
-@query(None)
+@query("with ca as (" + ORACLES["q_calendar_jobs"] + "), sp as (" + ORACLES["q_spike_jobs"] + f"""), qs(market_id, q, query) as (values {_MARKET_QUERIES}), pl as ({_PLACES}),
+j as (select market_id, null as episode_id, 'calendar' as discovery_mode, query, start_us, end_us, start_date, end_date, row_number() over (partition by market_id order by start_us) - 1 as turn, 0 as stream from ca
+union all select sp.market_id, sp.episode_id, 'spike', sp.query, start_us, end_us, start_date, end_date, row_number() over (partition by sp.market_id order by place, q) - 1, 1 from sp join pl using (episode_id) join qs on qs.market_id = sp.market_id and qs.query = sp.query)
+select market_id, episode_id, discovery_mode, query, start_us, end_us, start_date, end_date, turn::integer as turn, stream::integer as stream from j order by turn, market_id, stream""")
 def q_job_queue(spark, sf_dir):
-    """Calendar and spike jobs of all markets in round-robin order; the order is the result."""
+    """Calendar and spike jobs of all markets in round-robin order; turn and stream give the order."""
     found = _episodes(spark, sf_dir)
     return news.interleaved([news.calendar_jobs(_dense(spark, sf_dir), MARKETS, NEWS), news.spike_jobs(found, MARKETS, NEWS)])
 
 
+_ALERT_GROUPS = ORACLES["q_bounded_groups"]
+
+
+@query(f"""with g as ({_ALERT_GROUPS}), qs(market_id, q, query) as (values {_MARKET_QUERIES})
+select group_id, market_id, query, epoch_us(first_start) - 1800000000 as start_us, epoch_us(last_at) + 600000000 as end_us
+from (select group_id, market_id, window_start::timestamptz as first_start, last_detection::timestamptz as last_at from g) join qs using (market_id)""")
+def q_fine_jobs(spark, sf_dir):
+    return news.fine_jobs(sparse.bounded_groups(_alerts(spark, sf_dir), SPARSE), MARKETS)
+
+
+@query(f"""with {_MATCH}, s as (select lk.*, document_id::bigint % 5 = 0 as report from lk where t is not null)
+select episode_id, document_id, case when report then 'aftermath_report_not_pre_move_evidence' else temporal_role end as temporal_role, round(case when report then 0.5 else rank_score end, 6)::double as rank_score,
+  case when report then 'retrospective_match_report' else 'candidate' end as context_type from s
+union all select episode_id, document_id, case when document_id::bigint % 5 = 0 then 'aftermath_report_not_pre_move_evidence' else 'date_only_timing_ambiguous' end, case when document_id::bigint % 5 = 0 then 0.5 else 1.0 end::double,
+  case when document_id::bigint % 5 = 0 then 'retrospective_match_report' else 'candidate' end from lk where t is null and document_id::bigint % 2 = 0""")
+def q_match_seed(spark, sf_dir):
+    """Supplied documents: even undated ones list all episodes, odd ones none."""
+    links = _links(spark, sf_dir).drop("review_label", "review_note")
+    n = F.col("document_id").cast("long")
+    listed = links.where((n % 2 == 0) & F.col("published_at_claimed").isNull()).groupBy("document_id").agg(F.array_sort(F.collect_set("episode_id")).alias("candidate_episode_ids"))
+    docs = fx.news_documents(spark, sf_dir).select("document_id", F.when(n % 5 == 0, "retrospective_match_report").alias("context_type"), F.lit(None).cast("string").alias("publication_date_claimed"), F.lit("note").alias("timing_evidence"), F.lit("event").alias("information_event_id"))
+    return news.match_seed(links, docs.join(listed, "document_id", "left")).select("episode_id", "document_id", "temporal_role", *r6("rank_score"), "context_type")
+
+
+@query(f"""with {_MATCH}, d as (select 'm' || doc_id % 4 as market_id, count(*) as documents from documents group by 1), l as (select market_id, count(*) as links, count(distinct episode_id) as linked_episodes from lk group by 1)
+select market_id, coalesce(documents, 0)::bigint as documents, coalesce(links, 0)::bigint as links, coalesce(linked_episodes, 0)::bigint as linked_episodes from d full join l using (market_id)""")
+def q_link_coverage(spark, sf_dir):
+    return news.link_coverage(fx.news_documents(spark, sf_dir), _links(spark, sf_dir))
+
+
+@query("""with r as (select doc_id, unnest([doc_id % 977, doc_id % 151]) as request_id from documents), h as (select distinct doc_id, c_mktsegment, c_nationkey from r join customer on c_custkey = request_id)
+select d.doc_id::varchar as document_id, string_agg(distinct c_mktsegment, ',' order by c_mktsegment) as discovery_modes, string_agg(distinct c_nationkey::varchar, ',' order by c_nationkey::varchar) as market_ids from documents d left join h using (doc_id) group by 1""")
+def q_attach_requests(spark, sf_dir):
+    statuses = fx.read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("request_id"), F.col("c_mktsegment").alias("discovery_mode"), F.col("c_nationkey").cast("string").alias("market_id"))
+    docs = fx.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.array((F.col("doc_id") % 977).cast("string"), (F.col("doc_id") % 151).cast("string")).alias("retrieval_request_ids"))
+    found = news.attach_requests(docs, statuses)
+    return found.select("document_id", *[F.when(F.col(c).isNotNull(), F.concat_ws(",", c)).alias(c) for c in ("discovery_modes", "market_ids")])
+
+
+@query("select o_orderkey::varchar as decision_id, o_custkey::varchar as split_group, o_orderstatus as direction, o_orderpriority as candidate, 'known' as news_status, false as training_eligible from orders")
+def q_join_candidates(spark, sf_dir):
+    """Orders as decisions, their priorities as research candidates, exported apart and joined one to one."""
+    orders = fx.read(spark, sf_dir, "orders")
+    key = F.col("o_orderkey").cast("string").alias("decision_id")
+    c = F.struct(F.array("o_orderstatus").alias("news"), F.lit("known").alias("news_status"))
+    strict = orders.select(key, F.col("o_custkey").cast("string").alias("split_group"), F.struct(F.col("o_orderstatus").alias("direction")).alias("D"), c.alias("C"), F.array(F.lit("left out")).alias("research_candidates"))
+    found = decisions.join_candidates(strict, orders.select(key, F.array("o_orderpriority").alias("research_candidates")))
+    return found.select("decision_id", "split_group", "D.direction", F.col("C_candidate.news_candidates")[0].alias("candidate"), "C_candidate.news_status", "training_eligible")
+
+
+@query("select o_orderpriority as market_id, count(*)::bigint as decision_rows, count(*) filter (o_orderstatus = 'F')::bigint as rows_with_news, count(*) filter (o_totalprice > 100000)::bigint as rows_with_candidates from orders group by 1")
+def q_export_stats(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    d, c = F.struct(F.col("o_orderpriority").alias("market_id")).alias("D"), F.struct(F.when(F.col("o_orderstatus") == "F", F.array("o_orderstatus")).otherwise(none).alias("news")).alias("C")
+    return decisions.export_stats(fx.read(spark, sf_dir, "orders").select(d, c, F.when(F.col("o_totalprice") > 100000, F.array("o_orderpriority")).otherwise(none).alias("research_candidates")))
+
+
+@query("select event_type as source_url, json_extract_string(props, '$.k') as error, count(*)::bigint as count from events group by 1, 2")
+def q_error_counts(spark, sf_dir):
+    """Users' events as cycles, each with the list of its errors."""
+    one = F.struct(F.col("event_type").alias("surface"), F.get_json_object("props", "$.k").alias("error"))
+    return capture.error_counts(fx.read(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(one).alias("errors")))
+
+
 # Documents and captures
 
 
@@ -435,11 +505,12 @@ def q_doc_set_merge(spark, sf_dir):
     return news.merged_sets(docs).select("document_id", "source", F.concat_ws(",", "discovery_modes").alias("discovery_modes"), F.concat_ws(",", "market_ids").alias("market_ids"))
 
 
-@query("""select doc_id::varchar as document_id, case when doc_id % 2 = 0 then 'old' else 'new' end as origin, case when doc_id % 6 = 0 then 'a,b' when doc_id % 2 = 0 then 'a' else 'b' end as discovery_modes from documents where doc_id % 2 = 0 or doc_id % 3 = 0""")
+@query("""select doc_id::varchar as document_id, case when doc_id % 3 <> 0 then 'old' else 'new' end as origin, case doc_id % 3 when 2 then 'a,b' when 1 then 'a' else 'b' end as discovery_modes from documents""")
 def q_doc_upsert(spark, sf_dir):
+    """Two sides that together hold every document and share a third."""
     docs = fx.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "doc_id")
-    old = docs.where("doc_id % 2 = 0").select("document_id", F.lit("old").alias("origin"), F.array(F.lit("a")).alias("discovery_modes"))
-    new = docs.where("doc_id % 3 = 0").select("document_id", F.lit("new").alias("origin"), F.array(F.lit("b")).alias("discovery_modes"))
+    old = docs.where("doc_id % 3 <> 0").select("document_id", F.lit("old").alias("origin"), F.array(F.lit("a")).alias("discovery_modes"))
+    new = docs.where("doc_id % 3 <> 1").select("document_id", F.lit("new").alias("origin"), F.array(F.lit("b")).alias("discovery_modes"))
     return news.upsert(old, new).select("document_id", "origin", F.concat_ws(",", "discovery_modes").alias("discovery_modes"))
 
 
@@ -449,12 +520,19 @@ def q_html_paragraphs(spark, sf_dir):
     return found.select("page_id", F.size("p").cast("long").alias("n_paragraphs"), F.sha2(F.concat_ws("\n", "p"), 256).alias("text_sha256"))
 
 
-@query(None)
+@query("select source || '|' || lang as key, doc_id, (doc_id * 7919) % 100003 as arrival from documents where source is not null and lang is not null qualify row_number() over (partition by source, lang order by (doc_id * 7919) % 100003, doc_id) = 1")
 def q_stream_canonical(spark, sf_dir):
-    """First arrival of each source and language through keyed streaming state; equal to the batch form, which a test asserts."""
+    """First arrival of each source and language through keyed streaming state; its SQL is the batch form."""
     from tidemark.streaming.capture import collected, first_versions
 
     schema = fx.read(spark, sf_dir, "documents").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*")
-    rows = stream.select(F.concat_ws("|", "source", "lang").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.col("doc_id") * 7919, F.lit(100003)).alias("arrival"))
+    rows = stream.select(F.concat("source", F.lit("|"), "lang").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.col("doc_id") * 7919, F.lit(100003)).alias("arrival")).where("key is not null")
     return collected(first_versions(rows, "key", ("arrival", "doc_id")), "stream_canonical")
+
+
+@query(f"""with {_RECORDS} select document_id, {iso_sql('us')} as usable_at from v where source_url <> 'https://web' and us < 1704067200000000 + 50000000000""")
+def q_eligible_before(spark, sf_dir):
+    """Records of one source break a rule; the others count if they were usable strictly before the cut-off."""
+    broken = F.when(F.col("source_url") == "https://web", F.array(F.lit("source"))).otherwise(F.array().cast("array<string>"))
+    return capture.eligible_before(_records(spark, sf_dir).withColumn("errors", broken), "2024-01-01T13:53:20+00:00").select("document_id", "usable_at")

@@ -101,9 +101,8 @@ def read_manifest(spark: SparkSession, folder: str) -> dict:
 
 
 def snapshots(spark: SparkSession, root: str) -> DataFrame:
-    """raw_path and content of stored snapshots; only files inside the capture root can appear."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(f"{root}/raw")
-    return files.select(F.concat(F.lit("raw/"), F.regexp_extract("path", "([^/]+)$", 1)).alias("raw_path"), "content")
+    """raw_path and content of the snapshots that captures have stored, one for each path; only those below the capture root can appear."""
+    return spark.read.parquet(f"{root}/raw").select("raw_path", "content").dropDuplicates(["raw_path"])
 
 
 def demo_fills(spark: SparkSession) -> DataFrame:

@@ -202,9 +202,11 @@ def first_versions(stream: DataFrame, key: str, order: tuple[str, str]) -> DataF
                 for _ in rows:
                     pass
                 return
-            import pandas as pd
-
-            best = pd.concat(list(rows)).sort_values(list(order)).head(1)
+            best = None  # one row at a time: a hot key's rows are never held together
+            for frame in rows:
+                first = frame.sort_values(list(order)).head(1)
+                if best is None or tuple(first[c].iloc[0] for c in order) < tuple(best[c].iloc[0] for c in order):
+                    best = first
             self.seen.update((True,))
             yield best
 
@@ -217,7 +219,11 @@ def first_versions(stream: DataFrame, key: str, order: tuple[str, str]) -> DataF
 def collected(stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over what is there now and returns what it appended, from Parquet in the shared folder."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     folder = f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider, None)
@@ -243,16 +249,22 @@ def live_bars(fills: DataFrame, bin_seconds: int, lateness: str = "10 minutes")
     return grouped.select("market_id", F.col("w.end").alias("bin_end"), (F.col("weighted") / F.col("shares")).alias("price"), "shares", "recorded_notional_usd", "fill_count", "low", "high")
 
 
+#: Invalid records that an audit report names; their count is whole.
+AUDIT_SAMPLE = 100
+
+
 def audit(spark: SparkSession, root: str) -> dict:
-    """Replays the log: validates every record, refreshes the derived views only if all are valid."""
+    """Replays the log: validates every record, refreshes the derived views only if all are valid; names the first AUDIT_SAMPLE invalid records."""
     from tidemark.operators.capture import error_counts, event_audit, violations
+    from tidemark.sources.readers import snapshots
 
     rows = spark.read.parquet(f"{root}/information").drop("batch")
     plans = spark.read.parquet(f"{root}/plans").withColumn("own_sha256", F.sha2("plan", 256))
-    checked = violations(rows, plans, spark.read.parquet(f"{root}/raw").dropDuplicates(["raw_path"]))
-    invalid = [r.asDict() for r in checked.where(F.size("errors") > 0).select("document_id", "errors").orderBy("document_id").collect()]
+    checked = violations(rows, plans, snapshots(spark, root))
+    wrong = checked.where(F.size("errors") > 0).select("document_id", "errors")
+    invalid = [r.asDict() for r in wrong.orderBy("document_id").limit(AUDIT_SAMPLE).collect()]
     valid = checked.where(F.size("errors") == 0).drop("errors")
-    report = {"records": rows.count(), "invalid_records": invalid, "validation_status": "failed" if invalid else "passed", "unique_view_refreshed": not invalid}
+    report = {"records": rows.count(), "invalid_count": wrong.count(), "invalid_records": invalid, "validation_status": "failed" if invalid else "passed", "unique_view_refreshed": not invalid}
     if not invalid:
         report |= write_index(spark, root)
     report["events"] = [r.asDict() for r in event_audit(valid).orderBy("event_id").collect()]
