@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import SparseConfig
@@ -84,24 +84,31 @@ def measured(bars: DataFrame, cfg: SparseConfig) -> DataFrame:
 METRICS = {"jump": "abs(change_pp)", "logit": "abs(log_odds_change)", "variation": "variation_pp"}
 
 
+def _past_z(metric: str, floor: float, least: int) -> Column:
+    """(metric - median) / max(IQR / 1.349, floor) of that metric in the array `_past`; null under `least` values."""
+    at = "s[cast(floor({p} * (size(s) - 1)) as int)] + (s[cast(ceil({p} * (size(s) - 1)) as int)] - s[cast(floor({p} * (size(s) - 1)) as int)]) * ({p} * (size(s) - 1) - floor({p} * (size(s) - 1)))"
+    low, middle, high = (at.format(p=f"{p}D") for p in (0.25, 0.5, 0.75))
+    z = f"({METRICS[metric]} - ({middle})) / greatest((({high}) - ({low})) / 1.349D, {floor}D)"
+    return F.expr(f"transform(array(sort_array(array_compact(_past.{metric}))), s -> if(size(s) >= {least}, {z}, null))[0]")
+
+
 def baselines(rows: DataFrame, cfg: SparseConfig) -> DataFrame:
-    """rows with z-scores against eligible values that ended in [t-h-b-baseline, t-h-b]."""
+    """rows with z-scores against eligible values that ended in [t-h-b-baseline, t-h-b].
+
+    A frame's metrics are collected once, as structs, and sorted once for each metric.
+    """
     day = cfg.baseline_hours * 3600 * SECOND
+    held = F.when(F.col("eligible"), F.struct(*[F.expr(m).alias(n) for n, m in METRICS.items()]))
     out = None
     for h in cfg.horizons_seconds:
         lag = (h + cfg.bin_seconds) * SECOND
         cut = with_halo(rows.where(F.col("horizon_seconds") == h), "bin_us", 4 * (day + lag), day + lag)
         past = chunk_window(["market_id"], "bin_us").rangeBetween(-(day + lag), -lag)
-        for name, metric in METRICS.items():
-            floor = cfg.logit_scale_floor if name == "logit" else cfg.pp_scale_floor
-            held = F.when(F.col("eligible"), F.expr(metric))
-            cut = cut.withColumn(f"_{name}", held).withColumn(f"_{name}_q", F.percentile(f"_{name}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(past)).withColumn(f"_{name}_n", F.count(f"_{name}").over(past))
-            q = F.col(f"_{name}_q")
-            z = (F.expr(metric) - q[1]) / F.greatest((q[2] - q[0]) / 1.349, F.lit(floor))
-            cut = cut.withColumn(f"{name}_z", F.when(F.col(f"_{name}_n") >= cfg.min_baseline_samples, z))
-        part = own_rows(cut).drop(*[f"_{n}{s}" for n in METRICS for s in ("", "_q", "_n")])
+        part = own_rows(cut.withColumn("_held", held).withColumn("_past", F.collect_list("_held").over(past)).drop("_held"))
         out = part if out is None else out.unionByName(part)
-    return out
+    least = max(1, cfg.min_baseline_samples)
+    scores = {f"{name}_z": _past_z(name, cfg.logit_scale_floor if name == "logit" else cfg.pp_scale_floor, least) for name in METRICS}
+    return out.withColumns(scores).drop("_past")
 
 
 def signals(rows: DataFrame, cfg: SparseConfig) -> DataFrame:
