@@ -86,6 +86,28 @@ def test_packing_covers_every_token_once(docs, corpus):
     assert packing.pack(corpus.limit(0)).count() == 0
 
 
+def test_packing_tries_a_tokenizer_before_it_takes_shortcuts():
+    texts = ["The  cats don't\nsit, on 12 mats.", "straße ÉCLAIR...", "", "a|b $$$ 日本"]
+    word, byte = packing.tokenizer_for("word_bpe_49k.json"), packing.tokenizer_for("byte_bpe_50k.json")
+    assert word.by_word and word.by_merges and not byte.by_word  # the second keeps white space
+    for tokenizer in (word, byte):
+        assert tokenizer.encode(texts) == [tokenizer.ids(t) for t in texts]
+
+
+def test_open_windows_close_one_at_a_time():
+    rng = random.Random(4)
+    packer, given = packing.SumOfSquares(window=64, max_open=5), 0
+    for n in range(400):
+        size = rng.randint(1, 150)
+        given += size
+        packer.add(n, b"\0\0\0\0" * size)
+        held = [len(p[2]) // 4 for level in packer.levels for b in level for p in b]
+        assert packer.n_open == packer.counts.sum() == sum(map(len, packer.levels)) <= 5
+        assert all(sum(len(p[2]) for p in b) == 4 * k for k, level in enumerate(packer.levels) for b in level)
+        assert sum(held) + sum(len(p[2]) // 4 for w in packer.full for p in w) == given
+        assert all(sum(len(p[2]) for p in w) == 4 * 64 for w in packer.full)  # placement and closing leave full windows only
+
+
 def test_level_choice_minimises_the_sum_of_squares():
     rng = random.Random(1)
     packer = packing.SumOfSquares(window=32, max_open=50)
