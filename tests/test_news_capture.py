@@ -192,6 +192,42 @@ def test_demo_run_end_to_end(spark, tmp_path):
     assert {m["market_id"] for m in summary["markets"]} == {"demo-a", "demo-b"}
 
 
+def test_seed_run_and_extract(spark, tmp_path):
+    from tidemark.plans import pipelines
+
+    writers.write_table(readers.demo_fills(spark), f"{tmp_path}/trades.parquet")
+    ids = ["demo-a", "demo-b"]
+    (tmp_path / "config.json").write_text(json.dumps({"data_path": f"{tmp_path}/trades.parquet", "output_dir": f"{tmp_path}/out", "markets": [{"market_id": m, "question": "q", "required_term_groups": [["Inter"]]} for m in ids]}))
+    (tmp_path / "meta.json").write_text(json.dumps([{"id": m, "question": "q", "answer1": "yes", "answer2": "no"} for m in ids]))
+    (tmp_path / "manifest.json").write_text('{"status": "complete"}')
+    config = RunConfig.load(str(tmp_path / "config.json"))
+    docs = spark.createDataFrame([doc(1, "2025-09-14T05:00:00Z"), doc(2, None)], DOC)
+    status = pipelines.seed(spark, config, docs, f"{tmp_path}/meta.json", f"{tmp_path}/manifest.json")
+    assert sum(r["decision_rows"] for r in status["dc"]) == spark.read.parquet(f"{tmp_path}/out/candidates").count() == 2 * 854 * 4
+    links = spark.read.parquet(f"{tmp_path}/out/links")
+    assert {r.document_id for r in links.collect()} <= {"d1"}  # undated documents count only where they list episodes
+    assert status["unattributed"] == status["analyze"]["episodes"] - links.select("episode_id").distinct().count()
+    with pytest.raises(ValueError, match="verified"):
+        pipelines.seed(spark, config, spark.createDataFrame([doc(1, verified=True)], DOC))
+    (tmp_path / "meta.json").write_text(json.dumps([{"id": m, "question": "another", "answer1": "yes", "answer2": "no"} for m in ids]))
+    with pytest.raises(ValueError, match="metadata"):
+        pipelines.seed(spark, config, docs, f"{tmp_path}/meta.json")
+    (tmp_path / "manifest.json").write_text('{"status": "running"}')
+    with pytest.raises(ValueError, match="complete"):
+        pipelines.seed(spark, config, docs, None, f"{tmp_path}/manifest.json")
+
+    whole = readers.demo_fills(spark)
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in readers.FILL_SCHEMA if f.name not in whole.columns]
+    whole.select("*", *missing).write.parquet(f"{tmp_path}/all.parquet")
+    spark.createDataFrame([(m,) for m in ids], "id string").write.parquet(f"{tmp_path}/markets.parquet")
+    found = pipelines.extract(spark, f"{tmp_path}/markets.parquet", f"{tmp_path}/all.parquet", ["demo-a"], f"{tmp_path}/extract")
+    assert found["status"] == readers.read_manifest(spark, f"{tmp_path}/extract")["status"] == "complete" and [m["rows"] for m in found["markets"]] == [854 * 4]
+    times = [r.timestamp for r in spark.read.parquet(f"{tmp_path}/extract/trades.parquet").select("timestamp").collect()]
+    assert times == sorted(times)
+    with pytest.raises(ValueError, match="already"):
+        pipelines.extract(spark, f"{tmp_path}/markets.parquet", f"{tmp_path}/all.parquet", ["demo-a"], f"{tmp_path}/extract")
+
+
 def test_strict_json_lines(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"x": 1}\n\n{"x": 2}\n')
     (tmp_path / "b.jsonl").write_text('{"x": 1}\n[oops\n')

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,60 @@ def link(spark: SparkSession, config: RunConfig, documents: DataFrame, reviews:
     return news.match_seed(links, documents) if seed else links
 
 
+#: What supplied documents may say beyond found ones.
+SEED_COLUMNS = {"candidate_episode_ids": "array<string>", "context_type": "string", "publication_date_claimed": "string", "timing_evidence": "string", "information_event_id": "string", "market_ids": "array<string>"}
+
+
+def check_unverified(documents: DataFrame) -> None:
+    """Documents with verified times belong to the verified import; a run over supplied documents takes claims only."""
+    if "timestamp_status" in documents.columns and not documents.where("timestamp_status = 'verified'").isEmpty():
+        raise ValueError("supplied documents must not be marked as verified")
+
+
+def seed(spark: SparkSession, config: RunConfig, documents: DataFrame, metadata: str | None = None, manifest: str | None = None, overwrite: bool = True) -> dict:
+    """A run over supplied documents: bars and episodes, links, decisions with their candidates, what stays unattributed."""
+    check_unverified(documents)
+    if metadata:
+        readers.check_markets(spark, metadata, config.markets)
+    if manifest:
+        readers.check_manifest(manifest)
+    documents = documents.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in SEED_COLUMNS.items() if c not in documents.columns])
+    root = config.output_dir
+    status: dict = {"analyze": analyze(spark, config, overwrite)}
+    writers.write_table(link(spark, config, documents, seed=True), f"{root}/links", overwrite)
+    links = spark.read.parquet(f"{root}/links")
+    writers.write_table(export(spark, config, documents), f"{root}/decisions", overwrite)
+    rows = spark.read.parquet(f"{root}/decisions")
+    writers.write_table(decisions.join_candidates(rows, rows.select("decision_id", "research_candidates")), f"{root}/candidates", overwrite)
+    _, found = readers.read_run(spark, config)
+    writers.write_table(news.unattributed(found, links), f"{root}/unattributed", overwrite)
+    status["links"] = [r.asDict() for r in news.link_coverage(documents, links).orderBy("market_id").collect()]
+    status["dc"] = [r.asDict() for r in decisions.export_stats(rows).orderBy("market_id").collect()]
+    status["unattributed"] = spark.read.parquet(f"{root}/unattributed").count()
+    return status
+
+
+def rebuild(spark: SparkSession, config: RunConfig, documents: DataFrame, output: str, overwrite: bool = True) -> dict:
+    """seed, then fine."""
+    return {"seed": seed(spark, config, documents, overwrite=overwrite), "fine": fine(spark, config, output, overwrite)}
+
+
+def extract(spark: SparkSession, markets_source: str, fills_source: str, market_ids: list[str], output: str, overwrite: bool = False) -> dict:
+    """Markets and fills of some markets from Parquet at any URL, as sorted Parquet, gzipped CSV and a manifest, whose status says complete last."""
+    if not overwrite and readers.exists(spark, f"{output}/manifest"):
+        raise ValueError(f"{output} holds an extract already")
+    writers.write_json(spark, f"{output}/manifest", {"status": "running", "market_ids": market_ids})
+    markets, rows = readers.extract(spark, markets_source, fills_source, market_ids)
+    writers.write_table(markets, f"{output}/markets.parquet", overwrite)
+    writers.write_sorted(rows, f"{output}/trades.parquet", ["timestamp", "block_number", "transaction_hash", "log_index"], overwrite)
+    kept = spark.read.parquet(f"{output}/trades.parquet")
+    writers.write_csv(kept, f"{output}/trades_csv")
+    counts = [r.asDict() for r in kept.groupBy("market_id").agg(F.count("*").alias("rows"), F.sum("usd_amount").alias("usd_amount"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")).orderBy("market_id").collect()]
+    manifest = {"status": "complete", "market_ids": market_ids, "markets": counts}
+    writers.write_json(spark, f"{output}/manifest", manifest)
+    return manifest
+
+
 def export(spark: SparkSession, config: RunConfig, documents: DataFrame) -> DataFrame:
     kept, _ = prepared(spark, config)
     bars, _ = readers.read_run(spark, config)
@@ -91,15 +146,28 @@ def fine(spark: SparkSession, config: RunConfig, output: str, overwrite: bool =
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tidemark")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("analyze", "pilot", "fine"):
+    for name in ("analyze", "pilot", "fine", "seed", "rebuild"):
         p = commands.add_parser(name)
         p.add_argument("--config", required=True)
         p.add_argument("--overwrite", action="store_true")
-        if name == "pilot":
+        if name in ("pilot", "seed", "rebuild"):
             p.add_argument("--documents", required=True)
+        if name == "pilot":
             p.add_argument("--stage", choices=("all", *STAGES), default="all")
-        if name == "fine":
+        if name == "seed":
+            p.add_argument("--metadata")
+            p.add_argument("--manifest")
+        if name in ("fine", "rebuild"):
             p.add_argument("--output", required=True)
+        if name == "fine":
+            p.add_argument("--bin-seconds", type=int)
+            p.add_argument("--data")
+    p = commands.add_parser("extract")
+    p.add_argument("--markets", required=True)
+    p.add_argument("--fills", required=True)
+    p.add_argument("--market-id", action="append", required=True)
+    p.add_argument("--output", required=True)
+    p.add_argument("--overwrite", action="store_true")
     p = commands.add_parser("demo")
     p.add_argument("--output", required=True)
     p = commands.add_parser("primary")
@@ -135,11 +203,20 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "demo":
         writers.write_table(readers.demo_fills(spark), f"{args.output}/trades.parquet", overwrite=True)
         return 0
+    if args.command == "extract":
+        print(json.dumps(extract(spark, args.markets, args.fills, args.market_id, args.output, args.overwrite), default=str))
+        return 0
     config = RunConfig.load(args.config)
     if args.command == "analyze":
         print(json.dumps(analyze(spark, config, args.overwrite)))
     elif args.command == "fine":
-        print(json.dumps(fine(spark, config, args.output, args.overwrite)))
+        if args.bin_seconds:
+            config = replace(config, sparse=replace(config.sparse, bin_seconds=args.bin_seconds))
+        print(json.dumps(fine(spark, replace(config, data_path=args.data) if args.data else config, args.output, args.overwrite)))
+    elif args.command == "seed":
+        print(json.dumps(seed(spark, config, spark.read.json(args.documents), args.metadata, args.manifest, args.overwrite)))
+    elif args.command == "rebuild":
+        print(json.dumps(rebuild(spark, config, spark.read.json(args.documents), args.output, args.overwrite)))
     else:
         documents = spark.read.json(args.documents)
         pilot(spark, config, documents, STAGES if args.stage == "all" else (args.stage,), args.overwrite)
