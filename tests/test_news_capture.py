@@ -85,6 +85,33 @@ def test_groups_are_bounded_and_lose_nothing(spark):
     assert [g.alert_ids for g in got] == want
 
 
+def test_groups_go_on_across_batches(spark):
+    rows = [(m, t * 1_000_000, 0, f"{m}{t}") for m in ("a", "b") for t in range(0, 60 * 500, 60)]
+    frame = spark.createDataFrame(rows, "market_id string, detected_us long, start_us long, alert_id string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sparse.bounded_groups(frame, SparseConfig(news_max_span_seconds=600)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(len(g.alert_ids) for g in got) == [5, 5, *[11] * 90]  # 500 = 45 * 11 + 5
+
+
+def test_cards_name_the_ten_best_links_and_escape_text(spark):
+    episodes = spark.createDataFrame(
+        [("e1", "m", 5, "t0", "t1", "t2", "jump", 1.0), ("e2", "m", 9, "t0", "t1", "t2", "jump", -1.0)],
+        "episode_id string, market_id string, detected_us long, detected_at string, window_start string, window_end string, kind string, initial_displacement_pp double",
+    )
+    links = spark.createDataFrame(
+        [("e1", f"d{k:02}", "https://x/?a=1&b=2", "<b>'\"&" if k == 12 else f"title {k}", None, "pre_window", float(k // 2), "unreviewed") for k in range(13)],
+        "episode_id string, document_id string, url string, title string, published_at_claimed string, temporal_role string, rank_score double, review_label string",
+    )
+    assert [r.document_id for r in news.top_links(links).orderBy("place").collect()] == ["d12", "d10", "d11", "d08", "d09", "d06", "d07", "d04", "d05", "d02"]
+    html = {r.episode_id: (r.candidates, r.html) for r in news.episode_cards(episodes, links).collect()}
+    assert html["e1"][0] == 13 and html["e1"][1].count("<li>") == 10 and "&lt;b&gt;&#x27;&quot;&amp;</a>" in html["e1"][1] and "published unknown" in html["e1"][1]
+    assert html["e1"][1].index("&lt;b&gt;") < html["e1"][1].index("title 10<") < html["e1"][1].index("title 11<")
+    assert html["e2"][0] == 0 and "No candidate" in html["e2"][1]
+
+
 def test_candidate_links(spark):
     episodes = spark.createDataFrame([("e1", "m", 0 + 1735689600_000000, 1735689600_000000 + HOUR)], "episode_id string, market_id string, start_us long, end_us long")
     docs = spark.createDataFrame(
@@ -186,6 +213,9 @@ def test_demo_run_end_to_end(spark, tmp_path):
     status = pipelines.pilot(spark, config, docs)
     assert status["analyze"]["audit"]["valid_rows"] == 2 * 854 * 4 and status["analyze"]["episodes"] >= 1
     assert sum(r["decision_rows"] for r in status["dc"]) == 2 * 854 * 4
+    page = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/out/report_html").collect())
+    assert page.startswith("<!doctype html>") and page.count("<h2>") == len({e["market_id"] for e in json.loads(status["render"])}) and page.count("<details") == len(json.loads(status["render"]))
+    assert page.index("<h2>") < page.index("<details") and spark.read.text(f"{tmp_path}/out/review_template").count() == spark.read.parquet(f"{tmp_path}/out/links").count()
     with pytest.raises(Exception):
         pipelines.analyze(spark, config)  # a non-empty output is not overwritten
     summary = pipelines.fine(spark, config, f"{tmp_path}/fine")

@@ -75,6 +75,14 @@ def short_hash(length: int, *parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, length)
 
 
+def html_escape(value: Column) -> Column:
+    """Text that may stand in HTML, also within quotes; null is "unknown"."""
+    out = F.coalesce(value.cast("string"), F.lit("unknown"))
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(sign), F.lit(entity))
+    return out
+
+
 def logit(p: Column, clip: float) -> Column:
     q = F.least(F.greatest(p, F.lit(clip)), F.lit(1 - clip))
     return F.ln(q / (1 - q))

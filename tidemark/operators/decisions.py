@@ -54,8 +54,11 @@ def bundles(fills: DataFrame, check: bool = True) -> DataFrame:
     })
 
 
-def market_state(decisions: DataFrame, bars: DataFrame, cfg: ContextConfig, chunk: int = 24 * HOUR) -> DataFrame:
-    """decisions with the last observed bar that ended strictly before; values only where it is at most max_price_age_minutes old."""
+def market_state(decisions: DataFrame, bars: DataFrame, cfg: ContextConfig, chunk: int = HOUR) -> DataFrame:
+    """decisions with the last observed bar that ended strictly before; values only where it is at most max_price_age_minutes old.
+
+    A busy market is dealt out by the hour; each hour costs one carried row.
+    """
     known = [c for c in ("price", "displacement_pp", "rv_pp", "record_count") if c in bars.columns]
     found = asof_before(decisions, bars.where("observed").select("market_id", F.col("bin_us").alias("us"), *known), "market_id", "us", known, chunk)
     age = (F.col("us") - F.col("state_us")) / 1e6

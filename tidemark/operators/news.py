@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import Market, NewsConfig
-from tidemark.functions.columns import aware_time, iso, micros, relevance, relevant_pairs
+from tidemark.functions.columns import aware_time, html_escape, iso, micros, relevance, relevant_pairs
 from tidemark.functions.text import canonical_url
 from tidemark.operators.decisions import verified_time
 
@@ -100,6 +100,34 @@ def unattributed(episodes: DataFrame, links: DataFrame) -> DataFrame:
     return episodes.join(links.select("episode_id").distinct(), "episode_id", "left_anti")
 
 
+def review_template(links: DataFrame) -> DataFrame:
+    """What a reviewer fills in: one row for each link."""
+    return links.select("episode_id", "document_id", F.col("review_label").alias("label"), F.col("review_note").alias("note"))
+
+
+def top_links(links: DataFrame, n: int = 10) -> DataFrame:
+    """The n best links of each episode by rank, then document, with place from 1."""
+    w = Window.partitionBy("episode_id").orderBy(F.desc("rank_score"), "document_id")
+    return links.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+
+
+def episode_cards(episodes: DataFrame, links: DataFrame, n: int = 10) -> DataFrame:
+    """(market_id, detected_us, episode_id, candidates, html): an HTML section for each episode, with its n best links; all text is escaped."""
+    label = F.concat_ws(", ", "temporal_role", "review_label", F.concat(F.lit("published "), F.coalesce("published_at_claimed", F.lit("unknown"))))
+    entry = F.concat(F.lit('<li><a href="'), html_escape(canonical_url("url")), F.lit('">'), html_escape(F.col("title")), F.lit("</a> <small>"), html_escape(label), F.lit("</small></li>"))
+    lists = top_links(links, n).groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("place", entry.alias("entry")))).alias("entries"))
+    counts = links.groupBy("episode_id").agg(F.count("*").alias("candidates"))
+    rows = episodes.select("market_id", "detected_us", "episode_id", "detected_at", "window_start", "window_end", "kind", "initial_displacement_pp").join(counts, "episode_id", "left").join(lists, "episode_id", "left")
+    rows = rows.withColumn("candidates", F.coalesce("candidates", F.lit(0).cast("long")))
+    way = F.when(F.col("initial_displacement_pp") > 0, "rise").otherwise("fall or still")
+    summary = F.concat_ws(" | ", "detected_at", "kind", way, F.concat(F.col("candidates").cast("string"), F.lit(" candidates")))
+    body = F.when(F.col("candidates") > 0, F.concat(F.lit("<ol>"), F.array_join("entries.entry", ""), F.lit("</ol>"))).otherwise("<p>No candidate found; that is no proof of absence.</p>")
+    html = F.concat(
+        F.lit('<details id="episode-'), html_escape(F.col("episode_id")), F.lit('"><summary>'), html_escape(summary), F.lit("</summary><p>"), html_escape(F.concat_ws(" to ", "window_start", "window_end")), F.lit("</p>"), body, F.lit("</details>"),
+    )
+    return rows.select("market_id", "detected_us", "episode_id", "candidates", html.alias("html"))
+
+
 def _queries(markets: Sequence[Market], most: int):
     return F.create_map(*[x for m in markets for x in (F.lit(m.market_id), F.array(*[F.lit(q) for q in m.search_queries[:most]]).cast("array<string>"))])
 

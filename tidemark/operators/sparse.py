@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,22 +156,31 @@ def alerts(found: DataFrame, cfg: SparseConfig) -> DataFrame:
     )
 
 
+def _group_starts(frames: Iterator[pd.DataFrame], gap: int, span: int) -> Iterator[pd.DataFrame]:
+    """first_us, the time at which a row's group began. Rows come by market and time; only the last row is remembered."""
+    market, last, first = object(), 0, 0
+    for frame in frames:
+        starts = []
+        for here, t in zip(frame["market_id"], frame["detected_us"].tolist(), strict=True):
+            if here != market or t - last > gap or t - first > span:
+                first = t
+            market, last = here, t
+            starts.append(first)
+        yield frame.assign(first_us=starts)
+
+
 def bounded_groups(found: DataFrame, cfg: SparseConfig) -> DataFrame:
     """Alerts grouped in time order; a group ends at a gap over news_merge_seconds or a span over news_max_span_seconds.
 
-    Gaps split first, with a plain window; within such a run, whose length the gap rule leaves small, the span rule restarts with each group and is folded in order.
+    Where a group starts depends on all before it, so each market's alerts (at most one for each bin, three narrow columns) stream sorted past a fold that
+    holds one row. A group itself is no longer than the span.
     """
-    w = Window.partitionBy("market_id").orderBy("detected_us")
-    gap = F.col("detected_us") - F.lag("detected_us").over(w)
-    runs = found.withColumn("_run", F.sum(F.when(gap.isNull() | (gap > cfg.news_merge_seconds * SECOND), 1).otherwise(0)).over(w))
-    item = F.struct(F.col("detected_us").alias("t"), F.col("alert_id").alias("id"), F.col("start_us").alias("s"))
-    listed = runs.groupBy("market_id", "_run").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    # The fold keeps the start of the current group and the starts of all groups so far.
-    span = cfg.news_max_span_seconds * SECOND
-    starts = F.expr(f"aggregate(items, cast(array() as array<bigint>), (acc, x) -> if(size(acc) = 0 or x.t - element_at(acc, -1) > {span}L, array_append(acc, x.t), acc))")
-    placed = listed.withColumn("starts", starts).withColumn("x", F.explode("items")).select("market_id", "_run", "x", F.expr("array_max(filter(starts, y -> y <= x.t))").alias("first_us"))
+    rows = found.select("market_id", "detected_us", "alert_id", "start_us").repartition("market_id").sortWithinPartitions("market_id", "detected_us", "alert_id")
+    fold = partial(_group_starts, gap=cfg.news_merge_seconds * SECOND, span=cfg.news_max_span_seconds * SECOND)
+    placed = rows.mapInPandas(fold, "market_id string, detected_us long, alert_id string, start_us long, first_us long")
+    item = F.struct(F.col("detected_us").alias("t"), F.col("alert_id").alias("id"))
+    out = placed.groupBy("market_id", "first_us").agg(F.array_sort(F.collect_list(item)).alias("xs"), F.max("detected_us").alias("last_us"), F.min("start_us").alias("start_us"))
     moment = lambda c: iso(F.timestamp_micros(c))
-    out = placed.groupBy("market_id", "first_us").agg(F.array_sort(F.collect_list("x")).alias("xs"), F.max("x.t").alias("last_us"), F.min("x.s").alias("start_us"))
     return out.select(
         F.concat(F.lit("group-"), F.col("xs")[0]["id"]).alias("group_id"), "market_id", moment(F.col("first_us")).alias("first_detection"), moment(F.col("last_us")).alias("last_detection"), moment(F.col("start_us")).alias("window_start"),
         F.col("xs.id").alias("alert_ids"), "start_us", "first_us", "last_us", F.lit("retrieval_deduplication_not_independent_event").alias("purpose"),

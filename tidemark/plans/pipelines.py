@@ -116,11 +116,22 @@ def pilot(spark: SparkSession, config: RunConfig, documents: DataFrame, stages:
         writers.write_jsonl(rows.orderBy("C.cutoff_exclusive", "decision_id").limit(5), f"{root}/dc_sample")
         status["dc"] = [r.asDict() for r in decisions.export_stats(rows).collect()]
     if "render" in stages:
-        _, found = readers.read_run(spark, config)
-        status["render"] = writers.report_json(dense.top_episodes(found, config.news.max_episodes_per_market).drop("place"))
+        status["render"] = render(spark, config, documents)
     return status
 
 
+def render(spark: SparkSession, config: RunConfig, documents: DataFrame, reviews: DataFrame | None = None) -> str:
+    """Links with reviews, the template for further reviews and the HTML page of each market's best episodes; returns these as JSON."""
+    root = config.output_dir
+    writers.write_table(link(spark, config, documents, reviews), f"{root}/links", overwrite=True)
+    links = spark.read.parquet(f"{root}/links")
+    writers.write_jsonl(news.review_template(links), f"{root}/review_template")
+    _, found = readers.read_run(spark, config)
+    best = dense.top_episodes(found, config.news.max_episodes_per_market).drop("place")
+    writers.write_report(news.episode_cards(best, links), f"{root}/report_html", "Episodes and candidate documents")
+    return writers.report_json(best)
+
+
 def fine(spark: SparkSession, config: RunConfig, output: str, overwrite: bool = True) -> dict:
     """Sparse bars, diagnostics, alerts, groups and searches; a summary for each market."""
     kept, _ = prepared(spark, config)
@@ -146,12 +157,14 @@ def fine(spark: SparkSession, config: RunConfig, output: str, overwrite: bool =
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tidemark")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("analyze", "pilot", "fine", "seed", "rebuild"):
+    for name in ("analyze", "pilot", "fine", "seed", "rebuild", "render"):
         p = commands.add_parser(name)
         p.add_argument("--config", required=True)
         p.add_argument("--overwrite", action="store_true")
-        if name in ("pilot", "seed", "rebuild"):
+        if name in ("pilot", "seed", "rebuild", "render"):
             p.add_argument("--documents", required=True)
+        if name == "render":
+            p.add_argument("--reviews")
         if name == "pilot":
             p.add_argument("--stage", choices=("all", *STAGES), default="all")
         if name == "seed":
@@ -215,6 +228,8 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(fine(spark, replace(config, data_path=args.data) if args.data else config, args.output, args.overwrite)))
     elif args.command == "seed":
         print(json.dumps(seed(spark, config, spark.read.json(args.documents), args.metadata, args.manifest, args.overwrite)))
+    elif args.command == "render":
+        print(render(spark, config, spark.read.json(args.documents), spark.read.json(args.reviews) if args.reviews else None))
     elif args.command == "rebuild":
         print(json.dumps(rebuild(spark, config, spark.read.json(args.documents), args.output, args.overwrite)))
     else:

@@ -346,6 +346,26 @@ def q_review_labels(spark, sf_dir):
     return news.review(links, reviews).select("episode_id", "document_id", "review_label")
 
 
+def _esc(text: str) -> str:
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        text = f"replace({text}, '{sign}', '{entity}')"
+    return text
+
+
+@query(f"""with {_MATCH}, pl as (select *, row_number() over (partition by episode_id order by rank_score desc, document_id) as place, count(*) over (partition by episode_id) as n from lk),
+en as (select episode_id, any_value(n) as n, string_agg('<li><a href="' || {_esc('url')} || '">' || {_esc('text')} || '</a> <small>' || {_esc(f"temporal_role || ', unreviewed, published ' || coalesce({iso_sql('t')}, 'unknown')")} || '</small></li>', '' order by place) as items
+  from pl join dc using (document_id, url) where place <= 10 group by 1)
+select market_id, episode_id, coalesce(n, 0)::bigint as candidates, '<details id="episode-' || episode_id || '"><summary>' || {iso_sql('detected_us')} || ' | ' || kind || ' | ' || case when d0 > 0 then 'rise' else 'fall or still' end || ' | ' || coalesce(n, 0) || ' candidates</summary><p>'
+  || {iso_sql('start_us')} || ' to ' || {iso_sql('end_us')} || '</p>' || coalesce('<ol>' || items || '</ol>', '<p>No candidate found; that is no proof of absence.</p>') || '</details>' as html from ee left join en using (episode_id)""")
+def q_episode_cards(spark, sf_dir):
+    return news.episode_cards(_episodes(spark, sf_dir), _links(spark, sf_dir)).drop("detected_us")
+
+
+@query(f"with {_MATCH} select episode_id, document_id, 'unreviewed' as label, '' as note from lk")
+def q_review_template(spark, sf_dir):
+    return news.review_template(_links(spark, sf_dir))
+
+
 @query(f"with {_MATCH} select episode_id, market_id from ee where episode_id not in (select episode_id from lk)")
 def q_unattributed(spark, sf_dir):
     found = _episodes(spark, sf_dir)
