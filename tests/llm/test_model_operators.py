@@ -15,6 +15,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import html_extract, lm_score, sentencepiece_fst, token_counts, warc
 from tidemark.llm.shared import stored
@@ -309,6 +310,29 @@ def test_lm_words_are_those_of_the_contract():
         assert words[offsets[k] : offsets[k + 1]] == want == lm_score.tokens_of(text)[:-1]
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_lm_words_of_batches_that_are_cut(kind):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("aB cÉ\n.") for _ in range(rng.randint(0, 30))) for _ in range(20_000)]
+    texts += ["x Yy " * 8_000_000, "", "Z z"]  # 40 MB
+    got = []
+    for part in lm_score.slices([pa.RecordBatch.from_arrays([pa.array(texts, kind)], names=["text"])]):
+        words, offsets = lm_score.words_of(part.column(0))
+        got += [(int(b - a), words.slice(a, min(b - a, 40)).to_pylist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    want = [lm_score.tokens_of(t)[:-1] for t in texts]
+    assert got == [(len(w), w[:40]) for w in want]
+
+
+def test_lm_reads_every_token_of_many_rows(spark):
+    """20,000 rows in two files, so that batches are cut: counts against native ones, and every training token learned from."""
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.concat(F.lit("W"), F.col("id") % 97), (F.col("id") % 5 + 1).cast("int"))).alias("text")).coalesce(2)
+    got = lm_score.score(stored(rows, "lm-many"), head=50, modelled=16, warm_docs=50)
+    counts = stored(got.join(rows, "doc_id"), "lm-many-scored")
+    assert counts.where("n_tokens != doc_id % 5 + 2").isEmpty()
+    total = counts.where("not held_out").agg(F.sum("n_tokens")).first()[0]
+    assert {(r.train_tokens, r.learned_tokens) for r in counts.select("train_tokens", "learned_tokens").distinct().collect()} == {(total, total)}
+
+
 def small_vocabulary():
     return lm_score.Vocabulary([b"", b"a", b"b", b"c", b"d", b"e"], [9, 8, 7, 6, 5, 4], 45, 9, 4, 1)
 

@@ -1,7 +1,7 @@
 """Document log-likelihood under a gated recurrent language model.
 
 Tokens are words (ASCII lower case) and one end for each text. Counts of all training tokens give the base model and the output classes.
-Head words (the `head` most frequent; a bound) are broadcast with their counts. The model is a gated recurrent unit in numpy with a class-factored
+Head words (the `head` most frequent; a bound) are broadcast with their counts; longer ones than 64 bytes never belong to the head. The model is a gated recurrent unit in numpy with a class-factored
 softmax: P(token) = P(class | state) * P(token | class). The `modelled` most frequent words form classes whose word softmax depends on the state; the other head words
 form classes by frequency and everything else forms the tail class, with smoothed counts within the class. So every text, also of unseen words, has a probability, and
 the whole sums to one over the known words and one lump for unseen ones, as in the base model.
@@ -37,6 +37,8 @@ from tidemark.llm.shared import fold_of, stored, text_or_empty
 END = b""  # no word is empty
 LOG10 = math.log(10.0)
 FIRST_SQUARE = 1e-5
+#: So many tasks' models are averaged at a time.
+FAN_IN = 64
 #: Rarer words belong to the tail class, from which the model learns how often a word is rare or new.
 MIN_HEAD_COUNT = 3
 
@@ -49,7 +51,8 @@ def tokens_of(text: str) -> list[bytes]:
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words of all texts, lower case, without ends, and each text's first place among them (one more than there are texts)."""
-    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.large_string()))))
+    # Lower case comes before the cast: on what a cast makes of a slice, ascii_lower returns other bytes.
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts).cast(pa.large_string())))
     words, offsets = lists.flatten(), np.asarray(lists.offsets, np.int64)
     offsets = offsets - offsets[0]
     real = np.asarray(pc.greater(pc.binary_length(words), 0))  # a text without words gives one empty word
@@ -409,10 +412,10 @@ def _train(batches, shared, n_slices: int):
         seen += train_documents(p, sums, v, v.documents(batch.column(0))[0])
     if seen:
         parts = [x.tobytes() for x in np.array_split(packed(p), n_slices)]
-        yield pa.RecordBatch.from_pydict({"slice": list(range(n_slices)), "many": [TaskContext.get().partitionId() // 64] * n_slices, "tokens": [seen] * n_slices, "parameters": parts}, schema=_PART_SCHEMA)
+        yield pa.RecordBatch.from_pydict({"slice": list(range(n_slices)), "many": [TaskContext.get().partitionId() // FAN_IN] * n_slices, "tokens": [seen] * n_slices, "parameters": parts}, schema=_PART_SCHEMA)
 
 
-def _average(key, frame, last: bool):
+def _average(key, frame):
     """Mean of the parameters of one slice, weighted by tokens."""
     import pandas as pd
 
@@ -420,7 +423,7 @@ def _average(key, frame, last: bool):
     for n, data in zip(frame["tokens"], frame["parameters"], strict=True):
         total = total + float(n) * np.frombuffer(data, "<f4").astype(float)
     tokens = int(frame["tokens"].sum())
-    return pd.DataFrame({"slice": [key[0]], "many": [0 if last else key[1]], "tokens": [tokens], "parameters": [(total / tokens).astype("<f4").tobytes()]})
+    return pd.DataFrame({"slice": [key[0]], "many": [key[1] // FAN_IN], "tokens": [tokens], "parameters": [(total / tokens).astype("<f4").tobytes()]})
 
 
 def vocabulary_of(counts: DataFrame, head: int, modelled: int, static_classes: int) -> Vocabulary:
@@ -467,8 +470,11 @@ def learned(training: DataFrame, v: Vocabulary, start: dict, sums: dict, trainer
     shared = training.sparkSession.sparkContext.broadcast((v, start, sums))
     trainers = max(1, v.total // trainer_tokens)  # fewer tasks where a task's share of the texts would be too small to learn from
     models = training.select("text").coalesce(trainers).mapInArrow(partial(_train, shared=shared, n_slices=n_slices), _PARTS)
-    means = models.groupBy("slice", "many").applyInPandas(partial(_average, last=False), _PARTS)
-    means = means.groupBy("slice").applyInPandas(partial(_average, last=True), _PARTS).collect()  # one model in n_slices rows
+    means, groups = models, trainers
+    while groups > 1 or means is models:  # a tree of means, FAN_IN models in each
+        groups = -(-groups // FAN_IN)
+        means = means.groupBy("slice", "many").applyInPandas(_average, _PARTS)
+    means = means.collect()  # one model in n_slices rows
     if not means:
         return start, 0
     means.sort(key=lambda r: r["slice"])
