@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, html_extract, langid, lm_score, near_dedup, packing, quality, sentencepiece_fst, token_counts, warc
+from tidemark.llm import exact_dedup, html_extract, langid, lm_score, near_dedup, packing, quality, sentencepiece_fst, token_counts, toxicity, warc
 from tidemark.llm.shared import table
 
 
@@ -50,6 +50,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -58,7 +62,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_sentencepiece, op3_exact_dedup, op4_html_extraction, op5_warc, op6_lm_scoring, op7_quality_rules, op8_token_counts, op9_near_dedup, op10_language_id, pipeline)
+    for f in (op1_packing, op2_sentencepiece, op3_exact_dedup, op4_html_extraction, op5_warc, op6_lm_scoring, op7_quality_rules, op8_token_counts, op9_near_dedup, op10_language_id, op13_toxicity, pipeline)
 }
 
 #: The others have no SQL form (tokenizers, models, signatures, page trees); tests compare them with brute force.
