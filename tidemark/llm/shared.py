@@ -89,8 +89,8 @@ def fold_of(n_folds: int, name: str = "doc_id"):
 
 
 #: DuckDB: a list of the 256 values of the CRC-32 of a byte, and the CRC-32 of an ASCII text {0} with that list in {1}.
-CRC_TABLE_SQL = "list_transform(range(256), i -> list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], (c, step) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
-CRC_SQL = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), x -> ascii(x)::BIGINT)), (c, b) -> xor(({1})[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+CRC_TABLE_SQL = "list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, step: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+CRC_SQL = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(({1})[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
