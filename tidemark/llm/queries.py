@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, html_extract, langid, lm_score, near_dedup, packing, prefix_trie, quality, sentencepiece_fst, token_counts, toxicity, warc
+from tidemark.llm import exact_dedup, html_extract, langid, lm_score, near_dedup, packing, prefix_trie, quality, repair, sentencepiece_fst, token_counts, toxicity, warc
 from tidemark.llm.shared import table
 
 
@@ -50,6 +50,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.shared_prefixes(table(spark, sf_dir, "conversations"))
 
@@ -66,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_sentencepiece, op3_exact_dedup, op4_html_extraction, op5_warc, op6_lm_scoring, op7_quality_rules, op8_token_counts, op9_near_dedup, op10_language_id, op12_prefix_trie, op13_toxicity, pipeline)
+    for f in (op1_packing, op2_sentencepiece, op3_exact_dedup, op4_html_extraction, op5_warc, op6_lm_scoring, op7_quality_rules, op8_token_counts, op9_near_dedup, op10_language_id, op11_conversation_repair, op12_prefix_trie, op13_toxicity, pipeline)
 }
 
 #: The others have no SQL form (tokenizers, models, signatures, page trees); tests compare them with brute force.
