@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,23 +96,92 @@ def news_items(docs: DataFrame, markets: Sequence[Market], strict: bool) -> Data
     return items.select("market_id", "available_us", "document_id", canonical_url("url").alias("url"), text.alias("text"))
 
 
+CUT, ITEM = 0, 1
+#: A lookback is dealt out in so many chunks; a chunk begins with the newest items of those before it.
+CHUNKS_A_LOOKBACK = 12
+_LISTS = "market_id string, us long, items array<struct<document_id: string, url: string, available_us: long, text: string>>"
+
+
+class Newest:
+    """The newest items, one for each URL, of a stream in time order; never more than `most`.
+
+    An item that `most` newer URLs have pushed out can't come back: they stay newer, and what expires goes from the old end.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.items = most, []
+
+    def add(self, us: int, document_id: str, url: str, text: str) -> None:
+        self.items = [x for x in self.items if x[2] != url]
+        self.items.append((us, document_id, url, text))
+        del self.items[: -self.most]
+
+    def since(self, us: int) -> list[tuple]:
+        return [x for x in reversed(self.items) if x[0] >= us]
+
+
+def _news_lists(batches, most: int, span: int):
+    """A list for each cut-off. Rows come by (market, chunk), time, cut-offs before items of their time."""
+    import pyarrow as pa
+
+    fields = pa.struct([("document_id", pa.string()), ("url", pa.string()), ("available_us", pa.int64()), ("text", pa.string())])
+    place, newest = object(), None
+    for batch in batches:
+        markets, cuts, offsets, flat = [], [], [0], []
+        for market, chunk, us, kind, *item in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (market, chunk) != place:
+                place, newest = (market, chunk), Newest(most)
+            if kind == ITEM:
+                newest.add(us, *item)
+                continue
+            flat += newest.since(us - span)
+            markets.append(market)
+            cuts.append(us)
+            offsets.append(len(flat))
+        columns = [pa.array([x[k] for x in flat], t) for k, t in ((1, pa.string()), (2, pa.string()), (0, pa.int64()), (3, pa.string()))]
+        items = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(fields)))
+        yield pa.RecordBatch.from_arrays([pa.array(markets, pa.string()), pa.array(cuts, pa.int64()), items], names=["market_id", "us", "items"])
+
+
+def newest_by_url(items: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """The `most` newest items of each key, one for each URL."""
+    newest = F.desc("available_us"), F.desc("document_id"), F.desc("text")
+    once = items.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "url").orderBy(*newest))).where("_n = 1")
+    return once.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))).where(F.col("_n") <= most).drop("_n")
+
+
+def news_events(decisions: DataFrame, items: DataFrame, cfg: ContextConfig) -> DataFrame:
+    """(market_id, chunk, us, kind, item): each distinct cut-off and each item once, and in every chunk the newest items of each of the chunks that its lookback reaches."""
+    chunk = -(-cfg.news_lookback_hours * HOUR // CHUNKS_A_LOOKBACK)
+    place = lambda name: F.floor(F.col(name) / F.lit(chunk)).alias("chunk")
+    known = items.select("market_id", place("available_us"), "available_us", *[F.col(c).cast("string").alias(c) for c in ("document_id", "url", "text")])
+    carried = newest_by_url(known, ["market_id", "chunk"], cfg.max_news_items).withColumn("chunk", F.explode(F.sequence(F.col("chunk") + 1, F.col("chunk") + CHUNKS_A_LOOKBACK)))
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("document_id", "url", "text")]
+    cuts = decisions.select("market_id", "us").distinct().select("market_id", place("us"), "us", F.lit(CUT).alias("kind"), *nothing)
+    # Only chunks with cut-offs need carried items.
+    carried = carried.join(cuts.select("market_id", "chunk").distinct(), ["market_id", "chunk"], "left_semi")
+    both = known.unionByName(carried).select("market_id", "chunk", F.col("available_us").alias("us"), F.lit(ITEM).alias("kind"), "document_id", "url", "text")
+    return cuts.unionByName(both)
+
+
 def news_before(decisions: DataFrame, items: DataFrame, cfg: ContextConfig, name: str = "news") -> DataFrame:
     """decisions with up to max_news_items items available in [cutoff - lookback, cutoff), newest first, one for each URL.
 
-    The range join is an equi-join on (market, time bucket): an item stands in the bucket it came in and the one behind, a bucket being a lookback long.
-    Distinct cut-off times of a market are joined, not decisions, so a burst of decisions at one time is looked up once.
+    An ordered fold over (market, chunk): items and distinct cut-offs stream past in time order, and a bounded list of the newest items is what a cut-off gets. No pair of a cut-off and
+    an item is formed: what is shuffled is each row once, and for each chunk as many carried items as lists may hold.
     """
-    span = cfg.news_lookback_hours * HOUR
-    cuts = decisions.select("market_id", "us").distinct().withColumn("slot", F.floor(F.col("us") / F.lit(span)))
-    placed = items.withColumn("slot", F.explode(F.array(F.floor(F.col("available_us") / F.lit(span)), F.floor(F.col("available_us") / F.lit(span)) + 1)))
-    pairs = cuts.join(placed, ["market_id", "slot"]).where((F.col("available_us") < F.col("us")) & (F.col("available_us") >= F.col("us") - span))
-    newest = F.desc("available_us"), F.desc("document_id")
-    once = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("market_id", "us", "url").orderBy(*newest))).where("_n = 1")
-    ranked = once.withColumn("_n", F.row_number().over(Window.partitionBy("market_id", "us").orderBy(*newest))).where(F.col("_n") <= cfg.max_news_items)
-    item = F.struct(F.col("_n").alias("rank"), "document_id", "url", iso(F.timestamp_micros("available_us")).alias("available_at"), "text")
-    lists = ranked.groupBy("market_id", "us").agg(F.array_sort(F.collect_list(item)).alias(name))
-    joined = decisions.join(lists.withColumnsRenamed({"market_id": "_m", "us": "_u"}), (F.col("market_id") == F.col("_m")) & (F.col("us") == F.col("_u")), "left").drop("_m", "_u")
-    return joined.withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
+    events = news_events(decisions, items, cfg).repartition("market_id", "chunk").sortWithinPartitions("market_id", "chunk", "us", "kind", "document_id", "text")
+    lists = events.mapInArrow(partial(_news_lists, most=cfg.max_news_items, span=cfg.news_lookback_hours * HOUR), _LISTS)
+    ranked = F.transform("items", lambda x, k: F.struct((k + 1).alias("rank"), x["document_id"].alias("document_id"), x["url"].alias("url"), iso(F.timestamp_micros(x["available_us"])).alias("available_at"), x["text"].alias("text")))
+    found = lists.select(F.col("market_id").alias("_m"), F.col("us").alias("_u"), ranked.alias(name))
+    joined = decisions.join(found, (F.col("market_id") == F.col("_m")) & (F.col("us") == F.col("_u")), "left").drop("_m", "_u")
+    return joined.withColumn(name, F.coalesce(name, F.array().cast(found.schema[name].dataType)))
+
+
+def eligible_news(items: DataFrame, market_id: str, cutoff_us: int, cfg: ContextConfig) -> DataFrame:
+    """What one cut-off sees, newest first: the items of a market in [cutoff - lookback, cutoff), one for each URL, up to max_news_items."""
+    seen = items.where((F.col("market_id") == market_id) & (F.col("available_us") < cutoff_us) & (F.col("available_us") >= cutoff_us - cfg.news_lookback_hours * HOUR))
+    return newest_by_url(seen, ["market_id"], cfg.max_news_items).orderBy(F.desc("available_us"), F.desc("document_id"))
 
 
 def context_rows(decisions: DataFrame, bars: DataFrame, docs: DataFrame, markets: Sequence[Market], cfg: ContextConfig) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.config import DenseConfig
 from tidemark.functions.columns import floor_micros, iso, micros, short_hash
-from tidemark.operators.chunks import chunk_window, own_rows, with_halo
+from tidemark.functions.order_statistics import FrameOrder
+from tidemark.operators.chunks import CHUNK, OWN, chunk_window, with_halo
 
 MINUTE = 60_000_000
 
@@ -35,20 +39,31 @@ def dense_bars(fills: DataFrame, cfg: DenseConfig) -> DataFrame:
     )
 
 
-def _let(value: str, name: str, body: str) -> str:
-    return f"transform(array({value}), {name} -> {body})[0]"
-
-
-def _median(sorted_name: str) -> str:
-    s = sorted_name
-    return f"({s}[int((size({s}) - 1) / 2)] + {s}[int(size({s}) / 2)]) / 2"
-
-
-def robust_z(metric: str, history: str, cfg: DenseConfig) -> Column:
-    """(metric - median) / max(1.4826 MAD, floor) of the history array; null under min_baseline_bins values."""
-    mad = _let("sort_array(transform(s, x -> abs(x - m)))", "d", _median("d"))
-    z = f"({metric} - m) / greatest(1.4826D * ({mad}), {cfg.scale_floor_pp}D)"
-    return F.expr(f"if(size({history}) >= {cfg.min_baseline_bins}, {_let(f'sort_array({history})', 's', _let(_median('s'), 'm', z))}, null)")
+def _robust_z(values: pa.ChunkedArray, own: np.ndarray, first: np.ndarray, end: np.ndarray, cfg: DenseConfig) -> pa.Array:
+    """(value - median) / max(1.4826 MAD, floor) of the rows [first, end) before each own row; null under min_baseline_bins values."""
+    given = np.asarray(values.is_valid())
+    numbers = np.asarray(values.cast("double").fill_null(np.nan))
+    before = np.concatenate([[0], np.cumsum(given)])
+    a, b = before[first], before[end]
+    ask = np.flatnonzero(own & given & (b - a >= max(1, cfg.min_baseline_bins)))
+    out, known = np.zeros(len(numbers)), np.zeros(len(numbers), bool)
+    if len(ask):
+        order = FrameOrder(numbers[given])
+        middle = order.median(a[ask], b[ask])
+        out[ask] = (numbers[ask] - middle) / np.maximum(1.4826 * order.deviation(a[ask], b[ask], middle), cfg.scale_floor_pp)
+        known[ask] = True
+    return pa.array(out, mask=~known)
+
+
+def _robust_scores(table: pa.Table, cfg: DenseConfig) -> pa.Table:
+    """Own rows of one (market, chunk) with jump_z and rv_z."""
+    table = table.sort_by("bin_us")
+    at = np.arange(table.num_rows)
+    first, end = np.maximum(0, at - (cfg.steps + cfg.window - 1)), np.maximum(0, at - cfg.steps + 1)
+    own = table[OWN].to_numpy()
+    for metric, name in (("jump", "jump_z"), ("rv_pp", "rv_z")):
+        table = table.append_column(name, _robust_z(table[metric], own, first, end, cfg))
+    return table.filter(table[OWN]).drop_columns([CHUNK, OWN, "jump"])
 
 
 def displacement(bars: DataFrame, cfg: DenseConfig) -> DataFrame:
@@ -67,11 +82,11 @@ def movements(bars: DataFrame, cfg: DenseConfig) -> DataFrame:
     """bars with displacement, variation, robust z-scores against past-only baselines, flags and score."""
     width = cfg.bin_minutes * MINUTE
     k, halo = cfg.steps, (2 * cfg.steps + cfg.window + 1) * width
-    cut = displacement(with_halo(bars, "bin_us", 4 * halo, halo), cfg)
-    past = chunk_window(["market_id"], "bin_us").rowsBetween(-(k + cfg.window - 1), -k)
-    held = cut.withColumn("jump", F.abs("displacement_pp")).withColumn("_j", F.collect_list("jump").over(past)).withColumn("_r", F.collect_list("rv_pp").over(past))
-    scored = own_rows(held).withColumn("jump_z", F.when(F.col("jump").isNotNull(), robust_z("jump", "_j", cfg))).withColumn("rv_z", F.when(F.col("rv_pp").isNotNull(), robust_z("rv_pp", "_r", cfg)))
-    return scored.drop("_j", "_r", "jump").withColumns({
+    cut = displacement(with_halo(bars, "bin_us", 4 * halo, halo), cfg).withColumn("jump", F.abs("displacement_pp"))
+    schema = StructType([*cut.drop(CHUNK, OWN, "jump").schema.fields, StructField("jump_z", DoubleType()), StructField("rv_z", DoubleType())])
+    # Medians and deviations of all frames of a chunk come from one wavelet matrix; a frame is never sorted.
+    scored = cut.groupBy("market_id", CHUNK).applyInArrow(lambda table: _robust_scores(table, cfg), schema)
+    return scored.withColumns({
         "baseline_ready": F.col("jump_z").isNotNull() & F.col("rv_z").isNotNull(),
         "jump_alert": F.coalesce((F.abs("displacement_pp") >= cfg.jump_pp) & (F.col("jump_z") >= cfg.z_threshold), F.lit(False)),
         "volatility_alert": F.coalesce((F.col("rv_pp") >= cfg.rv_pp) & (F.col("rv_z") >= cfg.z_threshold), F.lit(False)),

@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.config import SparseConfig
 from tidemark.functions.columns import floor_micros, iso, logit, micros, require_columns, short_hash
-from tidemark.operators.chunks import chunk_window, own_rows, with_halo
+from tidemark.functions.order_statistics import FrameOrder
+from tidemark.operators.chunks import CHUNK, OWN, chunk_window, own_rows, with_halo
 
 SECOND = 1_000_000
 
@@ -88,31 +92,50 @@ def measured(bars: DataFrame, cfg: SparseConfig) -> DataFrame:
 METRICS = {"jump": "abs(change_pp)", "logit": "abs(log_odds_change)", "variation": "variation_pp"}
 
 
-def _past_z(metric: str, floor: float, least: int) -> Column:
-    """(metric - median) / max(IQR / 1.349, floor) of that metric in the array `_past`; null under `least` values."""
-    at = "s[cast(floor({p} * (size(s) - 1)) as int)] + (s[cast(ceil({p} * (size(s) - 1)) as int)] - s[cast(floor({p} * (size(s) - 1)) as int)]) * ({p} * (size(s) - 1) - floor({p} * (size(s) - 1)))"
-    low, middle, high = (at.format(p=f"{p}D") for p in (0.25, 0.5, 0.75))
-    z = f"({METRICS[metric]} - ({middle})) / greatest((({high}) - ({low})) / 1.349D, {floor}D)"
-    return F.expr(f"transform(array(sort_array(array_compact(_past.{metric}))), s -> if(size(s) >= {least}, {z}, null))[0]")
+def _past_scores(table: pa.Table, horizons: tuple[int, ...], lag: int, day: int, least: int, floors: dict[str, float]) -> pa.Table:
+    """Own rows of one (market, chunk), all horizons, with their z-scores. Every frame is a range of the horizon's eligible values in time order."""
+    column = lambda name: table[name].to_numpy()
+    us, horizon, own = column("bin_us"), column("horizon_seconds"), column(OWN)
+    eligible = np.asarray(table["eligible"].fill_null(False))
+    values = {name: np.asarray(table[f"_{name}"].cast("double").fill_null(np.nan)) for name in METRICS}
+    given = {name: np.asarray(table[f"_{name}"].is_valid()) for name in METRICS}
+    scores = {name: np.zeros(table.num_rows) for name in METRICS}
+    known = {name: np.zeros(table.num_rows, bool) for name in METRICS}
+    for h in horizons:
+        rows = np.flatnonzero(horizon == h)
+        rows = rows[np.argsort(us[rows], kind="stable")]
+        for name in METRICS:
+            past = rows[eligible[rows] & given[name][rows]]
+            if not len(past):
+                continue
+            ask = rows[own[rows] & given[name][rows]]
+            behind = us[ask] - (h * SECOND + lag)
+            a, b = np.searchsorted(us[past], behind - day, "left"), np.searchsorted(us[past], behind, "right")
+            enough = b - a >= least
+            ask, a, b = ask[enough], a[enough], b[enough]
+            if len(ask):
+                order = FrameOrder(values[name][past])
+                low, middle, high = (order.quantile(a, b, p) for p in (0.25, 0.5, 0.75))
+                scores[name][ask] = (values[name][ask] - middle) / np.maximum((high - low) / 1.349, floors[name])
+                known[name][ask] = True
+    for name in METRICS:
+        table = table.append_column(f"{name}_z", pa.array(scores[name], mask=~known[name]))
+    return table.filter(table[OWN]).drop_columns([CHUNK, OWN, *[f"_{name}" for name in METRICS]])
 
 
 def baselines(rows: DataFrame, cfg: SparseConfig) -> DataFrame:
     """rows with z-scores against eligible values that ended in [t-h-b-baseline, t-h-b].
 
-    A frame's metrics are collected once, as structs, and sorted once for each metric.
+    One pass serves all horizons: rows are dealt out by (market, chunk) once, with the longest horizon's halo, and a wavelet matrix of each horizon's values answers the
+    quartiles of every frame in logarithmic time. Median, quartiles and floor as before: z = (metric - median) / max(IQR / 1.349, floor), null under min_baseline_samples values.
     """
-    day = cfg.baseline_hours * 3600 * SECOND
-    held = F.when(F.col("eligible"), F.struct(*[F.expr(m).alias(n) for n, m in METRICS.items()]))
-    out = None
-    for h in cfg.horizons_seconds:
-        lag = (h + cfg.bin_seconds) * SECOND
-        cut = with_halo(rows.where(F.col("horizon_seconds") == h), "bin_us", 4 * (day + lag), day + lag)
-        past = chunk_window(["market_id"], "bin_us").rangeBetween(-(day + lag), -lag)
-        part = own_rows(cut.withColumn("_held", held).withColumn("_past", F.collect_list("_held").over(past)).drop("_held"))
-        out = part if out is None else out.unionByName(part)
-    least = max(1, cfg.min_baseline_samples)
-    scores = {f"{name}_z": _past_z(name, cfg.logit_scale_floor if name == "logit" else cfg.pp_scale_floor, least) for name in METRICS}
-    return out.withColumns(scores).drop("_past")
+    day, lag = cfg.baseline_hours * 3600 * SECOND, cfg.bin_seconds * SECOND
+    longest = day + lag + max(cfg.horizons_seconds) * SECOND
+    cut = with_halo(rows.withColumns({f"_{name}": F.expr(m) for name, m in METRICS.items()}), "bin_us", 4 * longest, longest)
+    floors = {name: cfg.logit_scale_floor if name == "logit" else cfg.pp_scale_floor for name in METRICS}
+    score = partial(_past_scores, horizons=tuple(cfg.horizons_seconds), lag=lag, day=day, least=max(1, cfg.min_baseline_samples), floors=floors)
+    schema = StructType([*rows.schema.fields, *[StructField(f"{name}_z", DoubleType()) for name in METRICS]])
+    return cut.groupBy("market_id", CHUNK).applyInArrow(lambda table: score(table), schema)
 
 
 def signals(rows: DataFrame, cfg: SparseConfig) -> DataFrame:
