@@ -179,28 +179,77 @@ def alerts(found: DataFrame, cfg: SparseConfig) -> DataFrame:
     )
 
 
-def _group_starts(frames: Iterator[pd.DataFrame], gap: int, span: int) -> Iterator[pd.DataFrame]:
-    """first_us, the time at which a row's group began. Rows come by market and time; only the last row is remembered."""
-    market, last, first = object(), 0, 0
+#: Alerts are dealt out in chunks of so many longest groups.
+GROUPS_A_CHUNK = 64
+_PLACED = "market_id string, detected_us long, alert_id string, start_us long, first_us long"
+
+
+def _transitions(key, frame: pd.DataFrame, gap: int, span: int, chunk: int) -> pd.DataFrame:
+    """How a chunk passes an open group on: `times`, the alerts at which its first new group may begin, and for each the group that is then open at the chunk's end."""
+    t = np.sort(frame["detected_us"].to_numpy())
+    n = len(t)
+    breaks = np.flatnonzero(np.diff(t) > gap) + 1
+    after_gap = np.append(breaks, n)[np.searchsorted(breaks, np.arange(n), "right")]
+    follows = np.minimum(after_gap, np.searchsorted(t, t + span, "right"))  # the next group's first alert, if one begins here
+    open_at_end = np.arange(n)
+    for k in range(n - 1, -1, -1):
+        if follows[k] < n:
+            open_at_end[k] = open_at_end[follows[k]]
+    # An open group began before the chunk, so it ends within the first span: candidates are the alerts there and one more.
+    some = min(n, int(np.searchsorted(t, (key[1]) * chunk + span, "right")) + 1)
+    first_break = int(breaks[0]) if len(breaks) and breaks[0] < some else -1
+    return pd.DataFrame({"market_id": [key[0]], "chunk": [key[1]], "first_us": [t[0]], "last_us": [t[-1]], "break_at": [first_break], "times": [t[:some]], "exits": [t[open_at_end[:some]]]})
+
+
+def _entries(frames: Iterator[pd.DataFrame], gap: int, span: int) -> Iterator[pd.DataFrame]:
+    """The group that is open where each chunk begins (first_us, last_us; null at a market's start). Chunks come by market and time, one row each."""
+    market, first, last = object(), 0, 0
     for frame in frames:
-        starts = []
-        for here, t in zip(frame["market_id"], frame["detected_us"].tolist(), strict=True):
-            if here != market or t - last > gap or t - first > span:
-                first = t
-            market, last = here, t
-            starts.append(first)
-        yield frame.assign(first_us=starts)
+        opened = []
+        for row in frame.itertuples(index=False):
+            fresh = row.market_id != market
+            opened.append((None, None) if fresh else (first, last))
+            at = 0 if fresh or row.first_us - last > gap else int(np.searchsorted(row.times, first + span, "right"))
+            at = min(at, row.break_at) if row.break_at >= 0 else at
+            if at < len(row.times):
+                first = int(row.exits[at])
+            market, last = row.market_id, row.last_us
+        yield pd.DataFrame({"market_id": frame["market_id"], "chunk": frame["chunk"], "open_first": pd.array([f for f, _ in opened], "Int64"), "open_last": pd.array([x for _, x in opened], "Int64")})
+
+
+def _group_starts(frame: pd.DataFrame, gap: int, span: int) -> pd.DataFrame:
+    """first_us, the time at which a row's group began, from the group that was open when the chunk began."""
+    frame = frame.sort_values(["detected_us", "alert_id"])
+    first, last = frame["open_first"].iloc[0], frame["open_last"].iloc[0]
+    starts, known = [], not pd.isna(first)
+    for t in frame["detected_us"].tolist():
+        if not known or t - last > gap or t - first > span:
+            first, known = t, True
+        last = t
+        starts.append(int(first))
+    return frame.assign(first_us=starts)[["market_id", "detected_us", "alert_id", "start_us", "first_us"]]
+
+
+def placed_alerts(found: DataFrame, cfg: SparseConfig) -> DataFrame:
+    """Alerts with the time at which their group began.
+
+    That depends on all alerts before, but through the open group's start only. So each chunk of a market is summed up as a function from an open start to the start that is open at its end, in parallel; the
+    functions of a market, one row a chunk with the alerts of one span, are applied one after the other; then all chunks are placed in parallel, each from the start it was handed.
+    """
+    gap, span = cfg.news_merge_seconds * SECOND, cfg.news_max_span_seconds * SECOND
+    chunk = GROUPS_A_CHUNK * max(span, 1)
+    rows = found.select("market_id", "detected_us", "alert_id", "start_us", F.floor(F.col("detected_us") / F.lit(chunk)).alias("chunk"))
+    steps = rows.select("market_id", "chunk", "detected_us").groupBy("market_id", "chunk").applyInPandas(
+        lambda key, frame: _transitions(key, frame, gap, span, chunk), "market_id string, chunk long, first_us long, last_us long, break_at int, times array<long>, exits array<long>"
+    )
+    steps = steps.repartition("market_id").sortWithinPartitions("market_id", "chunk")
+    entries = steps.mapInPandas(partial(_entries, gap=gap, span=span), "market_id string, chunk long, open_first long, open_last long")
+    return rows.join(entries, ["market_id", "chunk"]).groupBy("market_id", "chunk").applyInPandas(lambda frame: _group_starts(frame, gap, span), _PLACED)
 
 
 def bounded_groups(found: DataFrame, cfg: SparseConfig) -> DataFrame:
-    """Alerts grouped in time order; a group ends at a gap over news_merge_seconds or a span over news_max_span_seconds.
-
-    Where a group starts depends on all before it, so each market's alerts (at most one for each bin, three narrow columns) stream sorted past a fold that
-    holds one row. A group itself is no longer than the span.
-    """
-    rows = found.select("market_id", "detected_us", "alert_id", "start_us").repartition("market_id").sortWithinPartitions("market_id", "detected_us", "alert_id")
-    fold = partial(_group_starts, gap=cfg.news_merge_seconds * SECOND, span=cfg.news_max_span_seconds * SECOND)
-    placed = rows.mapInPandas(fold, "market_id string, detected_us long, alert_id string, start_us long, first_us long")
+    """Alerts grouped in time order; a group ends at a gap over news_merge_seconds or a span over news_max_span_seconds, so it is no longer than the span."""
+    placed = placed_alerts(found, cfg)
     item = F.struct(F.col("detected_us").alias("t"), F.col("alert_id").alias("id"))
     out = placed.groupBy("market_id", "first_us").agg(F.array_sort(F.collect_list(item)).alias("xs"), F.max("detected_us").alias("last_us"), F.min("start_us").alias("start_us"))
     moment = lambda c: iso(F.timestamp_micros(c))
