@@ -184,24 +184,6 @@ def test_violations_name_the_broken_rules(spark):
     assert set(found) == {"schema", "clock order", "source", "plan", "snapshot", "header", "event"}
 
 
-def test_search_statuses_and_merge(spark):
-    jobs = [{"market_id": m, "query": "q", "start_date": "a", "end_date": "b", "discovery_mode": d} for m, d in (("m", "calendar"), ("n", "spike"))] + [{"market_id": "m", "query": "other", "start_date": "a", "end_date": "b"}]
-    feed = "<rss><channel><item><title>T</title><link>https://a.com/x</link></item></channel></rss>"
-    calls = []
-
-    def fetcher(payload):
-        calls.append(payload)
-        if len(calls) == 1:
-            raise search.HttpError(429)
-        return feed
-
-    docs, statuses = search.retrieve(spark, jobs, "google_rss", fetcher, {}, max_requests=1, sleep=lambda s: None)
-    assert [r.status for r in statuses.collect()] == ["ok", "cached", "budget_skipped"]
-    row = docs.first()
-    assert row.discovery_modes == ["calendar", "spike"] and row.market_ids == ["m", "n"]
-    assert [r.status for r in search.retrieve(spark, jobs[:1], "tavily", None, {})[1].collect()] == ["missing_api_key"]
-
-
 def test_demo_run_end_to_end(spark, tmp_path):
     from tidemark.plans import pipelines
 

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import RunConfig
 from tidemark.operators import decisions, dense, fills, news, sparse
-from tidemark.sources import readers, writers
+from tidemark.sources import readers, search, writers
 
 STAGES = ("analyze", "news", "dc", "render")
 
@@ -120,6 +121,27 @@ def pilot(spark: SparkSession, config: RunConfig, documents: DataFrame, stages:
     return status
 
 
+def collection_jobs(spark: SparkSession, config: RunConfig) -> DataFrame:
+    """Calendar and spike searches of an analysed run, in round-robin order as `place`."""
+    bars, found = readers.read_run(spark, config)
+    jobs = news.interleaved([news.calendar_jobs(bars, config.markets, config.news), news.spike_jobs(found, config.markets, config.news)])
+    order = F.struct("turn", "market_id", "stream")
+    return jobs.withColumn("place", F.row_number().over(Window.orderBy(order)).cast("long"))  # as many jobs as windows and best episodes of configured markets
+
+
+def collect(spark: SparkSession, config: RunConfig, provider: str = "google_rss", fetcher: str | None = "tidemark.sources.search:fetch_search", delay: float = 1.0, **options) -> dict:
+    """Searches for an analysed run's windows, within the request budget; documents merge into those that earlier collections found. A later call goes on with what is missing."""
+    root = config.output_dir
+    found, statuses = search.collect(spark, collection_jobs(spark, config), f"{root}/collection/{provider}", provider, fetcher, config.news.max_requests, delay, **options)
+    writers.replace_table(statuses, f"{root}/collection/statuses")
+    documents = f"{root}/collection/documents"
+    if readers.exists(spark, documents):
+        found = news.upsert(spark.read.parquet(documents), found, sets=("discovery_modes", "market_ids", "retrieval_request_ids"))
+    writers.replace_table(found, documents)
+    counts = spark.read.parquet(f"{root}/collection/statuses").groupBy("status").agg(F.count("*").alias("n")).collect()
+    return {"documents": spark.read.parquet(documents).count(), "statuses": {r["status"]: r["n"] for r in counts}}
+
+
 def render(spark: SparkSession, config: RunConfig, documents: DataFrame, reviews: DataFrame | None = None) -> str:
     """Links with reviews, the template for further reviews and the HTML page of each market's best episodes; returns these as JSON."""
     root = config.output_dir
@@ -157,12 +179,16 @@ def fine(spark: SparkSession, config: RunConfig, output: str, overwrite: bool =
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tidemark")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("analyze", "pilot", "fine", "seed", "rebuild", "render"):
+    for name in ("analyze", "collect", "pilot", "fine", "seed", "rebuild", "render"):
         p = commands.add_parser(name)
         p.add_argument("--config", required=True)
         p.add_argument("--overwrite", action="store_true")
         if name in ("pilot", "seed", "rebuild", "render"):
             p.add_argument("--documents", required=True)
+        if name == "collect":
+            p.add_argument("--provider", choices=tuple(search.PROVIDERS), default="google_rss")
+            p.add_argument("--fetcher", default="tidemark.sources.search:fetch_search")
+            p.add_argument("--delay", type=float, default=1.0)
         if name == "render":
             p.add_argument("--reviews")
         if name == "pilot":
@@ -222,6 +248,9 @@ def main(argv: list[str] | None = None) -> int:
     config = RunConfig.load(args.config)
     if args.command == "analyze":
         print(json.dumps(analyze(spark, config, args.overwrite)))
+    elif args.command == "collect":
+        ready = args.provider != "tavily" or "TAVILY_API_KEY" in os.environ or not args.fetcher.startswith("tidemark.")
+        print(json.dumps(collect(spark, config, args.provider, args.fetcher if ready else None, args.delay)))
     elif args.command == "fine":
         if args.bin_seconds:
             config = replace(config, sparse=replace(config.sparse, bin_seconds=args.bin_seconds))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +17,52 @@ NESTED = ("array", "map", "struct")
 
 def write_table(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Parquet; a non-empty target is an error unless overwrite is given."""
-    df.write.mode("overwrite" if overwrite else "errorifexists").option("compression", "zstd").parquet(path)
+    if overwrite:
+        replace_table(df, path)
+    else:
+        df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+
+
+def replace_path(spark: SparkSession, new: str, path: str) -> None:
+    """Puts a finished file or folder in the place of an old one by renaming. Until then the old one stays whole; if the last rename fails, it is put back."""
+    jvm = spark._jvm
+    target, fresh, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, f"{path}.old-{uuid.uuid4().hex}"))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    had = fs.exists(target)
+    if had and not fs.rename(target, aside):
+        raise OSError(f"{path} can't be moved aside")
+    moved = False
+    try:
+        moved = fs.rename(fresh, target)
+    finally:
+        if not moved and had:
+            fs.rename(aside, target)
+    if not moved:
+        raise OSError(f"{new} can't be renamed to {path}")
+    if had:
+        fs.delete(aside, True)
+
+
+def replaced(df: DataFrame, path: str, write: Callable[[DataFrame, str], None]) -> None:
+    """Writes df under a temporary name beside path, then renames it: a write that fails leaves what was there, and df may read path itself."""
+    spark = df.sparkSession
+    folder, _, name = path.rstrip("/").rpartition("/")
+    temporary = f"{folder}/.{name}.new-{uuid.uuid4().hex}"
+    try:
+        write(df, temporary)
+        replace_path(spark, temporary, path.rstrip("/"))
+    finally:
+        left = spark._jvm.org.apache.hadoop.fs.Path(temporary)
+        left.getFileSystem(spark._jsc.hadoopConfiguration()).delete(left, True)
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    replaced(df, path, lambda rows, at: rows.write.option("compression", "zstd").parquet(at))
 
 
 def write_sorted(df: DataFrame, path: str, order: list[str], overwrite: bool = False) -> None:
     """Globally sorted zstd Parquet: ranges across files, sorted within."""
-    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite" if overwrite else "errorifexists").option("compression", "zstd").parquet(path)
+    write_table(df.repartitionByRange(*order).sortWithinPartitions(*order), path, overwrite)
 
 
 def json_lines(df: DataFrame, sorted_keys: bool = True) -> DataFrame:
@@ -82,7 +124,7 @@ def write_run(spark: SparkSession, config: RunConfig, bars: DataFrame, episodes:
 
 
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
-    spark.createDataFrame([(json.dumps(value, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    replaced(spark.createDataFrame([(json.dumps(value, sort_keys=True),)], "value string").coalesce(1), path, lambda rows, at: rows.write.text(at))
 
 
 def store_snapshots(df: DataFrame, path: str) -> None:
