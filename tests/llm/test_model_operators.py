@@ -201,6 +201,17 @@ def test_html_takes_time_in_proportion_to_the_page(unit):
     assert time.perf_counter() - start < 2
 
 
+@pytest.mark.parametrize(
+    "parts", [("<i><div>", "<b>", "</i>"), ("<p><td>", "<b>", "<h1></h1>"), ("<table><tr><td>", "<b>", "<td><tr>"), ("<ul><li>", "<i>", "<li>"), ("<a>", '<a ">" ', '<a ">" '), ("<a '\">", '<a ">\'" ', "<a '>\"' "), ("<p>", '<a ">', "</p>")]
+)
+def test_html_takes_time_in_proportion_to_pages_of_several_units(parts):
+    head, many, more = parts
+    page = head + many * (250_000 // len(many)) + more * (250_000 // len(more))
+    start = time.perf_counter()
+    html_extract.Page(page)
+    assert time.perf_counter() - start < 2
+
+
 def test_html_tags_with_odd_quotes_end_at_the_next_bracket():
     def text(html):
         return "|".join(html_extract.Page(html).texts.values())

@@ -9,8 +9,8 @@ whole tree with the greatest likelihood under the rule that a node can hold main
 ancestor and no ancestor of kept text is rejected.
 
 Defined cases: null or empty html gives the empty text; a page without markup is one text block; unclosed comments and scripts run to the end of
-their scope; a tag without any later `>` is text; a tag whose quotes don't close ends at the next `>`, as does every tag of a page on which looking for closing
-quotes has cost more than a few times its length, so parsing takes time in proportion to the page; repeated rows are extracted alike; nulls in page_id and url are carried; other columns are ignored. A page is handled alone, so memory is in
+their scope; a tag without any later `>` is text; a tag whose quotes don't close ends at the next `>`; open elements are looked up by
+name and quotes followed once, so parsing takes time in proportion to the page, also of malformed ones; repeated rows are extracted alike; nulls in page_id and url are carried; other columns are ignored. A page is handled alone, so memory is in
 proportion to the longest page.
 """
 
@@ -20,7 +20,8 @@ import html as html_module
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache, partial
 
@@ -53,8 +54,6 @@ N_BUCKETS = 1 << 14
 HIDDEN = "#hidden"
 #: Below this weight an inline element is a node of its own.
 AGAINST = -1.0
-#: How often looking for closing quotes may run over a page before every tag ends at its first `>`.
-PASSES = 8
 
 
 def attribute_tokens(attributes: str) -> frozenset[int]:
@@ -97,7 +96,9 @@ class Page:
         self._run: list[str] = []
         self._linked = 0
         self._run_node = 0
-        self._names: Counter[str] = Counter()  # of open elements
+        self._places: dict[str, list[int]] = defaultdict(list)  # depths of the open elements of each name
+        self._blocks: list[int] = []  # depths of open block elements
+        self._unclosed: set[int] = set()  # quotes behind which no tag ends
         self._read(html)
 
     def _node(self, tag: str, parent: int, tokens: frozenset[int], signs: tuple[float, float]) -> int:
@@ -136,45 +137,41 @@ class Page:
             self._flush()
             node = self._node(name, node, tokens, signs)
         if name not in VOID:
+            self._places[name].append(len(self._stack))
+            if name in BLOCKS:
+                self._blocks.append(len(self._stack))
             self._stack.append((name, node))
-            self._names[name] += 1
 
     def _close_to(self, depth: int) -> None:
         if self._stack[-1][1] != self._stack[depth - 1][1]:
             self._flush()
-        for name, _ in self._stack[depth:]:
-            self._names[name] -= 1
+        for name, _ in reversed(self._stack[depth:]):
+            self._places[name].pop()
+            if name in BLOCKS:
+                self._blocks.pop()
         del self._stack[depth:]
 
+    def _deepest(self, names: Iterable[str]) -> int:
+        """Depth of the innermost open element of some names, 0 if there is none."""
+        return max((self._places[n][-1] for n in names if self._places[n]), default=0)
+
     def _implied(self, name: str) -> None:
-        if name in CLOSES and any(self._names[x] for x in CLOSES[name]):
-            for depth in range(len(self._stack) - 1, 0, -1):
-                own = self._stack[depth][0]
-                if own in CLOSES[name]:
-                    self._close_to(depth)
-                    if name != "tr":
-                        break
-                elif own in SCOPES[name]:
-                    break
-        if name in CLOSE_P and self._names["p"]:
-            for depth in range(len(self._stack) - 1, 0, -1):
-                own = self._stack[depth][0]
-                if own == "p":
-                    self._close_to(depth)
-                    break
-                if own in BLOCKS:
+        if name in CLOSES:
+            while (depth := self._deepest(CLOSES[name])) and depth >= self._deepest(SCOPES[name]):
+                self._close_to(depth)
+                if name != "tr":
                     break
+        if name in CLOSE_P and self._places["p"]:
+            depth = self._places["p"][-1]
+            if depth >= self._blocks[-1] if self._blocks else True:
+                self._close_to(depth)
 
     def _end(self, name: str) -> None:
-        if not self._names[name]:
-            return
-        for depth in range(len(self._stack) - 1, 0, -1):
-            own = self._stack[depth][0]
-            if own == name:
+        """Closes the innermost element of that name, unless it is an inline one outside an open block. Depths are kept, so nothing is searched."""
+        if self._places[name]:
+            depth = self._places[name][-1]
+            if name in BLOCKS or name in SILENT or not self._blocks or self._blocks[-1] <= depth:
                 self._close_to(depth)
-                return
-            if own in BLOCKS and name not in BLOCKS and name not in SILENT:
-                return
 
     def _text(self, raw: str) -> None:
         node = self._stack[-1][1]
@@ -183,7 +180,7 @@ class Page:
         self._run_node = node
         text = html_module.unescape(raw) if "&" in raw else raw
         self._run.append(text)
-        if self._names["a"]:
+        if self._places["a"]:
             self._linked += len(text.strip())
 
     def _tag_end(self, html: str, at: int) -> int:
@@ -191,26 +188,24 @@ class Page:
         first = html.find(">", at)
         if first < 0:
             return -1
-        place = at
-        while self._budget > 0:
-            stop = _STOP.search(html, place)
-            if stop is None:
-                break
+        place, quotes = at, []
+        while (stop := _STOP.search(html, place)) is not None:
             if stop[0] == ">":
                 return stop.end()
+            # A quote that an earlier tag met in vain leads nowhere from here, either: each is followed once.
+            if stop.start() in self._unclosed:
+                break
+            quotes.append(stop.start())
             close = html.find(stop[0], stop.end())
             if close < 0:
                 break
             place = close + 1
-        else:
-            return first + 1
-        self._budget -= len(html) - at
+        self._unclosed.update(quotes)
         return first + 1
 
     def _read(self, html: str) -> None:
         at = text_from = 0
         size = len(html)
-        self._budget = PASSES * size
         while at < size:
             opened = _OPEN.search(html, at)
             if opened is None:
