@@ -213,6 +213,12 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--plan", required=True)
     p.add_argument("--output", required=True)
     p.add_argument("--watch", type=int)
+    p = commands.add_parser("live")
+    p.add_argument("--landing", required=True)
+    p.add_argument("--output", required=True)
+    p.add_argument("--bin-seconds", type=int, default=30)
+    p.add_argument("--lateness", default="10 minutes")
+    p.add_argument("--watch", type=int)
     p = commands.add_parser("audit")
     p.add_argument("--input", required=True)
     args = parser.parse_args(argv)
@@ -239,6 +245,9 @@ def main(argv: list[str] | None = None) -> int:
         else:
             print(json.dumps(capture.cycle(spark, plan, args.output)))
         return 0
+    if args.command == "live":
+        capture.start_live_bars(spark, args.landing, args.output, args.bin_seconds, args.lateness, args.watch).awaitTermination()
+        return 0
     if args.command == "demo":
         writers.write_table(readers.demo_fills(spark), f"{args.output}/trades.parquet", overwrite=True)
         return 0

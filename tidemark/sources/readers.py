@@ -101,8 +101,16 @@ def read_manifest(spark: SparkSession, folder: str) -> dict:
 
 
 def snapshots(spark: SparkSession, root: str) -> DataFrame:
-    """raw_path and content of the snapshots that captures have stored, one for each path; only those below the capture root can appear."""
-    return spark.read.parquet(f"{root}/raw").select("raw_path", "content").dropDuplicates(["raw_path"])
+    """raw_path and content of the snapshots that captures have stored, one for each path; only those below the capture root can appear. Files named by their hash, and Parquet tables of older logs."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(f"{root}/raw")
+    named = files.select(F.concat(F.lit("raw/"), F.element_at(F.split("path", "/"), -1)).alias("raw_path"), "content")
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{root}/raw")
+    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if any(listed.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/raw/{p}")) for p in ("*.parquet", "batch=*")):
+        table = spark.read.option("pathGlobFilter", "*.parquet").parquet(f"{root}/raw")
+        named = named.unionByName(table.select("raw_path", "content"))
+    return named.dropDuplicates(["raw_path"])
 
 
 def demo_fills(spark: SparkSession) -> DataFrame:

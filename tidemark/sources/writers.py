@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import uuid
 from collections.abc import Callable
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,15 +131,39 @@ def write_json(spark: SparkSession, path: str, value: dict) -> None:
     replaced(spark.createDataFrame([(json.dumps(value, sort_keys=True),)], "value string").coalesce(1), path, lambda rows, at: rows.write.text(at))
 
 
-def store_snapshots(df: DataFrame, path: str) -> None:
-    """Content-addressed: contents whose hash is already stored are left out, so a replay adds nothing. df: content."""
-    spark = df.sparkSession
-    from tidemark.sources.readers import exists
-
-    rows = df.where("content is not null").withColumn("raw_sha256", F.sha2("content", 256)).select("raw_sha256", "content").dropDuplicates(["raw_sha256"])
-    if exists(spark, path):
-        rows = rows.join(spark.read.parquet(path).select("raw_sha256"), "raw_sha256", "left_anti")
-    rows.write.mode("append").parquet(path)
+def _store(batches, folder: str):
+    """Writes each content to the file of its hash, or verifies the file that is there; one row for each content."""
+    from pyarrow import fs
+
+    files, root = fs.FileSystem.from_uri(folder)
+    files.create_dir(root, recursive=True)
+    for batch in batches:
+        paths = []
+        for value in batch.column(0):
+            content = value.as_buffer()
+            name = f"{hashlib.sha256(content).hexdigest()}.bin"
+            path = f"{root}/{name}"
+            if files.get_file_info(path).type == fs.FileType.NotFound:
+                # Written aside and renamed: a reader never sees half a file, and of two writers of one hash either may win, with the same bytes.
+                aside = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with files.open_output_stream(aside) as out:
+                    out.write(content)
+                files.move(aside, path)
+            with files.open_input_stream(path) as held:
+                digest = hashlib.sha256()
+                while part := held.read(1 << 20):
+                    digest.update(part)
+            if f"{digest.hexdigest()}.bin" != name:
+                raise ValueError(f"{path} does not hold what its name says")
+            paths.append(name)
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["name"])
+
+
+def store_snapshots(df: DataFrame, path: str) -> int:
+    """Content-addressed raw store: executors write each distinct content to `path/<sha256>.bin` once and verify what is there already, so a replay adds nothing and a changed file is an error. df: content; returns how many contents there were."""
+    if "://" not in path:
+        path = "file://" + os.path.abspath(path)
+    return df.where("content is not null").select(F.col("content").cast("binary").alias("content")).dropDuplicates().mapInArrow(partial(_store, folder=path), "name string").count()
 
 
 def report_json(df: DataFrame, limit: int = 100) -> str:

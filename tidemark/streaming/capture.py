@@ -7,17 +7,20 @@ import json
 import tempfile
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import UTC, datetime
 from urllib.request import HTTPRedirectHandler, Request, build_opener
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.functions.columns import schema_of
 from tidemark.functions.text import STATEMENT_URL, allowed, event_of, feed_links, statement_column
 from tidemark.operators.capture import SCHEMA_TAG, canonical_records, content_key
+from tidemark.sources.writers import store_snapshots
 
 #: A landed response: what a fetcher writes for each request.
 RESPONSES = schema_of("response_id string, run_id string, source_url string, plan_sha256 string, plan_recorded_at string, request_started_at string, received_at string, final_url string, status int, content binary, fetch_error string")
@@ -76,13 +79,13 @@ def land(spark: SparkSession, plan: dict, root: str, fetcher: Callable[[str], tu
     return {"run_id": run_id, "started_at": started, "plan_sha256": digest, "selected_statements": len(rows), "errors": errors}
 
 
-def processed(responses: DataFrame, ready_at: str) -> DataFrame:
+def processed(responses: DataFrame, ready_at: Column) -> DataFrame:
     """Responses parsed and keyed. A failed fetch or parse keeps its error; usable_at is the processing time, never earlier."""
     parsed = responses.withColumn("p", statement_column("content"))
     bad_url = F.when(~F.col("source_url").rlike(STATEMENT_URL), F.lit("ValueError: not a statement URL"))
     rows = parsed.withColumn("error", F.coalesce("fetch_error", bad_url, "p.error")).withColumns({
         "raw_sha256": F.sha2("content", 256), "verified_text": F.when(F.col("error").isNull(), F.col("p.text")), "source_release_claim": F.col("p.header"), "text_sha256": F.sha2("p.text", 256),
-        "features_ready_at": F.lit(ready_at), "usable_at": F.lit(ready_at), "information_event_id": event_of(F.col("source_url")), "discovery_mode": F.lit("source_schedule"), "schema": F.lit(SCHEMA_TAG),
+        "features_ready_at": ready_at, "usable_at": ready_at, "information_event_id": event_of(F.col("source_url")), "discovery_mode": F.lit("source_schedule"), "schema": F.lit(SCHEMA_TAG),
         "availability_basis": F.lit("collector_observation"), "historical_usable_at": F.lit(None).cast("string"), "extractor": F.lit("fomc-paragraphs-v3"), "raw_path": F.concat(F.lit("raw/"), F.sha2("content", 256), F.lit(".bin")),
     }).drop("p")
     return rows.withColumn("content_version_id", F.when(F.col("error").isNull(), content_key())).withColumn("document_id", F.col("content_version_id"))
@@ -98,49 +101,86 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def _log(spark: SparkSession, folder: str, before: int) -> DataFrame | None:
-    if not _exists(spark, folder):
-        return None
-    return spark.read.parquet(folder).where(F.col("batch") < before)
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Sets the state store that keyed state needs while a query starts."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(provider)
+        else:
+            spark.conf.set(provider, before)
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """Streaming: rows with status (new_content, known_content, failed) and canonical_usable_at.
+
+    The state of a content key is the time from which it was usable first; it never expires and later records never change it. So a batch costs what its own
+    responses cost, however long the log is. Failed responses are keyed by their own id and leave no state.
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    rows = rows.withColumnRenamed("status", "http_status").withColumn("state_key", F.coalesce("content_version_id", "response_id"))
+    schema = StructType([*rows.schema.fields, StructField("status", StringType()), StructField("canonical_usable_at", StringType())])
+
+    class Judge(StatefulProcessor):
+        def init(self, handle):
+            self.first = handle.getValueState("first", "usable_at string")
+
+        def handleInputRows(self, key, frames, timer_values):
+            import pandas as pd
+
+            frame = pd.concat(list(frames)).sort_values(["request_started_at", "response_id"])  # one content's responses of one batch
+            if frame["content_version_id"].iloc[0] is None:
+                yield frame.assign(status="failed", canonical_usable_at=None)
+                return
+            status = ["known_content"] * len(frame)
+            if not self.first.exists():
+                self.first.update((frame["usable_at"].iloc[0],))
+                status[0] = "new_content"
+            yield frame.assign(status=status, canonical_usable_at=self.first.get()[0])
+
+        def close(self):
+            pass
+
+    return rows.groupBy("state_key").transformWithStateInPandas(Judge(), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
 def capture_batch(root: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: appends new contents to information, every response to observations, raw bytes by hash to raw."""
+    """foreachBatch function for judged responses: appends new contents to information, every response to observations, raw bytes by hash to raw."""
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        stamp = f"{root}/stamps/batch={number}"
-        if not _exists(spark, stamp):  # processing time is fixed by the first attempt and reused on replay
-            spark.createDataFrame([(now(),)], "ready_at string").coalesce(1).write.mode("overwrite").parquet(stamp)
-        ready = spark.read.parquet(stamp).first()["ready_at"]
-        rows = processed(batch, ready)
-        _write_once(rows, f"{root}/parsed", number)
-        rows = spark.read.parquet(f"{root}/parsed/batch={number}")
-        old = _log(spark, f"{root}/information", number)
-        known = old.select(F.col("content_version_id").alias("_k"), F.col("usable_at").alias("_known_at")) if old is not None else spark.createDataFrame([], "_k string, _known_at string")
-        joined = rows.join(known, F.col("content_version_id") == F.col("_k"), "left")
-        fresh = joined.where("error is null and _k is null")
-        first = fresh.groupBy("content_version_id").agg(F.min(F.struct("request_started_at", "response_id")).alias("f")).select(F.col("f.response_id").alias("response_id"))
-        new = fresh.join(first, "response_id", "left_semi").drop("_k", "_known_at", "content", "error", "fetch_error")
+        _write_once(batch, f"{root}/parsed", number)  # the state is read once
+        rows = batch.sparkSession.read.parquet(f"{root}/parsed/batch={number}")
+        store_snapshots(rows.where("content is not null").select("content"), f"{root}/raw")  # before the records that name them
+        new = rows.where("status = 'new_content'").drop("status", "canonical_usable_at", "content", "error", "fetch_error", "state_key").withColumnRenamed("http_status", "status")
         _write_once(new, f"{root}/information", number)
-        state = F.when(F.col("error").isNotNull(), "failed").when(F.col("_k").isNotNull(), "known_content")
-        seen = joined.join(first.withColumn("_first", F.lit(True)), "response_id", "left").withColumn("status", F.coalesce(state, F.when(F.col("_first"), "new_content"), F.lit("known_content")))
-        observed = seen.select("response_id", "run_id", "source_url", "plan_sha256", "request_started_at", "received_at", "status", "error", "raw_sha256", "content_version_id", "document_id", F.coalesce("_known_at", F.when(F.col("error").isNull(), F.col("usable_at"))).alias("canonical_usable_at"))
-        _write_once(observed, f"{root}/observations", number)
-        _write_once(rows.where("content is not null").select("raw_path", "raw_sha256", "content").dropDuplicates(["raw_sha256"]), f"{root}/raw", number)
+        _write_once(rows.select("response_id", "run_id", "source_url", "plan_sha256", "request_started_at", "received_at", "status", "error", "raw_sha256", "content_version_id", "document_id", "canonical_usable_at"), f"{root}/observations", number)
 
     return run
 
 
 def start(spark: SparkSession, root: str, landing: str | None = None, interval_seconds: int | None = None) -> StreamingQuery:
-    """Streams landed responses. Without an interval it takes what is there and ends."""
+    """Streams landed responses. Without an interval it takes what is there and ends.
+
+    The processing time is the batch's own, which the checkpoint keeps, so a replayed batch repeats it.
+    """
     source = spark.readStream.schema(RESPONSES).parquet(landing or f"{root}/landing")
-    writer = source.writeStream.option("checkpointLocation", f"{root}/checkpoint").foreachBatch(capture_batch(root))
-    if interval_seconds is None:
-        return writer.trigger(availableNow=True).start()
-    if interval_seconds < 30:
-        raise ValueError("the interval is at least 30 seconds")
-    return writer.trigger(processingTime=f"{interval_seconds} seconds").start()
+    ready = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    with keyed_state(spark):
+        writer = judged(processed(source, ready)).writeStream.option("checkpointLocation", f"{root}/checkpoint").foreachBatch(capture_batch(root))
+        if interval_seconds is None:
+            return writer.trigger(availableNow=True).start()
+        if interval_seconds < 30:
+            raise ValueError("the interval is at least 30 seconds")
+        return writer.trigger(processingTime=f"{interval_seconds} seconds").start()
 
 
 def cycle(spark: SparkSession, plan: dict, root: str, fetcher: Callable[[str], tuple[bytes, dict]] = fetch) -> dict:
@@ -225,17 +265,9 @@ def collected(stream: DataFrame, name: str) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     folder = f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with keyed_state(spark):
         query = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(lambda df, n: _write_once(df, f"{folder}/rows", n)).start()
         query.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset(provider)
-        else:
-            spark.conf.set(provider, before)
     return spark.read.parquet(f"{folder}/rows").drop("batch")
 
 
@@ -249,6 +281,15 @@ def live_bars(fills: DataFrame, bin_seconds: int, lateness: str = "10 minutes")
     return grouped.select("market_id", F.col("w.end").alias("bin_end"), (F.col("weighted") / F.col("shares")).alias("price"), "shares", "recorded_notional_usd", "fill_count", "low", "high")
 
 
+def start_live_bars(spark: SparkSession, landing: str, output: str, bin_seconds: int, lateness: str = "10 minutes", interval_seconds: int | None = None, files_per_batch: int | None = None) -> StreamingQuery:
+    """Streams normalised fills that land as Parquet files (market_id, timestamp, price_outcome1, token_amount, usd_amount) into bars below output. Without an interval it takes what is there and ends."""
+    source = spark.readStream.schema("market_id string, timestamp timestamp, price_outcome1 double, token_amount double, usd_amount double")
+    if files_per_batch:
+        source = source.option("maxFilesPerTrigger", files_per_batch)
+    writer = live_bars(source.parquet(landing), bin_seconds, lateness).writeStream.format("parquet").option("path", f"{output}/bars").option("checkpointLocation", f"{output}/checkpoint").outputMode("append")
+    return (writer.trigger(availableNow=True) if interval_seconds is None else writer.trigger(processingTime=f"{interval_seconds} seconds")).start()
+
+
 #: Invalid records that an audit report names; their count is whole.
 AUDIT_SAMPLE = 100
 
