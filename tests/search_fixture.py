@@ -29,3 +29,13 @@ def answer(payload: dict) -> str:
     if "body" in payload:
         return json.dumps({"results": items})
     return "<rss><channel>" + "".join(f"<item><title>{x['title']}</title><link>{x['url']}</link></item>" for x in items) + "</channel></rss>"
+
+
+def page(url: str) -> tuple[bytes, dict]:
+    """The statement page of that name in the folder; each request is noted."""
+    with open(POINTER) as f:
+        folder = f.read()
+    with open(f"{folder}/{uuid.uuid4().hex}.call", "w") as f:
+        f.write(url)
+    with open(f"{folder}/{url[-13:-5]}.htm", "rb") as f:
+        return f.read(), {"status": 200, "final_url": url}

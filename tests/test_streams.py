@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.plans import pipelines
 from tidemark.sources import readers, writers
-from tidemark.streaming import capture
+from tidemark.streaming import capture, polling
+from tests.search_fixture import POINTER
 from tests.test_news_capture import NAMED, PLAN, TALLIED
 
 START = datetime.datetime(2025, 1, 1, tzinfo=datetime.UTC)
@@ -39,6 +40,36 @@ def test_later_batches_know_earlier_contents_without_the_log(spark, tmp_path):
     assert {r.document_id for r in spark.read.parquet(f"{root}/information").collect()} == {r.document_id for r in second if r.status == "new_content"}
 
 
+def test_polling_is_exactly_once_over_a_restart(spark, tmp_path):
+    with open(POINTER, "w") as f:
+        f.write(str(tmp_path))
+    (tmp_path / "20250101.htm").write_text(NAMED)
+    (tmp_path / "20250102.htm").write_text(TALLIED)
+    root, asked = f"file://{tmp_path}/cap", lambda: len(list(tmp_path.glob("*.call")))
+
+    def failing(batch, number):
+        batch.write.format("noop").mode("overwrite").save()
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        polling.start_polling(spark, PLAN, root, "tests.search_fixture:page", batch=failing).awaitTermination()
+    assert asked() == 2
+    (tmp_path / "20250102.htm").write_text("<p>changed since")
+    polling.start_polling(spark, PLAN, root, "tests.search_fixture:page").awaitTermination()
+    rows = spark.read.parquet(f"{root}/observations").collect()
+    cycles = {r.run_id for r in rows}
+    first = [r for r in rows if r.run_id == min(cycles)]
+    assert asked() == 2 * len(cycles)  # the repeated cycle asked nobody again
+    assert len(first) == 2 and {r.status for r in first} == {"new_content"}
+    polling.start_polling(spark, PLAN, root, "tests.search_fixture:page").awaitTermination()
+    rows = spark.read.parquet(f"{root}/observations").collect()
+    assert len({r.response_id for r in rows}) == len(rows) == asked()
+    known = [r for r in rows if r.source_url.endswith("20250101a.htm")]
+    assert sorted(r.status for r in known) == ["known_content"] * (len(known) - 1) + ["new_content"] and len({r.canonical_usable_at for r in known}) == 1
+    assert {r.status for r in rows if r.run_id == max(cycles) and r.source_url.endswith("20250102a.htm")} <= {"failed", "new_content"}
+    assert capture.audit(spark, root)["records"] == 2
+
+
 def test_raw_store_with_concurrent_writers(spark, tmp_path):
     contents = [f"content {k}".encode() * 1000 for k in range(20)]
     rows = spark.createDataFrame([(bytearray(c),) for c in contents] * 3 + [(None,)], "content binary")

@@ -213,6 +213,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--plan", required=True)
     p.add_argument("--output", required=True)
     p.add_argument("--watch", type=int)
+    p.add_argument("--stream", type=int, help="poll as a stream, every so many seconds")
     p = commands.add_parser("live")
     p.add_argument("--landing", required=True)
     p.add_argument("--output", required=True)
@@ -223,7 +224,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--input", required=True)
     args = parser.parse_args(argv)
     from tidemark.session import SETTINGS
-    from tidemark.streaming import capture
+    from tidemark.streaming import capture, polling
 
     builder = SparkSession.builder.appName("tidemark")
     for key, value in SETTINGS.items():
@@ -240,7 +241,9 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "primary":
         with open(args.plan, encoding="utf-8") as f:
             plan = json.load(f)
-        if args.watch:
+        if args.stream:
+            polling.start_polling(spark, plan, args.output, interval_seconds=args.stream).awaitTermination()
+        elif args.watch:
             capture.watch(spark, plan, args.output, args.watch)
         else:
             print(json.dumps(capture.cycle(spark, plan, args.output)))

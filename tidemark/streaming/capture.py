@@ -25,6 +25,7 @@ from tidemark.sources.writers import store_snapshots
 #: A landed response: what a fetcher writes for each request.
 RESPONSES = schema_of("response_id string, run_id string, source_url string, plan_sha256 string, plan_recorded_at string, request_started_at string, received_at string, final_url string, status int, content binary, fetch_error string")
 MAX_BYTES = 3_000_000
+ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 class _OnlyAllowed(HTTPRedirectHandler):
@@ -49,6 +50,11 @@ def plan_hash(plan: dict) -> str:
     return hashlib.sha256(json.dumps(plan, sort_keys=True).encode()).hexdigest()
 
 
+def record_plan(spark: SparkSession, plan: dict, root: str, at: str) -> None:
+    record = spark.createDataFrame([(plan_hash(plan), at, json.dumps(plan, sort_keys=True), plan["selection_basis"])], "plan_sha256 string, recorded_at string, plan string, selection_basis string")
+    record.coalesce(1).write.mode("append").parquet(f"{root}/plans")
+
+
 def land(spark: SparkSession, plan: dict, root: str, fetcher: Callable[[str], tuple[bytes, dict]] = fetch) -> dict:
     """One polling cycle on the driver: record the plan, read the feed, fetch each statement, land responses as one Parquet file.
 
@@ -58,8 +64,7 @@ def land(spark: SparkSession, plan: dict, root: str, fetcher: Callable[[str], tu
         raise ValueError("a plan must not depend on prices")
     started, digest, run_id, errors = now(), plan_hash(plan), uuid.uuid4().hex, []
     urls = {allowed(u) for u in plan.get("release_urls", [])}
-    record = spark.createDataFrame([(digest, started, json.dumps(plan, sort_keys=True), plan["selection_basis"])], "plan_sha256 string, recorded_at string, plan string, selection_basis string")
-    record.coalesce(1).write.mode("append").parquet(f"{root}/plans")
+    record_plan(spark, plan, root, started)
     if plan.get("feed_url"):
         try:
             urls |= set(feed_links(fetcher(allowed(plan["feed_url"]))[0]))
@@ -173,7 +178,7 @@ def start(spark: SparkSession, root: str, landing: str | None = None, interval_s
     The processing time is the batch's own, which the checkpoint keeps, so a replayed batch repeats it.
     """
     source = spark.readStream.schema(RESPONSES).parquet(landing or f"{root}/landing")
-    ready = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    ready = F.date_format(F.current_timestamp(), ISO_FORMAT)
     with keyed_state(spark):
         writer = judged(processed(source, ready)).writeStream.option("checkpointLocation", f"{root}/checkpoint").foreachBatch(capture_batch(root))
         if interval_seconds is None:
