@@ -20,11 +20,13 @@ scored alike; a null doc_id is in fold 0 and trains; other columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -397,6 +399,16 @@ def unpacked(flat: np.ndarray, like: dict) -> dict[str, np.ndarray]:
     return out
 
 
+def one_thread() -> None:
+    """Keeps numpy's products of small matrices in the task's own thread: further threads of its library double the processor time and save none. Where the library is another one, nothing changes."""
+    for path in (Path(np.__file__).parents[1] / "numpy.libs").glob("*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 _PARTS = "slice int, many int, tokens long, parameters binary"
 _PART_SCHEMA = pa.schema([("slice", pa.int32()), ("many", pa.int32()), ("tokens", pa.int64()), ("parameters", pa.binary())])
 
@@ -405,6 +417,7 @@ def _train(batches, shared, n_slices: int):
     """One model of all texts of a task, in slices; `many` groups tasks."""
     from pyspark import TaskContext
 
+    one_thread()
     v, start, squares = shared.value
     p, sums = ({k: x.copy() for k, x in y.items()} for y in (start, squares))
     seen = 0
@@ -450,6 +463,7 @@ SCORED_DDL = "uid long, doc_id long, held_out boolean, n_tokens long, n_head lon
 def _score(batches, shared):
     from pyspark import TaskContext
 
+    one_thread()
     v, p = shared.value
     base = np.r_[v.base, 0.0]
     uid = TaskContext.get().partitionId() << 40
