@@ -77,6 +77,8 @@ def test_collect_command(spark, folder, capsys):
     assert first["statuses"]["ok"] == 3 and sum(first["statuses"].values()) == total and first["documents"] == 2
     again = pipelines.collect(spark, config, fetcher=FETCHER, delay=0.0)
     assert len(calls(folder)) == 3 + again["statuses"].get("ok", 0) and again["documents"] == 2
+    log = spark.read.json(f"{folder}/out/collection/log")  # appended to by each run
+    assert log.count() == 2 * total and log.select("collected_at").distinct().count() == 2
     assert spark.read.parquet(f"{folder}/out/collection/documents").where("array_contains(market_ids, 'demo-a') and size(retrieval_request_ids) >= 3").count() == 2
 
 

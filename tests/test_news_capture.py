@@ -184,6 +184,13 @@ def test_violations_name_the_broken_rules(spark):
     assert set(found) == {"schema", "clock order", "source", "plan", "snapshot", "header", "event"}
 
 
+def test_cutoffs_need_an_offset(spark):
+    rows = spark.createDataFrame([("a", "2025-01-01T00:00:00Z", []), ("b", "2025-01-01T02:00:00+01:00", []), ("c", "2024-01-01T00:00:00Z", ["plan"])], "document_id string, usable_at string, errors array<string>")
+    assert [r.document_id for r in capture.eligible_before(rows, "2025-01-01T02:30:00+02:00").collect()] == ["a"]
+    with pytest.raises(Exception, match="offset"):
+        capture.eligible_before(rows, "2025-01-01T02:30:00").collect()
+
+
 def test_demo_run_end_to_end(spark, tmp_path):
     from tidemark.plans import pipelines
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import aware_time, micros
+from tidemark.functions.columns import aware_time, micros, stamp
 from tidemark.functions.text import STATEMENT_URL, event_of, is_allowed, statement_column
 
 #: Version tag of stored records; `violations` takes another for logs written by other collectors.
@@ -63,8 +63,8 @@ def violations(rows: DataFrame, plans: DataFrame, snapshots: DataFrame, schema_t
 
 
 def eligible_before(checked: DataFrame, cutoff: str) -> DataFrame:
-    """Valid records usable strictly before a cut-off."""
-    return checked.where(F.size("errors") == 0).where(micros(aware_time(F.col("usable_at"))) < micros(aware_time(F.lit(cutoff)))).drop("errors")
+    """Valid records usable strictly before a cut-off, which needs an offset."""
+    return checked.where(F.size("errors") == 0).where(micros(aware_time(F.col("usable_at"))) < micros(stamp(F.lit(cutoff)))).drop("errors")
 
 
 def event_audit(rows: DataFrame) -> DataFrame:

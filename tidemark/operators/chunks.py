@@ -31,16 +31,41 @@ def chunk_window(keys: Sequence[str], us: str):
     return Window.partitionBy(*keys, CHUNK).orderBy(us)
 
 
-def asof_before(probe: DataFrame, state: DataFrame, key: str, us: str, payload: Sequence[str], chunk: int) -> DataFrame:
+#: A busy chunk is cut into so many parts of about equal size.
+PARTS = 64
+
+
+def even_cuts(rows: DataFrame, key: str, us: str, chunk: int, most: int = 1_000_000) -> DataFrame:
+    """(_ck, _cb, _cuts): for each chunk of a key with more than `most` rows the times at which it is cut into PARTS of about equal size, by approximate quantiles.
+
+    Only key and time are read, and counts and quantile sketches are combined before the shuffle. The result has a row for each busy chunk.
+    """
+    base = F.floor(F.col(us) / F.lit(chunk))
+    quantiles = F.percentile_approx(us, [k / PARTS for k in range(1, PARTS)], 10 * PARTS)
+    busy = rows.groupBy(F.col(key).alias("_ck"), base.alias("_cb")).agg(F.count(F.lit(1)).alias("_n"), quantiles.alias("_cuts")).where(F.col("_n") > most)
+    return busy.select("_ck", "_cb", F.array_distinct("_cuts").alias("_cuts"))
+
+
+def placed(df: DataFrame, key: str, us: str, chunk: int, cuts: DataFrame | None = None) -> DataFrame:
+    """df with _chunk, the time at which its part of the time line begins: a fixed chunk, or a part of a busy one. Rows of one time stay together."""
+    start = F.floor(F.col(us) / F.lit(chunk)) * F.lit(chunk)
+    if cuts is None:
+        return df.withColumn(CHUNK, start)
+    found = df.join(cuts, F.col(key).eqNullSafe(F.col("_ck")) & (F.floor(F.col(us) / F.lit(chunk)) == F.col("_cb")), "left")
+    part = F.array_max(F.filter("_cuts", lambda c: c <= F.col(us)))
+    return found.withColumn(CHUNK, F.greatest(start, F.coalesce(part, start))).drop("_ck", "_cb", "_cuts")
+
+
+def asof_before(probe: DataFrame, state: DataFrame, key: str, us: str, payload: Sequence[str], chunk: int, cuts: DataFrame | None = None) -> DataFrame:
     """probe with the payload of the last state row of the same key at a strictly earlier time (null where there is none).
 
-    Within a chunk: union and last(); before it: the last state row of each earlier chunk, one row for each chunk.
+    Within a chunk: union and last(); before it: the last state row of each earlier chunk, one row for each chunk. cuts: of busy chunks (`even_cuts` of probe and state).
     """
     item = F.struct(*[F.col(c) for c in (us, *payload)])
-    place = F.floor(F.col(us) / F.lit(chunk))
-    p = probe.select(F.col(key).alias("_k"), F.col(us).alias("_t"), place.alias(CHUNK), F.lit(0).alias("_kind"), F.struct(*probe.columns).alias("_p"))
-    s = state.select(F.col(key).alias("_k"), F.col(us).alias("_t"), place.alias(CHUNK), F.lit(1).alias("_kind"), item.alias("_s"))
+    p = probe.select(F.col(key).alias("_k"), F.col(us).alias("_t"), F.lit(0).alias("_kind"), F.struct(*probe.columns).alias("_p"))
+    s = state.select(F.col(key).alias("_k"), F.col(us).alias("_t"), F.lit(1).alias("_kind"), item.alias("_s"))
     both = p.withColumn("_s", F.lit(None).cast(s.schema["_s"].dataType)).unionByName(s.withColumn("_p", F.lit(None).cast(p.schema["_p"].dataType)))
+    both = placed(both, "_k", "_t", chunk, cuts)
     w = Window.partitionBy("_k", CHUNK).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = both.withColumn("_near", F.last("_s", ignorenulls=True).over(w)).where("_kind = 0")
     ends = both.groupBy("_k", CHUNK).agg(F.max("_s").alias("_end"))
@@ -50,9 +75,9 @@ def asof_before(probe: DataFrame, state: DataFrame, key: str, us: str, payload:
     return found.select("_p.*", F.coalesce("_near", "_carried").alias("_state")).select(*probe.columns, *[F.col(f"_state.{c}").alias(f"state_{c}") for c in (us, *payload)])
 
 
-def earlier_totals(df: DataFrame, key: str, us: str, amount: str, chunk: int) -> DataFrame:
-    """df with prior_count and prior_amount over rows of the same key at strictly earlier times."""
-    cut = df.withColumn(CHUNK, F.floor(F.col(us) / F.lit(chunk)))
+def earlier_totals(df: DataFrame, key: str, us: str, amount: str, chunk: int, cuts: DataFrame | None = None) -> DataFrame:
+    """df with prior_count and prior_amount over rows of the same key at strictly earlier times. cuts: of busy chunks (`even_cuts` of df)."""
+    cut = placed(df, key, us, chunk, cuts)
     strict = Window.partitionBy(key, CHUNK).orderBy(us).rangeBetween(Window.unboundedPreceding, -1)
     inside = cut.withColumn("_n", F.count(F.lit(1)).over(strict)).withColumn("_a", F.coalesce(F.sum(amount).over(strict), F.lit(0.0)))
     sums = cut.groupBy(key, CHUNK).agg(F.count(F.lit(1)).alias("_cn"), F.sum(amount).alias("_ca"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.config import ContextConfig, Market
 from tidemark.functions.columns import aware_time, iso, micros, relevant_pairs, require_columns, short_hash
 from tidemark.functions.text import canonical_url
-from tidemark.operators.chunks import asof_before, earlier_totals
+from tidemark.operators.chunks import asof_before, earlier_totals, even_cuts
 from tidemark.operators.fills import participant_fills
 
 HOUR = 3_600_000_000
@@ -55,13 +55,13 @@ def bundles(fills: DataFrame, check: bool = True) -> DataFrame:
     })
 
 
-def market_state(decisions: DataFrame, bars: DataFrame, cfg: ContextConfig, chunk: int = HOUR) -> DataFrame:
+def market_state(decisions: DataFrame, bars: DataFrame, cfg: ContextConfig, chunk: int = HOUR, cuts: DataFrame | None = None) -> DataFrame:
     """decisions with the last observed bar that ended strictly before; values only where it is at most max_price_age_minutes old.
 
-    A busy market is dealt out by the hour; each hour costs one carried row.
+    A busy market is dealt out by the hour, and a busy hour by `cuts`; each part costs one carried row.
     """
     known = [c for c in ("price", "displacement_pp", "rv_pp", "record_count") if c in bars.columns]
-    found = asof_before(decisions, bars.where("observed").select("market_id", F.col("bin_us").alias("us"), *known), "market_id", "us", known, chunk)
+    found = asof_before(decisions, bars.where("observed").select("market_id", F.col("bin_us").alias("us"), *known), "market_id", "us", known, chunk, cuts)
     age = (F.col("us") - F.col("state_us")) / 1e6
     fresh = F.coalesce(age <= cfg.max_price_age_minutes * 60, F.lit(False))
     names = {"price": "price_outcome1", "displacement_pp": "displacement_pp", "rv_pp": "rv_pp", "record_count": "prior_bar_record_count"}
@@ -69,9 +69,9 @@ def market_state(decisions: DataFrame, bars: DataFrame, cfg: ContextConfig, chun
     return found.withColumn("market_state", state).drop("state_us", *[f"state_{c}" for c in known])
 
 
-def actor_history(decisions: DataFrame, chunk: int = 24 * HOUR) -> DataFrame:
+def actor_history(decisions: DataFrame, chunk: int = 24 * HOUR, cuts: DataFrame | None = None) -> DataFrame:
     """decisions with what the same taker did at strictly earlier times, in all markets."""
-    return earlier_totals(decisions, "taker", "us", "recorded_notional_usd", chunk).withColumnsRenamed({"prior_count": "observed_prior_bundles", "prior_amount": "recorded_prior_notional_usd"})
+    return earlier_totals(decisions, "taker", "us", "recorded_notional_usd", chunk, cuts).withColumnsRenamed({"prior_count": "observed_prior_bundles", "prior_amount": "recorded_prior_notional_usd"})
 
 
 def verified_time(docs: DataFrame):
@@ -187,7 +187,8 @@ def eligible_news(items: DataFrame, market_id: str, cutoff_us: int, cfg: Context
 def context_rows(decisions: DataFrame, bars: DataFrame, docs: DataFrame, markets: Sequence[Market], cfg: ContextConfig) -> DataFrame:
     """One nested record for each decision (D, C) with research candidates beside it."""
     known = F.create_map(*[x for m in markets for x in (F.lit(m.market_id), F.struct(F.lit(m.question).alias("question"), F.lit(m.outcome1_label).alias("outcome1_label")))])
-    rows = actor_history(market_state(decisions, bars, cfg))
+    busy = even_cuts(decisions, "market_id", "us", HOUR), even_cuts(decisions, "taker", "us", 24 * HOUR)
+    rows = actor_history(market_state(decisions, bars, cfg, HOUR, busy[0]), 24 * HOUR, busy[1])
     rows = news_before(rows, news_items(docs, markets, True), cfg, "news")
     rows = news_before(rows, news_items(docs, markets, False), cfg, "research_candidates")
     at = iso(F.col("timestamp"))

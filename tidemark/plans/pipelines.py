@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import RunConfig
+from tidemark.functions.columns import iso
 from tidemark.operators import decisions, dense, fills, news, sparse
 from tidemark.sources import readers, search, writers
 
@@ -134,6 +135,7 @@ def collect(spark: SparkSession, config: RunConfig, provider: str = "google_rss"
     root = config.output_dir
     found, statuses = search.collect(spark, collection_jobs(spark, config), f"{root}/collection/{provider}", provider, fetcher, config.news.max_requests, delay, **options)
     writers.replace_table(statuses, f"{root}/collection/statuses")
+    writers.append_jsonl(spark.read.parquet(f"{root}/collection/statuses").withColumn("collected_at", iso(F.current_timestamp())), f"{root}/collection/log")
     documents = f"{root}/collection/documents"
     if readers.exists(spark, documents):
         found = news.upsert(spark.read.parquet(documents), found, sets=("discovery_modes", "market_ids", "retrieval_request_ids"))

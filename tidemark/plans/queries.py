@@ -540,14 +540,14 @@ def q_html_paragraphs(spark, sf_dir):
     return found.select("page_id", F.size("p").cast("long").alias("n_paragraphs"), F.sha2(F.concat_ws("\n", "p"), 256).alias("text_sha256"))
 
 
-@query("select source || '|' || lang as key, doc_id, (doc_id * 7919) % 100003 as arrival from documents where source is not null and lang is not null qualify row_number() over (partition by source, lang order by (doc_id * 7919) % 100003, doc_id) = 1")
+@query("select coalesce(source, '<none>') || '|' || coalesce(lang, '<none>') as key, doc_id, (doc_id * 7919) % 100003 as arrival from documents qualify row_number() over (partition by source, lang order by (doc_id * 7919) % 100003, doc_id) = 1")
 def q_stream_canonical(spark, sf_dir):
     """First arrival of each source and language through keyed streaming state; its SQL is the batch form."""
     from tidemark.streaming.capture import collected, first_versions
 
     schema = fx.read(spark, sf_dir, "documents").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*")
-    rows = stream.select(F.concat("source", F.lit("|"), "lang").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.col("doc_id") * 7919, F.lit(100003)).alias("arrival")).where("key is not null")
+    rows = stream.select(F.concat_ws("|", *[F.coalesce(c, F.lit("<none>")) for c in ("source", "lang")]).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.col("doc_id") * 7919, F.lit(100003)).alias("arrival"))
     return collected(first_versions(rows, "key", ("arrival", "doc_id")), "stream_canonical")
 
 
