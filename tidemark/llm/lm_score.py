@@ -164,7 +164,7 @@ def fresh(vocabulary: Vocabulary, hidden: int, seed: int = 7) -> dict[str, np.nd
     }
 
 
-def run_window(p: dict, inputs: np.ndarray, begins: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, list]:
+def run_window(p: dict, inputs: np.ndarray, begins: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, tuple]:
     """The state before the window and after each step (steps + 1, lanes, hidden), and what backpropagation needs. inputs and begins: (steps, lanes).
 
     A step reads the word before the one that it predicts. Where a document begins, the state before its first step is zero.
@@ -172,25 +172,27 @@ def run_window(p: dict, inputs: np.ndarray, begins: np.ndarray, state: np.ndarra
     steps, lanes = inputs.shape
     h = state.shape[1]
     gates = p["x"][inputs] + p["b"]
-    states, kept = np.empty((steps + 1, lanes, h), state.dtype), []
+    states, befores = np.empty((steps + 1, lanes, h), state.dtype), np.empty((steps, lanes, h), state.dtype)
+    zrs, ns = np.empty((steps, lanes, 2 * h), gates.dtype), np.empty((steps, lanes, h), gates.dtype)
+    fresh_at = begins.any(axis=1)
     states[0] = state
     for t in range(steps):
-        if begins[t].any():
+        if fresh_at[t]:
             state = np.where(begins[t][:, None], 0, state)
-        g = gates[t]
-        zr = state @ p["hzr"]
+        befores[t] = state
+        g, zr, n = gates[t], zrs[t], ns[t]
+        np.matmul(state, p["hzr"], out=zr)
         zr += g[:, : 2 * h]
         zr *= 0.5
         np.tanh(zr, out=zr)
         zr *= 0.5
         zr += 0.5
         z, r = zr[:, :h], zr[:, h:]
-        n = (state * r) @ p["hn"]
+        np.matmul(state * r, p["hn"], out=n)
         n += g[:, 2 * h :]
         np.tanh(n, out=n)
-        kept.append((state, zr, n))
         state = states[t + 1] = n + z * (state - n)
-    return states, kept
+    return states, (befores, zrs, ns)
 
 
 def _exp(logits: np.ndarray, small: bool) -> np.ndarray:
@@ -235,27 +237,30 @@ def log_probs(p: dict, v: Vocabulary, states: np.ndarray, ids: np.ndarray, grads
     order = order[np.argsort(ids[order], kind="stable")]  # words of one class are neighbours
     if len(order):
         small = _bounded(p["w"], p["wb"], 1)
-        own, sorted_states, local = classes[order], states[order], ids[order]
-        extra = np.empty(len(order))
+        own, sorted_states = classes[order], states[order]
+        local = ids[order] - own * v.width
+        picked, norms = np.empty(len(order), states.dtype), np.empty(len(order), states.dtype)
         returned = None if grads is None else np.empty_like(sorted_states)
-        edges = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1, len(order)].tolist()
+        edges = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1, len(order)]
+        every, ones = np.arange(int(np.diff(edges).max())), np.ones(max(v.width, len(order)), states.dtype)
+        edges = edges.tolist()
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             first = int(own[a]) * v.width
             last = min(first + v.width, v.modelled)
-            w, part, at = p["w"][first:last], sorted_states[a:b], local[a:b] - first
+            w, part, at, rows = p["w"][first:last], sorted_states[a:b], local[a:b], every[: b - a]
             logits = part @ w.T
             logits += p["wb"][first:last]
             e = _exp(logits, small)
-            s = e @ np.ones(e.shape[1], e.dtype)
-            rows = np.arange(b - a)
-            extra[a:b] = logits[rows, at] - np.log(s)
+            picked[a:b] = logits[rows, at]
+            s = norms[a:b]
+            np.matmul(e, ones[: last - first], out=s)
             if grads is not None:
                 e /= s[:, None]
                 e[rows, at] -= 1
                 grads["w"][first:last] += e.T @ part
-                grads["wb"][first:last] += np.ones(len(e), e.dtype) @ e
+                grads["wb"][first:last] += ones[: b - a] @ e
                 np.matmul(e, w, out=returned[a:b])
-        out[order] += extra
+        out[order] += picked - np.log(norms)
         if grads is not None:
             back[order] += returned
     return out, back
@@ -329,24 +334,27 @@ def gradients(p: dict, v: Vocabulary, inputs: np.ndarray, begins: np.ndarray, id
     carried = np.zeros((live, h), states.dtype)
     into = np.empty((steps, live, 3 * h), states.dtype)
     hn, hzr = np.ascontiguousarray(p["hn"].T), np.ascontiguousarray(p["hzr"].T)
+    befores, zrs, ns = kept
+    zs, rs = zrs[:, :, :h], zrs[:, :, h:]
+    slopes, moves, gains = zrs * (1 - zrs), befores - ns, (1 - zs) * (1 - ns * ns)
+    fresh_at = begins.any(axis=1)
     for t in range(steps - 1, -1, -1):
-        (before, zr, n), g = kept[t], into[t]
+        g = into[t]
         carried += above[t]
-        z, r = zr[:, :h], zr[:, h:]
-        slope = zr * (1 - zr)
-        dn = carried * (1 - z)
-        dn *= 1 - n * n
+        dn = carried * gains[t]
         drn = dn @ hn
-        g[:, :h] = carried * (before - n)
-        g[:, h : 2 * h] = drn * before
-        g[:, : 2 * h] *= slope
+        np.multiply(carried, moves[t], out=g[:, :h])
+        np.multiply(drn, befores[t], out=g[:, h : 2 * h])
+        g[:, : 2 * h] *= slopes[t]
         g[:, 2 * h :] = dn
-        carried = carried * z + drn * r + g[:, : 2 * h] @ hzr
-        if begins[t].any():
+        carried *= zs[t]
+        drn *= rs[t]
+        carried += drn
+        carried += g[:, : 2 * h] @ hzr
+        if fresh_at[t]:
             carried = np.where(begins[t][:, None], 0, carried)
-    read, flat = np.concatenate([before for before, _, _ in kept]), into.reshape(-1, 3 * h)
-    reset = np.concatenate([zr[:, h:] for _, zr, _ in kept])
-    grads["hn"] += (read * reset).T @ flat[:, 2 * h :]
+    read, flat = befores.reshape(-1, h), into.reshape(-1, 3 * h)
+    grads["hn"] += (befores * rs).reshape(-1, h).T @ flat[:, 2 * h :]
     grads["hzr"] += read.T @ flat[:, : 2 * h]
     grads["b"] += flat.sum(axis=0)
     return grads, into, states[-1]
@@ -378,7 +386,9 @@ def train_documents(p: dict, sums: dict, v: Vocabulary, documents: list[np.ndarr
             sums[k] += g * g
             p[k] -= rate * g / (np.sqrt(sums[k]) + 1e-6)
         order = np.argsort(inputs, axis=None, kind="stable")
-        rows, first = np.unique(inputs.reshape(-1)[order], return_index=True)
+        ordered = inputs.reshape(-1)[order]
+        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        rows = ordered[first]
         g = np.add.reduceat(into.reshape(-1, 3 * h)[order], first, axis=0) * norm
         sums["x"][rows] += g * g
         p["x"][rows] -= rate * g / (np.sqrt(sums["x"][rows]) + 1e-6)
