@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import ContextConfig, DenseConfig, Market, NewsConfig, SparseConfig
+from tidemark.session import ship
 
 DENSE = DenseConfig(bin_minutes=60, horizon_minutes=180, baseline_hours=120, min_baseline_bins=24, z_threshold=1.5, merge_minutes=120)
 SPARSE = SparseConfig(
@@ -23,6 +24,7 @@ MARKETS = (
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

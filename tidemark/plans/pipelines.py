@@ -225,13 +225,14 @@ def main(argv: list[str] | None = None) -> int:
     p = commands.add_parser("audit")
     p.add_argument("--input", required=True)
     args = parser.parse_args(argv)
-    from tidemark.session import SETTINGS
+    from tidemark.session import SETTINGS, ship
     from tidemark.streaming import capture, polling
 
     builder = SparkSession.builder.appName("tidemark")
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
+    ship(spark)
     if args.command == "audit":
         try:
             report = capture.audit(spark, args.input)

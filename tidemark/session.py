@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 #: Settings every pipeline assumes. ANSI mode stays at its default (on); code is safe under it.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -28,3 +35,18 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once for each application, unless they find it on their path."""
+    context = spark.sparkContext
+    home = Path(__file__).resolve().parents[1]
+    on_path = any(Path(p or ".").resolve() == home for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)])
+    if on_path or context.applicationId in _SHIPPED:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted((home / "tidemark").rglob("*.py")):
+            out.write(file, file.relative_to(home))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
