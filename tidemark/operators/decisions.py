@@ -155,6 +155,7 @@ def news_events(decisions: DataFrame, items: DataFrame, cfg: ContextConfig) -> D
     chunk = -(-cfg.news_lookback_hours * HOUR // CHUNKS_A_LOOKBACK)
     place = lambda name: F.floor(F.col(name) / F.lit(chunk)).alias("chunk")
     known = items.select("market_id", place("available_us"), "available_us", *[F.col(c).cast("string").alias(c) for c in ("document_id", "url", "text")])
+    known = known.repartition("market_id", "chunk")  # one exchange serves the items and what is carried, so documents are judged once
     carried = newest_by_url(known, ["market_id", "chunk"], cfg.max_news_items).withColumn("chunk", F.explode(F.sequence(F.col("chunk") + 1, F.col("chunk") + CHUNKS_A_LOOKBACK)))
     nothing = [F.lit(None).cast("string").alias(c) for c in ("document_id", "url", "text")]
     cuts = decisions.select("market_id", "us").distinct().select("market_id", place("us"), "us", F.lit(CUT).alias("kind"), *nothing)
