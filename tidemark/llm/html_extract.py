@@ -4,7 +4,8 @@ A page becomes a tree of block elements, inline elements whose attributes speak
 links in its subtree, tokens of its class, id and role, its depth, its siblings, and what its ancestors are. Tokens are hashed, and each bucket's weight (the
 log-odds that an element with such a token holds main text) is learned from the training pages; a token never seen weighs nothing. Boosted regression
 trees (logistic loss, histogram splits, numpy) give the log-odds that a node holds main text. The trees are trained here, on the driver, once for each
-process, from generated pages with known main text (a fixed number, whatever the input). Hierarchical decoding takes the labelling of the
+process, from generated pages with known main text (a fixed number, whatever the input). On part of them class and id say nothing and element names little, so
+that the trees learn to decide by structure as well. Hierarchical decoding takes the labelling of the
 whole tree with the greatest likelihood under the rule that a node can hold main text only if its parent does, so no text survives inside a rejected
 ancestor and no ancestor of kept text is rejected.
 
@@ -49,7 +50,7 @@ _STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _TOKEN = re.compile(r"[a-z]+")
-N_FEATURES = len(ROLES) + 19
+N_FEATURES = len(ROLES) + 25
 N_BUCKETS = 1 << 14
 HIDDEN = "#hidden"
 #: Below this weight an inline element is a node of its own.
@@ -312,8 +313,8 @@ def features(pages: list[Page]) -> np.ndarray:
     children = np.fromiter((x for p in pages for x in p.children), float, n)
     signs = np.array([x for p in pages for x in p.signs], float)
     code, role, against, pro, is_p, silent = np.array([_kind(t) for p in pages for t in p.tag]).T
-    sums = np.zeros((n, 7))  # characters, in links, punctuation, words, nodes, paragraphs, controls
-    sums[:, 4], sums[:, 5], sums[:, 6] = ~root, is_p, silent
+    sums = np.zeros((n, 8))  # characters, in links, punctuation, words, nodes, paragraphs, controls, headings
+    sums[:, 4], sums[:, 5], sums[:, 6], sums[:, 7] = ~root, is_p, silent, role == ROLES.index("heading")
     at, stats, first = [], [], 0
     for p, size in zip(pages, sizes, strict=True):
         for k, text in p.texts.items():
@@ -322,6 +323,8 @@ def features(pages: list[Page]) -> np.ndarray:
         first += size
     if at:
         sums[at, :4] = stats
+    before = np.cumsum(sums[:, 0]) - sums[:, 0]  # nodes are in page order
+    before -= before[base]
     by_depth = np.argsort(depth, kind="stable")
     edges = np.searchsorted(depth[by_depth], np.arange(depth.max() + 2))
     for d in range(depth.max(), 0, -1):
@@ -333,12 +336,20 @@ def features(pages: list[Page]) -> np.ndarray:
         own = by_depth[edges[d] : edges[d + 1]]
         above[own] = above[parent[own]] + gives[parent[own]]
     _, inverse, same = np.unique(parent * (1 << 20) + code, return_inverse=True, return_counts=True)
-    chars, linked, marks, words, nodes, paragraphs, controls = sums.T
+    chars, linked, marks, words, nodes, paragraphs, controls, headings = sums.T
+    h1 = np.flatnonzero(code == _kind("h1")[0])
+    titled, first_h1 = np.unique(base[h1], return_index=True)
+    title = np.full(n + 1, -1)  # of the page that begins at a place: its first h1
+    title[titled] = h1[first_h1]
+    title = title[base]
+    own = np.arange(n)
+    to_title = np.where(title < 0, 0, np.where(own > title, 3, np.where(own + nodes > title, 2, 1)))  # none, before it, around it, behind it
     x = np.zeros((n, N_FEATURES), np.float32)
     x[np.arange(n), role] = 1
     x[:, len(ROLES) :] = np.stack([
         signs[:, 0], signs[:, 1], *above.T, depth, chars / np.maximum(nodes, 1), linked / np.maximum(chars, 1), chars / np.maximum(chars[base], 1), chars / np.maximum(chars[parent], 1),
         np.minimum(chars, 5000), marks / np.maximum(words, 1), children, place / np.maximum(children[parent], 1), same[inverse], np.minimum(paragraphs, 20), np.minimum(controls, 20), np.minimum(words, 1000),
+        before / np.maximum(chars[base], 1), np.minimum(headings, 20), to_title, chars[parent] / np.maximum(chars[base], 1), chars[parent[parent]] / np.maximum(chars[base], 1), headings[parent[parent]],
     ], axis=1)
     return x
 
@@ -363,8 +374,8 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, n_trees: int = 30, depth: int = 4, rate: float = 0.3, n_bins: int = 32, ridge: float = 1.0) -> Trees:
-    """Newton boosting of the logistic loss with histogram splits."""
+def boost(x: np.ndarray, y: np.ndarray, n_trees: int = 40, depth: int = 5, rate: float = 0.3, n_bins: int = 32, ridge: float = 1.0, share: float = 0.5) -> Trees:
+    """Newton boosting of the logistic loss with histogram splits; each tree sees a share of the rows."""
     n, d = x.shape
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, n_bins + 1)[1:-1])) for j in range(d)]
     binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
@@ -373,16 +384,19 @@ def boost(x: np.ndarray, y: np.ndarray, n_trees: int = 30, depth: int = 4, rate:
     f = np.full(n, bias)
     inner = 2**depth - 1
     forest = [np.zeros((n_trees, inner), np.int64), np.full((n_trees, inner), np.inf), np.zeros((n_trees, inner + 1))]
+    draw = np.random.default_rng(n_trees)
     for t in range(n_trees):
+        some = np.flatnonzero(draw.random(n) < share)
         p = 1 / (1 + np.exp(-f))
-        g, h = y - p, p * (1 - p) + 1e-6
-        at = np.zeros(n, np.int64)
+        g, h = (y - p)[some], (p * (1 - p) + 1e-6)[some]
+        own, bins = x[some], binned[some].T.copy()
+        at = np.zeros(len(some), np.int64)
         for level in range(depth):
             first, width = 2**level - 1, 2**level
             best = np.full(width, 1e-6)
-            local = at - first
+            local = (at - first) * n_bins
             for j in range(d):
-                key = local * n_bins + binned[:, j]
+                key = local + bins[j]
                 gs = np.bincount(key, g, width * n_bins).reshape(width, n_bins).cumsum(axis=1)
                 hs = np.bincount(key, h, width * n_bins).reshape(width, n_bins).cumsum(axis=1)
                 gt, ht = gs[:, -1:], hs[:, -1:]
@@ -394,10 +408,10 @@ def boost(x: np.ndarray, y: np.ndarray, n_trees: int = 30, depth: int = 4, rate:
                     best = np.where(better, gain[np.arange(width), top], best)
                     forest[0][t, first : first + width][better] = j
                     forest[1][t, first : first + width][better] = cuts[j][top[better]]
-            at = 2 * at + 1 + (x[np.arange(n), forest[0][t][at]] > forest[1][t][at])
+            at = 2 * at + 1 + (own[np.arange(len(some)), forest[0][t][at]] > forest[1][t][at])
         gs, hs = np.bincount(at - inner, g, inner + 1), np.bincount(at - inner, h, inner + 1)
         forest[2][t] = rate * gs / (hs + ridge)
-        f += forest[2][t][at - inner]
+        f += Trees(*(part[t : t + 1] for part in forest), 0.0).log_odds(x)
     return Trees(*forest, bias)
 
 
@@ -449,9 +463,11 @@ LABELS = {
 }
 
 
-def generated_page(rng: random.Random) -> tuple[str, set[str]]:
-    """A page and its main blocks."""
+def generated_page(rng: random.Random, named: bool = True) -> tuple[str, set[str]]:
+    """A page and its main blocks. Without named, class and id are made-up words that say nothing, as those of an unknown language or of a build tool
+    do, element names say little, and the frame may be a table: there only text, links, headings, siblings and places tell the blocks apart."""
     main: set[str] = set()
+    made_up: list[str] = []
 
     def sentence(low: int, high: int) -> str:
         return " ".join("".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(low, high)))
@@ -466,6 +482,9 @@ def generated_page(rng: random.Random) -> tuple[str, set[str]]:
 
     def label(kind: str) -> str:
         """A value for class or id with one token of a kind, maybe beside tokens that say nothing."""
+        if not named:
+            made_up.extend(sentence(1, 1) for _ in range(12 - len(made_up)))
+            return rng.choice([rng.choice(made_up), rng.choice(made_up), f"css-{rng.randint(1, 99)}{rng.choice(made_up)[:2]}", "-".join(rng.sample(made_up, 2))])
         token = rng.choice(LABELS[kind])
         plain = rng.choice(LABELS["plain"])
         return rng.choice([token, token, token, f"site-{token}", f"{plain} {token}", f"{token}_{plain}", plain + token.capitalize(), f"{token}-{rng.randint(1, 9)}"])
@@ -481,6 +500,9 @@ def generated_page(rng: random.Random) -> tuple[str, set[str]]:
         return f"<{name}{said_by}>{inner}</{name}>"
 
     def links(low: int = 2, high: int = 9) -> str:
+        if not named and rng.random() < 0.5:
+            between = rng.choice([" ", " | ", "<br>", ""])
+            return between.join(f'<a href="/x">{sentence(1, 4)}</a>' for _ in range(rng.randint(low, high)))
         return "<ul>" + "".join(f'<li><a href="/x">{sentence(1, 3)}</a></li>' for _ in range(rng.randint(low, high))) + "</ul>"
 
     def junk(kind: str) -> str:
@@ -503,13 +525,50 @@ def generated_page(rng: random.Random) -> tuple[str, set[str]]:
             return wrap(["section", "div", "ol", "ul"], "comments", "".join(wrap(["div", "article", "li", "p"], "comments", f"<p>{prose(3, 50)}</p>" if rng.random() < 0.6 else prose(3, 50)) for _ in range(rng.randint(1, 5))), 0.0)
         return wrap(["div", "p"], "share", links(1, 5) if rng.random() < 0.5 else sentence(1, 6), 0.0)
 
+    def unnamed_junk(kind: str) -> str:
+        names = ["div"] * 6 + (["section", "ul"] if kind != "footer" else ["p", "footer"])
+        if kind == "nav":
+            return wrap(names, kind, links(), 0.3)
+        if kind == "header":
+            return wrap(names, kind, f'<a href="/">{sentence(1, 4)}</a>' + (f"<p>{sentence(1, 6)}</p>" if rng.random() < 0.3 else links(1, 6)), 0.2)
+        if kind == "footer":
+            owner = rng.choice(["&copy; ", "&copy; 20", ""]) + rng.choice([sentence(1, 6), prose(2, 14)])
+            own = rng.choice([f"<p>{owner}</p>", owner, f"<span>{owner}</span>"])
+            return wrap(names, kind, rng.choice([own, own + links(1, 5), links(1, 5) + own, f'<font size="1">{own}</font>']), 0.2)
+        if kind == "side":
+            heading = rng.choice(["h2", "h3", "h3", "h4", "b"])
+            return wrap(names + ["aside"], kind, "".join(f"<{heading}>{sentence(1, 4)}</{heading}>" + links() for _ in range(rng.choice([1, 1, 2, 3]))), 0.2)
+        if kind == "form":
+            return f'<form action="/s"><label>{sentence(1, 3)}</label><input name="q"><button>{sentence(1, 2)}</button></form>'
+        each, who = rng.choice(["div", "li", "div"]), rng.choice(["b", "span", "p", "a"])
+        own = label(kind)
+        notes = "".join(f'<{each} class="{own}"><{who}>{sentence(1, 2)}</{who}> <p>{prose(1, 25)}</p></{each}>' for _ in range(rng.randint(1, 7)))
+        return wrap(["ol"] if each == "li" else ["div", "section"], kind, (f"<h3>{sentence(1, 3)}</h3>" if rng.random() < 0.7 else "") + notes, 0.0)
+
+    def unnamed_frame(inner: str) -> str:
+        def cells(*parts: str) -> str:
+            width = f' width="{rng.randint(10, 90)}%"' if rng.random() < 0.5 else ""
+            return "<tr>" + "".join(f"<td{width}>{p}</td>" for p in parts if p) + "</tr>"
+
+        nav, header, side, footer, notes, form = (unnamed_junk(k) if rng.random() < chance else "" for k, chance in (("nav", 0.7), ("header", 0.5), ("side", 0.6), ("footer", 0.8), ("comments", 0.3), ("form", 0.2)))
+        if rng.random() < 0.3:  # the frame is a table
+            top, row = links() if rng.random() < 0.5 else header + nav, [links() if rng.random() < 0.5 else side, inner, rng.choice(["", side])]
+            return '<table width="100%">' + cells(top) + cells(*row) + cells(footer) + "</table>" + notes
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            inner = wrap(["div", "div", "div", "section", "article", "main"], "main", inner, 0.1)
+        inner = rng.choice([inner + notes + side, side + inner + notes, inner + side + notes])
+        if rng.random() < 0.5:
+            inner = wrap(["div"], "plain", inner, 0.1)
+        body = header + nav + form + inner + footer
+        return wrap(["div"], "plain", body, 0.1) if rng.random() < 0.3 else body
+
     def said(text: str) -> str:
         main.add(text)
         return text
 
     blocks = [f"<h1>{said(sentence(2, 9))}</h1>"] if rng.random() < 0.85 else []
-    for _ in range(rng.choice([1, 1, 2, 3, 4, 6, 9, 14])):
-        text = said(prose(*rng.choice([(1, 3), (3, 30), (20, 120)])))
+    for _ in range(rng.choice([1, 1, 2, 3, 4, 6, 9, 14] if named else [2, 3, 4, 6, 9, 14])):
+        text = said(prose(*rng.choice([(1, 3), (3, 30), (20, 120)] if named else [(3, 30), (3, 30), (20, 120)])))
         kind = rng.random()
         heading = rng.choice(["h2", "h2", "h3", "h3", "h4"])
         if kind < 0.5:
@@ -534,8 +593,10 @@ def generated_page(rng: random.Random) -> tuple[str, set[str]]:
         else:
             blocks.append(f'<p><a href="/y">{text}</a></p>')
         if rng.random() < 0.12:
-            blocks.append(junk(rng.choice(["ad", "ad", "notice", "share", "side", "form", "nav"])))
+            blocks.append(junk(rng.choice(["ad", "ad", "notice", "share", "side", "form", "nav"])) if named else unnamed_junk(rng.choice(["nav", "form", "side"])))
     inner = "".join(blocks)
+    if not named:
+        return f"<html><body>{unnamed_frame(inner)}</body></html>", main
     if rng.random() < 0.25:
         inner += junk("comments")
     body = rng.choice([f"<article>{inner}</article>"] * 5 + [f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", wrap(["div"], "main", inner, 0.0), wrap(["div"], "main", wrap(["div", "section"], "main", inner), 0.0), wrap(["article"], "main", inner), f"<div>{inner}</div>", f"<section>{inner}</section>"])
@@ -576,13 +637,13 @@ def token_weights(pages: list[tuple[str, set[str]]]) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def trained(n_pages: int = 700, seed: int = 11) -> Model:
-    """Token weights and trees, each from n_pages generated pages of its own."""
+def trained(n_pages: int = 700, seed: int = 11, n_unnamed: int = 400) -> Model:
+    """Token weights and trees, each from n_pages generated pages of its own; the trees also from n_unnamed pages whose class and id say nothing."""
     rng = random.Random(seed)
     weights = token_weights([generated_page(rng) for _ in range(n_pages)])
     pages, labels = [], []
-    for _ in range(n_pages):
-        html, main = generated_page(rng)
+    for k in range(n_pages + n_unnamed):
+        html, main = generated_page(rng, named=k < n_pages)
         page = Page(html, weights)
         pages.append(page)
         labels += held(page, main)
