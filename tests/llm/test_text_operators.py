@@ -338,6 +338,43 @@ def test_near_dedup_of_pairs_in_a_crowd_of_long_common_boilerplate(spark):
     assert got == {n: n - n % 2 for n in range(200)}
 
 
+def test_texts_that_share_boilerplate_only_are_not_compared(spark, monkeypatch):
+    """Thousands of texts of similarity 0.74 share buckets; only those that may have a link reach the comparison of blocks, each with few jobs."""
+    common = [f"c{k}" for k in range(120)]
+    rows = [(n, " ".join(common + [f"o{n}x{k}" for k in range(20)])) for n in range(6000)]
+    rows += [(10_000 + n, rows[n * 50][1].replace(f"o{n * 50}x7", "edit")) for n in range(40)]
+    held: dict[str, list] = {}
+    monkeypatch.setattr(near_dedup, "stored", lambda df, name: held.setdefault(name, []).append(stored(df, name)) or held[name][-1])
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: (i - 10_000) * 50 if i >= 10_000 else i for i, _ in rows}
+    (placed,), (split,), (jobs,) = held["placed"], held["split"], held["jobs"]
+    assert placed.select("doc").distinct().count() > 5000
+    assert split.select("doc").distinct().count() <= 80 and jobs.count() <= 80 * near_dedup.BANDS * 4
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.5])
+def test_prefix_filter_loses_no_link(spark, threshold):
+    rng = random.Random(8)
+    bags = []
+    for family in range(12):
+        base = [rng.randrange(-(10**12), 10**12) if rng.random() < 0.8 else rng.randrange(30) for _ in range(rng.choice([1, 2, 5, 30, 90]))]
+        for _ in range(15):
+            cut = rng.choice([0.0, 0.05, 0.12, 0.3])
+            bags.append(sorted({x for x in base if rng.random() >= cut} | {rng.randrange(10**12) for _ in range(rng.randrange(1 + int(len(base) * cut)))}))
+    bags.append([])
+    table = spark.createDataFrame([(str(n).encode(), b) for n, b in enumerate(bags)], "doc binary, bag array<long>")
+    roots = [n % 7 for n in range(len(bags))]
+    texts = spark.createDataFrame([(str(n).encode(), str(r).encode()) for n, r in enumerate(roots)], "doc binary, root binary")
+    live = {int(bytes(r.doc)) for r in near_dedup.with_partners(texts, table, threshold).collect()}
+    real = set()
+    for x in range(len(bags)):
+        for y in range(x):
+            shared = len(set(bags[x]) & set(bags[y]))
+            if roots[x] != roots[y] and shared and shared >= threshold * (len(bags[x]) + len(bags[y]) - shared) - 1e-9:
+                real |= {x, y}
+    assert len(real) > 60 and real <= live and len(live) < len(bags)
+
+
 def test_bag_minhash_is_unbiased():
     rng = np.random.default_rng(3)
     errors = []

@@ -13,7 +13,9 @@ their weighted Jaccard similarity. A document's processes are generated in time
    of a large bucket that the links so far don't hold in one component is compared exactly, block against block: blocks hold texts of one size class
    (texts of similarity t differ in size by a factor of at most 1 / t, so only equal and neighbouring classes meet), dealt by a hash, and each
    pair of blocks is one task's product of 0/1 matrices, which gives a spanning forest of its links. Members of the bucket's largest component meet the others only.
-   Whatever is joined by bucket is salted by the bucket's size.
+   Before that a prefix filter over rare shingles drops the texts that can have no link to another component, so texts that only share boilerplate,
+   however many, are not compared. Members and blocks are joined by bucket and a salt, bags by text and a salt; the two joins that first tell sizes
+   to bucket members and classes to rows carry narrow rows and no salt.
 3. Pairs are verified by exact multiset overlap of the shingles; links of at least the threshold stay.
 4. Classes are the connected components, by alternating large and small stars, a logarithmic number of rounds; each is written to the shared folder.
 
@@ -47,6 +49,10 @@ SALT = 256
 #: Texts and shingles of a block at most (one text at least).
 BLOCK = 256
 BLOCK_UNITS = 1 << 22
+#: Slots that count shingles, to tell rare from frequent ones.
+SLOTS = 1 << 18
+#: Comparisons of one text that share a salt.
+JOBS = 32
 CHUNK = 1 << 20
 
 _U = np.uint64
@@ -347,6 +353,41 @@ def _block_links(frame, threshold: float):
     return pd.DataFrame(out, columns=["a", "b"])
 
 
+_PREFIXES = pa.schema([("doc", pa.binary()), ("root", pa.int64()), ("unit", pa.int64()), ("short", pa.bool_())])
+
+
+def _prefixes(batches, seen, threshold: float):
+    for batch in batches:
+        bag = batch.column(2)
+        sizes, units = bag.value_lengths().to_numpy(), bag.flatten().to_numpy()
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((units, seen.value[units % SLOTS], of))
+        place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        long, short = (sizes - np.ceil(sizes * least - 1e-6) + 1 for least in (threshold, 2 * threshold / (1 + threshold)))
+        kept = place < long[of]
+        of, place, unit = of[kept], place[kept], units[order[kept]]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(unit), pa.array(place < short[of])], schema=_PREFIXES)
+
+
+def with_partners(texts: DataFrame, bag_table: DataFrame, threshold: float) -> DataFrame:
+    """The docs of texts (doc, root) that may have a link to a text of another root; no other has one.
+
+    All bags are put in one order, rare units first (by counts of SLOTS hashed slots, a fixed size; any order is right). Of a pair of similarity of at least
+    the threshold t the smaller bag x and the larger y share one of the first |x| - 2t|x| / (1 + t) + 1 units of x and the first |y| - t|y| + 1 of y: with fewer
+    units behind those they couldn't overlap enough. Units are looked up by the least and greatest root that hold them, so no pairs are formed.
+    """
+    slots = bag_table.select(F.explode("bag").alias("unit")).groupBy(F.pmod("unit", F.lit(SLOTS)).alias("slot")).count().toPandas()
+    seen = np.zeros(SLOTS, np.int64)
+    seen[slots["slot"].to_numpy(np.int64)] = slots["count"].to_numpy(np.int64)
+    bagged = texts.join(bag_table, "doc").select("doc", F.xxhash64("root").alias("root"), "bag")
+    found = partial(_prefixes, seen=bag_table.sparkSession.sparkContext.broadcast(seen), threshold=threshold)
+    held = stored(bagged.mapInArrow(found, "doc binary, root long, unit long, short boolean"), "prefixes")
+    short = F.when(F.col("short"), F.col("root"))
+    units = held.groupBy("unit").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min(short).alias("short_least"), F.max(short).alias("short_most"))
+    met = held.join(units.where("least < most and short_least is not null"), "unit")
+    return met.where("short and (least != root or most != root) or short_least != root or short_most != root").select("doc").distinct()
+
+
 def block_links(large: DataFrame, roots: DataFrame, bag_table: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) that, with those behind roots (node, root), join all alike texts of each bucket. large: bucket, doc, n."""
     step = math.log(1 / threshold) + 1e-6
@@ -357,6 +398,7 @@ def block_links(large: DataFrame, roots: DataFrame, bag_table: DataFrame, thresh
     top = parts.groupBy("bucket").agg(F.max(F.struct("held", "root")).alias("top"), F.count("*").alias("roots"), F.max("n").alias("n")).where("roots > 1").select("bucket", "n", F.col("top.root").alias("largest"))
     cell = ["bucket", "class", "main"]
     split = placed.drop("n").join(for_all_salts(top), ["bucket", "salt"]).select("bucket", "doc", "root", "class", (F.col("root") == F.col("largest")).alias("main"), "n", "salt")
+    split = stored(split.join(with_partners(split.select("doc", "root").distinct(), bag_table, threshold), "doc", "left_semi"), "split")
     most = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK)), F.floor(F.lit(float(BLOCK_UNITS)) / F.exp((F.col("class") + 1) * step)).cast("double")))
     cells = stored(split.groupBy(*cell).agg(F.count("*").alias("held"), F.max("n").alias("n")).select(*cell, "n", F.ceil(F.col("held") / most).cast("int").alias("blocks")), "cells")
     blocks = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.struct("class", "main", "part").alias("x"))
@@ -366,8 +408,11 @@ def block_links(large: DataFrame, roots: DataFrame, bag_table: DataFrame, thresh
     ends = ends.otherwise(F.array(F.struct(F.col("x").alias("at"), F.lit(0).alias("side")), F.struct(F.col("y").alias("at"), F.lit(1).alias("side"))))
     sides = both.select("bucket", job, F.explode(ends).alias("e")).select("bucket", "job", "e.at.class", "e.at.main", "e.at.part", "e.side")
     dealt = split.drop("n").join(for_all_salts(cells), [*cell, "salt"]).select(*cell, F.pmod(F.xxhash64("doc", F.lit("block")), F.col("blocks")).cast("int").alias("part"), "doc", "root")
-    rows = dealt.join(sides, [*cell, "part"]).select("job", "side", "doc", "root")
-    filled = rows.join(bag_table, "doc")
+    # A text meets all blocks of its cell's neighbours, so its jobs are spread over salts by their number.
+    load = sides.groupBy(*cell, "part").agg(F.ceil(F.count("*") / JOBS).cast("int").alias("salts"))
+    rows = stored(dealt.join(sides.join(load, [*cell, "part"]), [*cell, "part"]).select("job", "side", "doc", "root", "salts"), "jobs")
+    spread = rows.groupBy("doc").agg(F.max("salts").alias("salts")).select("doc", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    filled = rows.withColumn("salt", F.pmod(F.col("job"), F.col("salts")).cast("int")).drop("salts").join(bag_table.join(spread, "doc"), ["doc", "salt"])
     return filled.groupBy("job").applyInPandas(partial(_block_links, threshold=threshold), "a binary, b binary")
 
 
