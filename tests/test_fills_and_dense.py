@@ -45,6 +45,16 @@ def test_log_identity(spark):
     assert fills.log_conflicts(fills.valid_fills(raw(spark, [one(), one(price="0.3", contract=None), one(contract=None)]))).count() == 0
 
 
+def test_log_summary(spark):
+    rows = [one(), one(), one(price="0.3"), one(price="2"), one(log=2), one(log=2, usd="3", contract=None), one(log=2, contract=None), one(log=None), one(log=None, shares="0"), one(log=3), one(log=3)]
+    assert fills.log_summary(raw(spark, rows)).first().asDict() == {"input_rows": 11, "valid_rows": 9, "unnamed": 1, "repeated": 4, "conflicts": 1}
+    unkeyed = fills.log_summary(raw(spark, rows).drop("log_index")).first()
+    assert (unkeyed.input_rows, unkeyed.valid_rows, unkeyed.unnamed, unkeyed.repeated, unkeyed.conflicts) == (11, 9, 0, 0, 0)
+    assert fills.log_summary(raw(spark, rows).limit(0)).first().asDict() == dict.fromkeys(("input_rows", "valid_rows", "unnamed", "repeated", "conflicts"), 0)
+    kept, audit = fills.normalize(raw(spark, rows[:0]))
+    assert kept.count() == 0 and tuple(audit.first()) == (0, 0, 0, 0)
+
+
 def test_guards_and_participants(spark):
     with pytest.raises(ValueError, match="kind"):
         fills.guard(raw(spark, [one()]), "users")

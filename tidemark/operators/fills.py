@@ -70,17 +70,41 @@ def dedup_logs(fills: DataFrame, check: bool = True) -> DataFrame:
         return fills
     if check and not log_conflicts(fills).isEmpty():
         raise ValueError("conflicting records share a log identity")
+    return first_of_each(fills, key)
+
+
+def first_of_each(fills: DataFrame, key: list[str]) -> DataFrame:
     order = [F.col(c) for c in ("timestamp", "market_id", "price_outcome1", "token_amount", "usd_amount")] + [F.col(c) for c in sorted(set(fills.columns) - set(key) - set(CHECKED)) if dict(fills.dtypes)[c] in ("string", "double", "bigint", "int")]
     return fills.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def log_summary(df: DataFrame, kind: str = "trades") -> DataFrame:
+    """One row, in one pass with partial aggregation: input_rows, valid_rows, unnamed (valid rows without an identity), repeated (valid rows
+    beyond the first of their identity) and conflicts (identities whose valid rows differ in a checked column)."""
+    rows = typed(df, kind).withColumn("price_outcome1", outcome_price(kind))
+    key = log_key(rows)
+    if not key:
+        return rows.agg(F.count("*").alias("input_rows"), F.count_if("valid").alias("valid_rows"), *[F.lit(0).cast("long").alias(c) for c in ("unnamed", "repeated", "conflicts")])
+    ends = [end(F.when(F.col("valid"), F.col(c))).alias(f"{name}_{c}") for c in CHECKED for name, end in (("least", F.min), ("most", F.max))]
+    logs = rows.groupBy(*key).agg(F.count("*").alias("n"), F.count_if("valid").alias("n_valid"), *ends)
+    named = " and ".join(f"{k} is not null" for k in key)
+    differs = " or ".join(f"least_{c} != most_{c}" for c in CHECKED)
+    total = {"input_rows": "n", "valid_rows": "n_valid", "unnamed": "if(transaction_hash is null or log_index is null, n_valid, 0)", "repeated": "greatest(n_valid - 1, 0)", "conflicts": f"if({named} and ({differs}), 1, 0)"}
+    return logs.agg(*[F.coalesce(F.sum(F.expr(e)), F.lit(0)).alias(name) for name, e in total.items()])
+
+
 def normalize(df: DataFrame, kind: str = "trades", check: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(fills, one-row audit: input_rows, invalid_rows_removed, duplicate_logs_removed, valid_rows)."""
-    kept = dedup_logs(valid_fills(df, kind), check)
-    seen = typed(df, kind).agg(F.count("*").alias("input_rows"), F.count_if(~F.col("valid")).alias("invalid_rows_removed"))
-    left = kept.agg(F.count("*").alias("valid_rows"))
-    audit = seen.join(F.broadcast(left)).select("input_rows", "invalid_rows_removed", (F.col("input_rows") - F.col("invalid_rows_removed") - F.col("valid_rows")).alias("duplicate_logs_removed"), "valid_rows")
-    return kept, audit
+    """(fills, one-row audit: input_rows, invalid_rows_removed, duplicate_logs_removed, valid_rows). One pass over df decides and counts; fills are the second."""
+    seen = log_summary(df, kind).first()
+    fills, key = valid_fills(df, kind), log_key(df)
+    if key and not seen.unnamed:
+        if check and seen.conflicts:
+            raise ValueError("conflicting records share a log identity")
+        fills, repeated = first_of_each(fills, key), seen.repeated
+    else:
+        repeated = 0
+    counts = (seen.input_rows, seen.input_rows - seen.valid_rows, repeated, seen.valid_rows - repeated)
+    return fills, df.sparkSession.createDataFrame([counts], "input_rows long, invalid_rows_removed long, duplicate_logs_removed long, valid_rows long")
 
 
 def participant_fills(df: DataFrame) -> DataFrame:
