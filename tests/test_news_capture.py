@@ -1,14 +1,17 @@
 """Sparse groups, decisions, news, text functions, capture stream, sources."""
 
+import collections
 import json
+import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark.config import ContextConfig, Market, NewsConfig, RunConfig, SparseConfig
 from tidemark.functions import text
 from tidemark.functions.columns import aware_time, iso, relevance
-from tidemark.operators import capture, decisions, news, sparse
+from tidemark.operators import capture, charts, decisions, news, sparse
 from tidemark.sources import readers, search, writers
 
 MARKET = Market("m", "q", required_term_groups=(("Inter Milan", "Inter"), ("UEFA",)))
@@ -96,6 +99,24 @@ def test_groups_go_on_across_batches(spark):
     assert sorted(len(g.alert_ids) for g in got) == [5, 5, *[11] * 90]  # 500 = 45 * 11 + 5
 
 
+def test_line_charts(spark):
+    rng = random.Random(4)
+    line = [("a<b", 10 * k, None if k in (30, 31) else round(rng.random(), 3)) for k in range(1000)] + [("one", 7, 0.5), ("gap", 1, None)]
+    frame = spark.createDataFrame(line, "market_id string, us long, value double")
+    columns = collections.defaultdict(list)
+    for market, us, value in line:
+        span = 9991 if market == "a<b" else 1
+        columns[market, us * 20 // span if market == "a<b" else 0].append((us, value))
+    want = set()
+    for (market, _), points in columns.items():
+        seen, gaps = [p for p in points if p[1] is not None], [p for p in points if p[1] is None]
+        want |= {(market, *p) for p in [*gaps[:1], *(seen and [seen[0], seen[-1], min(seen, key=lambda p: (p[1], p[0])), max(seen, key=lambda p: (p[1], -p[0]))])]}
+    assert sorted(map(str, charts.line_columns(frame, 20).select("market_id", "us", "value").collect())) == sorted(str(Row(market_id=m, us=u, value=v)) for m, u, v in want)
+    html = {r.market_id: r.html for r in charts.line_charts(frame, 20, 100).collect()}
+    assert html["a<b"].count("M") == 2 and "price of a&lt;b" in html["a<b"] and 'd="M0.0 50.0"' in html["one"] and 'd=""' in html["gap"]
+    assert charts.line_charts(frame.limit(0)).count() == 0
+
+
 def test_cards_name_the_ten_best_links_and_escape_text(spark):
     episodes = spark.createDataFrame(
         [("e1", "m", 5, "t0", "t1", "t2", "jump", 1.0), ("e2", "m", 9, "t0", "t1", "t2", "jump", -1.0)],
@@ -204,6 +225,7 @@ def test_demo_run_end_to_end(spark, tmp_path):
     assert sum(r["decision_rows"] for r in status["dc"]) == 2 * 854 * 4
     page = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/out/report_html").collect())
     assert page.startswith("<!doctype html>") and page.count("<h2>") == len({e["market_id"] for e in json.loads(status["render"])}) and page.count("<details") == len(json.loads(status["render"]))
+    assert page.count("<svg") == page.count("<h2>") and page.index("<svg") < page.index("<details")
     assert page.index("<h2>") < page.index("<details") and spark.read.text(f"{tmp_path}/out/review_template").count() == spark.read.parquet(f"{tmp_path}/out/links").count()
     with pytest.raises(Exception):
         pipelines.analyze(spark, config)  # a non-empty output is not overwritten

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import RunConfig
 from tidemark.functions.columns import iso
-from tidemark.operators import decisions, dense, fills, news, sparse
+from tidemark.operators import charts, decisions, dense, fills, news, sparse
 from tidemark.sources import readers, search, writers
 
 STAGES = ("analyze", "news", "dc", "render")
@@ -150,9 +150,10 @@ def render(spark: SparkSession, config: RunConfig, documents: DataFrame, reviews
     writers.write_table(link(spark, config, documents, reviews), f"{root}/links", overwrite=True)
     links = spark.read.parquet(f"{root}/links")
     writers.write_jsonl(news.review_template(links), f"{root}/review_template")
-    _, found = readers.read_run(spark, config)
+    bars, found = readers.read_run(spark, config)
     best = dense.top_episodes(found, config.news.max_episodes_per_market).drop("place")
-    writers.write_report(news.episode_cards(best, links), f"{root}/report_html", "Episodes and candidate documents")
+    line = bars.select("market_id", F.col("bin_us").alias("us"), F.when(F.col("observed"), F.col("price")).alias("value"))
+    writers.write_report(news.episode_cards(best, links), f"{root}/report_html", "Episodes and candidate documents", charts.line_charts(line))
     return writers.report_json(best)
 
 

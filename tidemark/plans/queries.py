@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import aware_time, floor_micros, iso, micros, relevant_pairs
 from tidemark.functions.text import canonical_url, paragraphs
-from tidemark.operators import capture, decisions, dense, fills, news, sparse
+from tidemark.operators import capture, charts, decisions, dense, fills, news, sparse
 from tidemark.plans import fixtures as fx
 from tidemark.plans.fixtures import CONTEXT, DENSE, MARKETS, NEWS, SPARSE, iso_sql
 
@@ -247,6 +247,18 @@ def q_gap_line(spark, sf_dir):
     return sparse.gap_line(_sparse(spark, sf_dir), fx.B, "median_price").select("market_id", "us", *r6("value"))
 
 
+@query(f"""with {fx.SPARSE_SQL}, n as (select *, lead(bin_us) over (partition by market_id order by bin_us) as nx from bars),
+l as (select market_id, bin_us as us, median_price as value from n union all select market_id, bin_us + {fx.B}, null from n where nx - bin_us > {fx.B}),
+e as (select market_id, min(us) as low, max(us) as high from l group by 1),
+c as (select l.*, floor((us - low) * 40.0::double / (high - low + 1)) as col from l join e using (market_id)),
+r as (select *, row_number() over (partition by market_id, col, value is null order by us) as r1, row_number() over (partition by market_id, col, value is null order by us desc) as r2,
+row_number() over (partition by market_id, col, value is null order by value, us) as r3, row_number() over (partition by market_id, col, value is null order by value desc, us) as r4 from c)
+select market_id, us, round(value, 6) as value from r where r1 = 1 or value is not null and (r2 = 1 or r3 = 1 or r4 = 1)""")
+def q_line_columns(spark, sf_dir):
+    line = sparse.gap_line(_sparse(spark, sf_dir), fx.B, "median_price")
+    return charts.line_columns(line, 40).select("market_id", "us", *r6("value"))
+
+
 # Decisions and context
 
 _BUNDLES = f"""{fx.FL}, bu as (select transaction_hash, market_id, lower(taker) as taker, nonusdc_side, taker_direction, min(us) as us, sum(token_amount) as shares, sum(usd_amount) as usd, count(*) as n, sum(price * token_amount) / sum(token_amount) as xp, sum(p1 * token_amount) / sum(token_amount) as xp1 from g group by all),

@@ -172,14 +172,17 @@ def report_json(df: DataFrame, limit: int = 100) -> str:
     return "[" + ",".join(r["value"] for r in rows) + "]"
 
 
-def write_report(cards: DataFrame, path: str, title: str) -> None:
-    """One HTML page of episode cards (market_id, detected_us, episode_id, html) under a heading for each market.
+def write_report(cards: DataFrame, path: str, title: str, charts: DataFrame | None = None) -> None:
+    """One HTML page of episode cards (market_id, detected_us, episode_id, html) under a heading, and a chart (market_id, html) if given, for each market.
 
     The page is one text file, so cards are those of a bounded choice of episodes (`top_episodes`).
     """
     spark = cards.sparkSession
     part = cards.select(F.lit(1).alias("part"), "market_id", "detected_us", "episode_id", "html")
-    heads = cards.select("market_id").distinct().select(F.lit(1).alias("part"), "market_id", F.lit(None).cast("long").alias("detected_us"), F.lit("").alias("episode_id"), F.concat(F.lit("<h2>"), html_escape(F.col("market_id")), F.lit("</h2>")).alias("html"))
+    markets = cards.select("market_id").distinct()
+    markets = markets.withColumn("chart", F.lit("")) if charts is None else markets.join(charts.select("market_id", F.col("html").alias("chart")), "market_id", "left")
+    head = F.concat(F.lit("<h2>"), html_escape(F.col("market_id")), F.lit("</h2>"), F.coalesce("chart", F.lit("")))
+    heads = markets.select(F.lit(1).alias("part"), "market_id", F.lit(None).cast("long").alias("detected_us"), F.lit("").alias("episode_id"), head.alias("html"))
     frame = spark.range(2).select((F.col("id") * 2).cast("int").alias("part"), F.lit("").alias("market_id"), F.lit(None).cast("long").alias("detected_us"), F.lit("").alias("episode_id"), F.when(F.col("id") == 0, F.concat(F.lit('<!doctype html><meta charset="utf-8"><title>'), html_escape(F.lit(title)), F.lit("</title>"))).otherwise("<!-- end -->").alias("html"))
     page = part.unionByName(heads).unionByName(frame)
     page.coalesce(1).sortWithinPartitions("part", "market_id", F.asc_nulls_first("detected_us"), "episode_id").select(F.col("html").alias("value")).write.mode("overwrite").text(path)
