@@ -56,3 +56,24 @@ def test_nothing_to_list(spark):
     _, cuts, item_rows, cut_rows = tables(spark)
     assert {tuple(r.news) for r in decisions.news_before(cut_rows, item_rows.limit(0), CFG).collect()} == {()}
     assert decisions.news_before(cut_rows.limit(0), item_rows, CFG).count() == 0
+
+
+def test_texts_take_no_part_in_the_fold(spark):
+    """Neither the fold's rows nor the lists carry texts, and texts are joined to each distinct list once."""
+    items, cuts, item_rows, cut_rows = tables(spark, seed=4)
+    long_items, same = [(*x[:4], x[4] * 5000) for x in items], [(1000 + k, "m", 20 * HOUR + 1) for k in range(200)]
+    item_rows, cut_rows = spark.createDataFrame(long_items, item_rows.schema), cut_rows.unionByName(spark.createDataFrame(same, cut_rows.schema))
+    assert "text" not in decisions.news_events(cut_rows, item_rows, CFG).columns
+    listed = {r.id: [(x.document_id, x.url) for x in r.news] for r in decisions.listed_before(cut_rows, item_rows, CFG).collect()}
+    assert "text" not in decisions.listed_before(cut_rows, item_rows, CFG).schema["news"].dataType.elementType.names
+    whole = {r.id: [(x["rank"], x.document_id, x.url, x.text) for x in r.news] for r in decisions.news_before(cut_rows, item_rows, CFG).collect()}
+    assert whole == {k: brute(long_items, m, us) for k, m, us in cuts + same}
+    assert listed == {k: [x[1:3] for x in v] for k, v in whole.items()}
+
+
+def test_items_out_of_reach_are_not_carried(spark):
+    far = [("m", (1000 + k) * HOUR, f"f{k}", f"w{k}", "x") for k in range(500)]
+    near = [("m", 4 * HOUR, "near", "u", "x"), ("m", 10 * HOUR, "late", "u", "x")]
+    item_rows, cut_rows = spark.createDataFrame(far + near, "market_id string, available_us long, document_id string, url string, text string"), spark.createDataFrame([(1, "m", 10 * HOUR)], "id long, market_id string, us long")
+    assert decisions.news_events(cut_rows, item_rows, CFG).count() <= 1 + 2 + 1
+    assert [x.document_id for x in decisions.news_before(cut_rows, item_rows, CFG).first().news] == ["near"]

@@ -99,7 +99,7 @@ def news_items(docs: DataFrame, markets: Sequence[Market], strict: bool) -> Data
 CUT, ITEM = 0, 1
 #: A lookback is dealt out in so many chunks; a chunk begins with the newest items of those before it.
 CHUNKS_A_LOOKBACK = 12
-_LISTS = "market_id string, us long, items array<struct<document_id: string, url: string, available_us: long, text: string>>"
+_LISTS = "market_id string, us long, items array<struct<document_id: string, url: string, available_us: long>>"
 
 
 class Newest:
@@ -111,9 +111,9 @@ class Newest:
     def __init__(self, most: int):
         self.most, self.items = most, []
 
-    def add(self, us: int, document_id: str, url: str, text: str) -> None:
+    def add(self, us: int, document_id: str, url: str) -> None:
         self.items = [x for x in self.items if x[2] != url]
-        self.items.append((us, document_id, url, text))
+        self.items.append((us, document_id, url))
         del self.items[: -self.most]
 
     def since(self, us: int) -> list[tuple]:
@@ -121,10 +121,10 @@ class Newest:
 
 
 def _news_lists(batches, most: int, span: int):
-    """A list for each cut-off. Rows come by (market, chunk), time, cut-offs before items of their time."""
+    """A list for each cut-off that has items. Rows come by (market, chunk), time, cut-offs before items of their time."""
     import pyarrow as pa
 
-    fields = pa.struct([("document_id", pa.string()), ("url", pa.string()), ("available_us", pa.int64()), ("text", pa.string())])
+    fields = pa.struct([("document_id", pa.string()), ("url", pa.string()), ("available_us", pa.int64())])
     place, newest = object(), None
     for batch in batches:
         markets, cuts, offsets, flat = [], [], [0], []
@@ -134,51 +134,71 @@ def _news_lists(batches, most: int, span: int):
             if kind == ITEM:
                 newest.add(us, *item)
                 continue
-            flat += newest.since(us - span)
+            listed = newest.since(us - span)
+            if not listed:
+                continue
+            flat += listed
             markets.append(market)
             cuts.append(us)
             offsets.append(len(flat))
-        columns = [pa.array([x[k] for x in flat], t) for k, t in ((1, pa.string()), (2, pa.string()), (0, pa.int64()), (3, pa.string()))]
+        columns = [pa.array([x[k] for x in flat], t) for k, t in ((1, pa.string()), (2, pa.string()), (0, pa.int64()))]
         items = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(fields)))
         yield pa.RecordBatch.from_arrays([pa.array(markets, pa.string()), pa.array(cuts, pa.int64()), items], names=["market_id", "us", "items"])
 
 
 def newest_by_url(items: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
     """The `most` newest items of each key, one for each URL."""
-    newest = F.desc("available_us"), F.desc("document_id"), F.desc("text")
+    newest = [F.desc(c) for c in ("available_us", "document_id", "url", "text") if c in items.columns]
     once = items.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "url").orderBy(*newest))).where("_n = 1")
     return once.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))).where(F.col("_n") <= most).drop("_n")
 
 
 def news_events(decisions: DataFrame, items: DataFrame, cfg: ContextConfig) -> DataFrame:
-    """(market_id, chunk, us, kind, item): each distinct cut-off and each item once, and in every chunk the newest items of each of the chunks that its lookback reaches."""
+    """(market_id, chunk, us, kind, item): each distinct cut-off and each item once, and in every chunk the newest items of each of the chunks that its lookback reaches. Items come without their texts."""
     chunk = -(-cfg.news_lookback_hours * HOUR // CHUNKS_A_LOOKBACK)
     place = lambda name: F.floor(F.col(name) / F.lit(chunk)).alias("chunk")
-    known = items.select("market_id", place("available_us"), "available_us", *[F.col(c).cast("string").alias(c) for c in ("document_id", "url", "text")])
-    known = known.repartition("market_id", "chunk")  # one exchange serves the items and what is carried, so documents are judged once
-    carried = newest_by_url(known, ["market_id", "chunk"], cfg.max_news_items).withColumn("chunk", F.explode(F.sequence(F.col("chunk") + 1, F.col("chunk") + CHUNKS_A_LOOKBACK)))
-    nothing = [F.lit(None).cast("string").alias(c) for c in ("document_id", "url", "text")]
+    known = items.select("market_id", place("available_us"), "available_us", *[F.col(c).cast("string").alias(c) for c in ("document_id", "url")])
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("document_id", "url")]
     cuts = decisions.select("market_id", "us").distinct().select("market_id", place("us"), "us", F.lit(CUT).alias("kind"), *nothing)
-    # Only chunks with cut-offs need carried items.
-    carried = carried.join(cuts.select("market_id", "chunk").distinct(), ["market_id", "chunk"], "left_semi")
-    both = known.unionByName(carried).select("market_id", "chunk", F.col("available_us").alias("us"), F.lit(ITEM).alias("kind"), "document_id", "url", "text")
+    busy = cuts.select("market_id", "chunk").distinct()
+    # Items that no cut-off's lookback reaches aren't carried on, and only chunks with cut-offs get carried items.
+    reached = busy.select("market_id", F.explode(F.sequence(F.col("chunk") - CHUNKS_A_LOOKBACK, F.col("chunk"))).alias("chunk")).distinct()
+    known = known.repartition("market_id", "chunk").join(reached, ["market_id", "chunk"], "left_semi")  # one exchange serves the items and what is carried, so documents are judged once
+    carried = newest_by_url(known, ["market_id", "chunk"], cfg.max_news_items).withColumn("chunk", F.explode(F.sequence(F.col("chunk") + 1, F.col("chunk") + CHUNKS_A_LOOKBACK)))
+    carried = carried.join(busy, ["market_id", "chunk"], "left_semi")
+    both = known.unionByName(carried).select("market_id", "chunk", F.col("available_us").alias("us"), F.lit(ITEM).alias("kind"), "document_id", "url")
     return cuts.unionByName(both)
 
 
-def news_before(decisions: DataFrame, items: DataFrame, cfg: ContextConfig, name: str = "news") -> DataFrame:
-    """decisions with up to max_news_items items available in [cutoff - lookback, cutoff), newest first, one for each URL.
+def listed_before(decisions: DataFrame, items: DataFrame, cfg: ContextConfig, name: str = "news") -> DataFrame:
+    """decisions with up to max_news_items items available in [cutoff - lookback, cutoff), newest first, one for each URL, as (document_id, url, available_us).
 
     An ordered fold over (market, chunk): items and distinct cut-offs stream past in time order, and a bounded list of the newest items is what a cut-off gets. No pair of a cut-off and
-    an item is formed: what is shuffled is each row once, and for each chunk as many carried items as lists may hold.
+    an item is formed: what is shuffled is each row once, and for each chunk as many carried items as lists may hold. Texts take no part, whatever their length.
     """
-    events = news_events(decisions, items, cfg).repartition("market_id", "chunk").sortWithinPartitions("market_id", "chunk", "us", "kind", "document_id", "text")
+    events = news_events(decisions, items, cfg).repartition("market_id", "chunk").sortWithinPartitions("market_id", "chunk", "us", "kind", "document_id", "url")
     lists = events.mapInArrow(partial(_news_lists, most=cfg.max_news_items, span=cfg.news_lookback_hours * HOUR), _LISTS)
-    ranked = F.transform("items", lambda x, k: F.struct((k + 1).alias("rank"), x["document_id"].alias("document_id"), x["url"].alias("url"), iso(F.timestamp_micros(x["available_us"])).alias("available_at"), x["text"].alias("text")))
-    found = lists.select(F.col("market_id").alias("_m"), F.col("us").alias("_u"), ranked.alias(name))
+    found = lists.select(F.col("market_id").alias("_m"), F.col("us").alias("_u"), F.col("items").alias(name))
     joined = decisions.join(found, (F.col("market_id") == F.col("_m")) & (F.col("us") == F.col("_u")), "left").drop("_m", "_u")
     return joined.withColumn(name, F.coalesce(name, F.array().cast(found.schema[name].dataType)))
 
 
+def news_before(decisions: DataFrame, items: DataFrame, cfg: ContextConfig, name: str = "news") -> DataFrame:
+    """As listed_before, with rank, ISO times and the texts.
+
+    Texts join each distinct list of a market once: a list changes only when an item comes or goes, so there are about twice as many as items, however many cut-offs share them.
+    """
+    listed = listed_before(decisions, items, cfg, "_listed")
+    lists = listed.where(F.size("_listed") > 0).select(F.col("market_id").alias("_m"), F.col("_listed").alias("_l")).distinct()
+    item = F.struct(F.col("document_id").cast("string").alias("document_id"), F.col("url").cast("string").alias("url"), F.col("available_us").cast("long").alias("available_us"))
+    texts = items.groupBy(F.col("market_id").alias("_t"), item.alias("_i")).agg(F.max(F.col("text").cast("string")).alias("text"))
+    places = lists.select("_m", "_l", F.posexplode("_l").alias("_k", "_x")).join(texts, (F.col("_m") == F.col("_t")) & (F.col("_x") == F.col("_i")))
+    ranked = F.struct((F.col("_k") + 1).alias("rank"), F.col("_x.document_id").alias("document_id"), F.col("_x.url").alias("url"), iso(F.timestamp_micros("_x.available_us")).alias("available_at"), "text")
+    whole = places.groupBy("_m", "_l").agg(F.array_sort(F.collect_list(ranked)).alias(name))
+    joined = listed.join(whole, (F.col("market_id") == F.col("_m")) & (F.col("_listed") == F.col("_l")), "left").drop("_m", "_l", "_listed")
+    return joined.withColumn(name, F.coalesce(name, F.array().cast(whole.schema[name].dataType)))
+
+
 def eligible_news(items: DataFrame, market_id: str, cutoff_us: int, cfg: ContextConfig) -> DataFrame:
     """What one cut-off sees, newest first: the items of a market in [cutoff - lookback, cutoff), one for each URL, up to max_news_items."""
     seen = items.where((F.col("market_id") == market_id) & (F.col("available_us") < cutoff_us) & (F.col("available_us") >= cutoff_us - cfg.news_lookback_hours * HOUR))

@@ -317,7 +317,7 @@ select transaction_hash, count(*)::bigint as items, string_agg(document_id, ','
 
 def _news_query(spark, sf_dir, strict: bool) -> DataFrame:
     items = decisions.news_items(fx.news_documents(spark, sf_dir), MARKETS, strict)
-    out = decisions.news_before(_event_bundles(spark, sf_dir), items, CONTEXT)
+    out = decisions.listed_before(_event_bundles(spark, sf_dir), items, CONTEXT)
     return out.where(F.size("news") > 0).select("transaction_hash", F.size("news").cast("long").alias("items"), F.concat_ws(",", "news.document_id").alias("document_ids"))
 
 
