@@ -38,3 +38,18 @@ def test_cuts_change_no_result(spark):
     times = sorted((r.us, r.price) for r in state.where("k = 'm'").collect())
     for r in asof_before(rows.where("k = 'm'"), state, "k", "us", ["price"], HOUR, cuts).where("v % 50 = 0").collect():
         assert r.state_price == max(((t, p) for t, p in times if t < r.us), default=(None, None))[1]
+
+
+def test_totals_of_quiet_keys_need_no_chunks(spark):
+    """Busy keys go from chunk to chunk, quiet ones whole: the same totals, and no row of a quiet key is shuffled to be joined."""
+    rng = random.Random(5)
+    data = [(rng.choice(["a", "b", None, *"cdefgh"]) if k % 2 else "a", rng.randrange(0, 500), float(rng.randrange(9)) if rng.random() < 0.9 else None, k) for k in range(800)]
+    rows = spark.createDataFrame(data, "k string, us long, v double, id int").repartition(3)
+    want = {i: (sum(1 for q, t, _, _ in data if q == k and t < us), sum(v or 0.0 for q, t, v, _ in data if q == k and t < us)) for k, us, _, i in data}
+    cuts = even_cuts(rows, "k", "us", 50, most=20)
+    for most in (0, 100, 1000):
+        for c in (None, cuts):
+            assert {r.id: (r.prior_count, r.prior_amount) for r in earlier_totals(rows, "k", "us", "v", 50, c, most).collect()} == want
+    found = earlier_totals(rows, "k", "us", "v", 50)
+    found.collect()
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()

@@ -75,13 +75,19 @@ def asof_before(probe: DataFrame, state: DataFrame, key: str, us: str, payload:
     return found.select("_p.*", F.coalesce("_near", "_carried").alias("_state")).select(*probe.columns, *[F.col(f"_state.{c}").alias(f"state_{c}") for c in (us, *payload)])
 
 
-def earlier_totals(df: DataFrame, key: str, us: str, amount: str, chunk: int, cuts: DataFrame | None = None) -> DataFrame:
-    """df with prior_count and prior_amount over rows of the same key at strictly earlier times. cuts: of busy chunks (`even_cuts` of df)."""
-    cut = placed(df, key, us, chunk, cuts)
-    strict = Window.partitionBy(key, CHUNK).orderBy(us).rangeBetween(Window.unboundedPreceding, -1)
-    inside = cut.withColumn("_n", F.count(F.lit(1)).over(strict)).withColumn("_a", F.coalesce(F.sum(amount).over(strict), F.lit(0.0)))
-    sums = cut.groupBy(key, CHUNK).agg(F.count(F.lit(1)).alias("_cn"), F.sum(amount).alias("_ca"))
+def earlier_totals(df: DataFrame, key: str, us: str, amount: str, chunk: int, cuts: DataFrame | None = None, most: int = 1_000_000) -> DataFrame:
+    """df with prior_count and prior_amount over rows of the same key at strictly earlier times. cuts: of busy chunks (`even_cuts` of df).
+
+    Only a key with more than `most` rows is cut into chunks, so there are few of them; each of its chunks begins with one row of carried totals. Any other key is one chunk.
+    """
+    # Counted over the columns that are summed, so that one exchange below serves the counts and the totals.
+    counts = [F.count(c).alias(f"_n{k}") for k, c in enumerate((F.lit(1), F.col(us), F.col(amount)))]
+    busy = df.groupBy(F.col(key).alias("_bk")).agg(*counts).where(F.greatest("_n0", "_n1", "_n2") > most).select("_bk", F.lit(True).alias("_busy"))
+    cut = placed(df, key, us, chunk, cuts).join(F.broadcast(busy), F.col(key).eqNullSafe(F.col("_bk")), "left").withColumn(CHUNK, F.when(F.col("_busy"), F.col(CHUNK)))
+    sums = cut.where("_busy").groupBy(key, CHUNK).agg(F.count(F.lit(1)).alias("_cn"), F.sum(amount).alias("_ca"))
     before = Window.partitionBy(key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col(key).alias("_ck"), F.col(CHUNK).alias("_cc"), F.coalesce(F.sum("_cn").over(before), F.lit(0)).alias("_bn"), F.coalesce(F.sum("_ca").over(before), F.lit(0.0)).alias("_ba"))
-    joined = inside.join(sums, inside[key].eqNullSafe(F.col("_ck")) & (inside[CHUNK] == F.col("_cc")), "left")
-    return joined.select(*df.columns, (F.col("_n") + F.col("_bn")).alias("prior_count"), (F.col("_a") + F.col("_ba")).alias("prior_amount"))
+    carried = sums.select(key, CHUNK, (F.col(CHUNK) - 1).alias(us), F.sum("_cn").over(before).alias("_w"), F.sum("_ca").over(before).alias("_a"), F.lit(False).alias(OWN))
+    both = cut.select(*df.columns, CHUNK, F.lit(1).cast("long").alias("_w"), F.col(amount).alias("_a"), F.lit(True).alias(OWN)).unionByName(carried, allowMissingColumns=True)
+    strict = Window.partitionBy(key, CHUNK).orderBy(us).rangeBetween(Window.unboundedPreceding, -1)
+    found = both.withColumns({"prior_count": F.coalesce(F.sum("_w").over(strict), F.lit(0).cast("long")), "prior_amount": F.coalesce(F.sum("_a").over(strict), F.lit(0.0))})
+    return found.where(OWN).select(*df.columns, "prior_count", "prior_amount")

@@ -25,16 +25,18 @@ def transaction_conflicts(fills: DataFrame) -> DataFrame:
 
 
 def check_decisions(fills: DataFrame) -> None:
-    """Errors for missing identities, unknown directions and conflicting times; one small aggregate each."""
+    """Errors for missing identities, unknown directions and conflicting times; one pass."""
     require_columns(fills, [*KEYS, "timestamp", "price_observed", "price_outcome1", "token_amount", "usd_amount"])
     blank = lambda c: F.count_if(F.coalesce(F.trim(F.col(c)), F.lit("")) == "")
-    seen = fills.agg(F.count("*").alias("n"), blank("transaction_hash").alias("tx"), blank("taker").alias("taker"), F.count_if(~F.coalesce(F.col("taker_direction").isin("BUY", "SELL"), F.lit(False))).alias("direction")).first()
+    unknown = F.count_if(~F.coalesce(F.col("taker_direction").isin("BUY", "SELL"), F.lit(False)))
+    each = fills.groupBy("transaction_hash").agg(F.count("*").alias("n"), blank("transaction_hash").alias("tx"), blank("taker").alias("taker"), unknown.alias("direction"), (F.min("timestamp") < F.max("timestamp")).cast("int").alias("conflict"))
+    seen = each.agg(*[F.sum(c).alias(c) for c in ("n", "tx", "taker", "direction", "conflict")]).first()
     if not seen["n"]:
         raise ValueError("no participant fills")
     for name, what in (("tx", "transaction_hash is missing"), ("taker", "taker is missing"), ("direction", "taker_direction is unknown")):
         if seen[name]:
             raise ValueError(f"{what} in {seen[name]} rows")
-    if not transaction_conflicts(fills).isEmpty():
+    if seen["conflict"]:
         raise ValueError("a transaction has conflicting timestamps")
 
 
