@@ -77,3 +77,30 @@ def test_items_out_of_reach_are_not_carried(spark):
     item_rows, cut_rows = spark.createDataFrame(far + near, "market_id string, available_us long, document_id string, url string, text string"), spark.createDataFrame([(1, "m", 10 * HOUR)], "id long, market_id string, us long")
     assert decisions.news_events(cut_rows, item_rows, CFG).count() <= 1 + 2 + 1
     assert [x.document_id for x in decisions.news_before(cut_rows, item_rows, CFG).first().news] == ["near"]
+
+
+def bundled(spark, places):
+    names = "transaction_hash string, market_id string, taker string, nonusdc_side string, taker_direction string, at long, price_observed double, price_outcome1 double, token_amount double, usd_amount double"
+    rows = [(f"x{k}", market, "u", "token1", "BUY", at, 0.5, 0.5, 1.0, 0.5) for k, (market, at) in enumerate(places)]
+    items = [("m", 4 * HOUR, "d", "u", "x"), (None, 4 * HOUR, "e", "v", "x")]
+    found = decisions.bundles(spark.createDataFrame(rows, names).selectExpr("* except (at)", "timestamp_micros(at) as timestamp"), check=False)
+    return decisions.listed_before(found, spark.createDataFrame(items, "market_id string, available_us long, document_id string, url string, text string"), CFG)
+
+
+def test_decisions_without_market_or_time_get_no_list(spark):
+    listed = bundled(spark, [("m", 5 * HOUR), (None, 5 * HOUR), ("m", None), (None, None), ("n", 5 * HOUR), ("m", 9 * HOUR)])
+    assert {r.transaction_hash: [x.document_id for x in r.news] for r in listed.collect()} == {"x0": ["d"], "x1": [], "x2": [], "x3": [], "x4": [], "x5": ["d"]}
+
+
+def test_bundles_are_shuffled_once(spark, capsys):
+    """Cut-offs, their chunks and the decisions that get lists come from one exchange of the bundles."""
+    listed = bundled(spark, [("m", 5 * HOUR), ("m", 9 * HOUR)])
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(kept, ("false", "-1"), strict=True):  # the plan of large tables, with reused exchanges named
+            spark.conf.set(k, v)
+        listed.where("size(news) > 0").select("transaction_hash", "news").explain()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert capsys.readouterr().out.count("partial_min(") == 1

@@ -161,7 +161,9 @@ def news_events(decisions: DataFrame, items: DataFrame, cfg: ContextConfig) -> D
     place = lambda name: F.floor(F.col(name) / F.lit(chunk)).alias("chunk")
     known = items.select("market_id", place("available_us"), "available_us", *[F.col(c).cast("string").alias(c) for c in ("document_id", "url")])
     nothing = [F.lit(None).cast("string").alias(c) for c in ("document_id", "url")]
-    cuts = decisions.select("market_id", "us").distinct().select("market_id", place("us"), "us", F.lit(CUT).alias("kind"), *nothing)
+    # Null cut-offs get no list. Without these filters Spark adds them to some uses of decisions only, and then computes and shuffles them again for the others.
+    at = decisions.select("market_id", "us").distinct().select("market_id", place("us"), "us").where("market_id is not null and us is not null and chunk is not null")
+    cuts = at.withColumns({"kind": F.lit(CUT), "document_id": nothing[0], "url": nothing[1]})
     busy = cuts.select("market_id", "chunk").distinct()
     # Items that no cut-off's lookback reaches aren't carried on, and only chunks with cut-offs get carried items.
     reached = busy.select("market_id", F.explode(F.sequence(F.col("chunk") - CHUNKS_A_LOOKBACK, F.col("chunk"))).alias("chunk")).distinct()
